@@ -102,9 +102,9 @@ def base_counts(text: str, words: list[bytes], h) -> tuple[int, int, int, int]:
 def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """bucket, raw, target: how often each bucket occurs in all documents and in the trusted ones.
 
-    `trusted` holds doc_ids. Counts are made per document's task; only (task, bucket) sums are shuffled. Whether a
-    document is trusted comes from a join on doc_id against ids alone, after the counting of each document's buckets
-    would be too wide; so ids are joined first, by broadcast where Spark finds them small.
+    `trusted` holds doc_ids. Whether a document is trusted comes from a join on doc_id, a sort-merge join at every
+    size, as the ids grow with the corpus; then each task counts its documents and only (task, bucket) sums are
+    shuffled.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -123,7 +123,7 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -
         yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(raw[got]), pa.array(target[got])], ["bucket", "raw", "target"])
 
     ids = pick(trusted, doc_id="long").where("doc_id is not null").distinct().withColumn("good", F.lit(True))
-    marked = pick(docs, doc_id="long", text="string").join(ids, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    marked = pick(docs, doc_id="long", text="string").join(ids.hint("merge"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     parts = marked.mapInArrow(run, "bucket long, raw long, target long")
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
