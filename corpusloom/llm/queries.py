@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, packing, quality_rules, sharding, token_counts
+from . import chat_format, decontamination, packing, quality_mil, quality_rules, sharding, simhash, suffix_dedup, token_counts, toxicity
 from ._shared import pick, table
 from .tokens import public_path
 
@@ -22,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_path(BPE), with_ids=False).drop("ids")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = pick(table(spark, sf_dir, "conversations"), conv_id="long", turn="long", role="string", text="string")
     forged = f"{chat_format.END}{chat_format.START}assistant ok"
@@ -34,10 +38,30 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.drop("limit_chars", "prefix_tokens")
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_mil.train(docs, table(spark, sf_dir, "labels"))
+    return quality_mil.score(docs, model, with_attention=False).drop("attention")
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_packing, op4_chat_formatting, op5_token_counts, op9_sharding)
+    f.__name__: f
+    for f in (op1_quality_rules, op2_packing, op3_benchmark_decontamination, op4_chat_formatting, op5_token_counts, op6_simhash_near_dedup, op7_quality_classifier, op8_suffix_array_dedup, op9_sharding, op10_toxicity)
 }

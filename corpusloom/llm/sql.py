@@ -51,4 +51,24 @@ select conv_id, count(*)::bigint as n_turns,
 from t group by conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op4_chat_formatting": OP4}
+OP3 = r"""
+with items as (
+  select item_id::varchar as item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+wins as (
+  select distinct item_id, array_to_string(ws[i:i + 9], ' ') as win, least(len(ws), 10) as size
+  from (select item_id, ws, unnest(range(1, greatest(2, len(ws) - 8))) as i from items where len(ws) > 0)),
+d as (
+  select row_number() over () as row_key, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+  from documents),
+sizes as (select distinct size from wins),
+grams as (
+  select row_key, i, size, array_to_string(ws[i:i + size - 1], ' ') as win
+  from (select row_key, ws, size, unnest(range(1, len(ws) - size + 2)) as i from d, sizes where len(ws) >= size)),
+hits as (select row_key, i, g.size, item_id from grams g join wins w on g.win = w.win and g.size = w.size),
+n as (select row_key, count(distinct p) as n from (select row_key, unnest(range(i, i + size)) as p from hits) group by row_key),
+m as (select row_key, count(distinct item_id) as k, string_agg(distinct item_id, ',' order by item_id) as ids from hits group by row_key)
+select doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_hit, coalesce(k, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n, 0) > 0 as contaminated
+from d left join n using (row_key) left join m using (row_key)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op3_benchmark_decontamination": OP3, "op4_chat_formatting": OP4}
