@@ -1,0 +1 @@
+"""Corpus construction and corpus analytics as Spark plans."""

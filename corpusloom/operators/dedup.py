@@ -1,0 +1,134 @@
+"""Near-duplicate removal by MinHash bands: signatures, buckets, the best document of each bucket, reports.
+
+Signatures are made document by document in Arrow batches, without a shuffle; the only shuffles are the window over
+(band, key) and the removal of ids. No pairs are made inside a bucket unless verification asks for them, and then only
+between each document and its bucket's best one.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..functions.clean import normalize_python
+from ..functions.lists import SOURCE_PRIORITY
+
+LANES, BANDS, ROWS, SHINGLE = 128, 16, 8, 5
+#: Lane i takes the hash word that starts at byte 4i mod 28, xor i times this, mod 2**32 (fixed value).
+STEP = 2654435761
+
+
+def signature(text: str, n: int = SHINGLE):
+    """Least value of each lane over the text's distinct runs of n normalised words; None for fewer words."""
+    import numpy as np
+
+    ws = normalize_python(text).split()
+    if len(ws) < n:
+        return None
+    runs = {" ".join(ws[i : i + n]) for i in range(len(ws) - n + 1)}
+    words = np.frombuffer(b"".join(hashlib.sha256(r.encode()).digest()[:28] for r in runs), ">u4").reshape(-1, 7).astype(np.uint32)
+    masks = (np.arange(LANES, dtype=np.uint64) * STEP % (1 << 32)).astype(np.uint32)
+    return np.array([(words[:, i % 7] ^ masks[i]).min() for i in range(LANES)], np.int64)
+
+
+def signatures(docs: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns and `signature` of every document with enough words."""
+    own = docs.select(*keep, "text")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [signature(t) if t else None for t in batch.column(len(fields)).to_pylist()]
+            mask = pa.array([x is not None for x in found])
+            out = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "signature"])
+            yield out.filter(mask)
+
+    return own.mapInArrow(run, ", ".join([*fields, "signature array<bigint>"]))
+
+
+def buckets(signed: DataFrame, *keep: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per document and band; the key is a digest of the band's lanes written as a tuple."""
+    lanes = lambda b: F.array_join(F.transform(F.slice(F.col("signature"), b * rows + 1, rows), lambda x: x.cast("string")), ", ")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.substring(F.md5(F.concat(F.lit("("), lanes(b), F.lit(")")).cast("binary")), 1, 16))
+    return signed.select(*keep, F.posexplode(keys).alias("band", "key"))
+
+
+def source_rank(source: Column, priority: list[str] | None = None) -> Column:
+    """The place of the source's first part in the list of priorities, 99 if it is not there."""
+    order = F.array(*[F.lit(s) for s in (priority or SOURCE_PRIORITY)])
+    at = F.array_position(order, F.split(source, "_")[0])
+    return F.when(at > 0, (at - 1).cast("int")).otherwise(F.lit(99))
+
+
+def removed(bucketed: DataFrame, key: str, *order: Column) -> DataFrame:
+    """Keys of documents that are not the first of some bucket, in the given order."""
+    rank = F.row_number().over(W.partitionBy("band", "key").orderBy(*order))
+    return bucketed.withColumn("rank", rank).where("rank > 1").select(key).distinct()
+
+
+def keep_best(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    return docs.join(gone, key, "left_anti")
+
+
+def report(bucketed: DataFrame, gone: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """One row: documents seen and indexed, buckets, buckets with several documents, documents removed, their rate."""
+    sizes = bucketed.groupBy("band", "key").count()
+    a = seen.agg(F.count("*").alias("seen"))
+    b = bucketed.where("band = 0").agg(F.count("*").alias("indexed"))
+    c = sizes.agg(F.count("*").alias("lsh_entries"), F.count_if(F.col("count") > 1).alias("clusters"))
+    d = gone.agg(F.count("*").alias("removed"))
+    one = a.join(F.broadcast(b)).join(F.broadcast(c)).join(F.broadcast(d))  # single rows
+    return one.withColumn("removal_rate", F.round(F.col("removed") / F.greatest("indexed", F.lit(1)), 6))
+
+
+def verified_pairs(bucketed: DataFrame, sets: DataFrame, key: str, threshold: float, *order: Column) -> DataFrame:
+    """Documents and the best one of a bucket they share, with the true Jaccard similarity where it reaches `threshold`.
+
+    sets: key and `grams`, an array of distinct runs of words.
+    """
+    own = W.partitionBy("band", "key").orderBy(*order)
+    best = bucketed.withColumn("best", F.first(key).over(own)).where(F.col(key) != F.col("best")).select(key, "best").distinct()
+    a, b = sets.select(F.col(key), F.col("grams").alias("x")), sets.select(F.col(key).alias("best"), F.col("grams").alias("y"))
+    both = best.join(a, key).join(b, "best")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.withColumn("jaccard", F.round(common / (F.size("x") + F.size("y") - common), 6)).where(F.col("jaccard") >= threshold).select(key, "best", "jaccard")
+
+
+def exact_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every document whose text stands under a smaller key too; texts are compared by a digest, never shuffled."""
+    hashed = docs.select(key, F.sha2(F.col("text"), 256).alias("h")).where("h is not null")
+    first = hashed.groupBy("h").agg(F.min(key).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    return hashed.join(first, "h").where(F.col(key) != F.col("first")).select(key, F.col("first").alias("duplicate_of"), "copies")
+
+
+def clusters(pairs: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataFrame:
+    """Connected components of pairs by label propagation with pointer jumping; each round is checkpointed."""
+    edges = pairs.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    edges = edges.union(edges.select("v", "u")).distinct()
+    labels = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label"))
+    for _ in range(most_rounds):
+        near = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("other"))
+        stepped = labels.join(near, "u").select("u", F.least("label", "other").alias("label"), F.col("label").alias("was"))
+        jumped = stepped.join(stepped.select(F.col("u").alias("label"), F.col("label").alias("far")), "label", "left").select("u", F.least("label", F.coalesce("far", "label")).alias("label"), "was").checkpoint()
+        labels = jumped.select("u", "label")
+        if jumped.where("label <> was").isEmpty():
+            break
+    return labels.select(F.col("u").alias(a), F.col("label").alias("cluster"))
+
+
+def union_signatures(docs: DataFrame, group: str, n: int = SHINGLE) -> DataFrame:
+    """The signature of each group's united shingles: the least of its documents' lanes, one row per lane."""
+    lanes = signatures(docs, group).select(group, F.posexplode("signature").alias("lane", "value"))
+    return lanes.groupBy(group, "lane").agg(F.min("value").alias("value"))
+
+
+def overlap(docs: DataFrame, group: str) -> DataFrame:
+    """For every two groups the share of equal lanes of their united signatures; 1 on the diagonal."""
+    lanes = union_signatures(docs, group)
+    other = lanes.select(F.col(group).alias("other"), "lane", F.col("value").alias("theirs"))
+    both = lanes.join(other, "lane").where(F.col(group) <= F.col("other"))  # groups squared, 128 rows each
+    return both.groupBy(group, "other").agg(F.round(F.avg((F.col("value") == F.col("theirs")).cast("double")), 6).alias("overlap"))
