@@ -19,11 +19,11 @@ def valid_tax_number(number: Column) -> Column:
     def check(n: int) -> Column:
         total = F.lit(0)
         for j in range(n):
-            total = total + F.substring(d, j + 1, 1).cast("int") * (n + 1 - j)
+            total = total + F.substring(d, j + 1, 1).try_cast("int") * (n + 1 - j)
         return total * 10 % 11 % 10
 
-    right = (check(9) == F.substring(d, 10, 1).cast("int")) & (check(10) == F.substring(d, 11, 1).cast("int"))
-    return (F.length(d) == 11) & ~d.rlike(r"^(.)\1{10}$") & right
+    right = (check(9) == F.substring(d, 10, 1).try_cast("int")) & (check(10) == F.substring(d, 11, 1).try_cast("int"))
+    return F.coalesce((F.length(d) == 11) & ~d.rlike(r"^(.)\1{10}$") & right, F.lit(False))
 
 
 def personal_data(text: Column, head: int = HEAD) -> dict[str, Column]:

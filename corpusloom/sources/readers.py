@@ -22,7 +22,7 @@ def shards(spark: SparkSession, paths: dict[str, str], columns: list[str] | None
     """
     parts = []
     for rank, (source, path) in enumerate(paths.items()):
-        df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("ignoreCorruptFiles", str(skip_corrupt).lower()).option("mergeSchema", "false").parquet(path)
+        df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("ignoreCorruptFiles", str(skip_corrupt).lower()).option("mergeSchema", "true").parquet(path)
         wanted = columns or ["text", "source", "id", "lang", "score"]
         own = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in wanted])
         if "source" in wanted:
@@ -48,7 +48,7 @@ def bind(df: DataFrame, texts: list[str] | None = None, ids: list[str] | None =
 
 def shard_report(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """Rows of each readable file, and whether the required columns are there. Row counts come from the footers."""
-    df = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").parquet(path)
+    df = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(path)
     return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows")).withColumn("schema_ok", F.lit(all(c in df.columns for c in required)))
 
 
@@ -75,11 +75,9 @@ def extension_survey(files: DataFrame, k: int = 15) -> DataFrame:
 
 
 def decoded(content: Column) -> Column:
-    """Bytes as UTF-8 (a leading mark is dropped), else as Windows-1252 where all bytes have a letter, else Latin-1."""
+    """Bytes as UTF-8 (a leading mark is dropped), else as Latin-1, which takes any bytes."""
     plain = F.try_validate_utf8(content.cast("string"))
-    western = F.decode(content, "windows-1252")
-    fallback = F.when(F.contains(western, F.lit("�")), F.decode(content, "iso-8859-1")).otherwise(western)
-    return F.regexp_replace(F.coalesce(plain, fallback), "^﻿", "")
+    return F.regexp_replace(F.coalesce(plain, F.decode(content, "iso-8859-1")), "^\ufeff", "")
 
 
 def json_text(raw: Column, fields: list[str] | None = None) -> Column:
@@ -99,7 +97,7 @@ def text_tree(spark: SparkSession, path: str) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
     """id (file:line) and text of each line that has one of the fields; other lines are skipped."""
-    whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     rows = whole.select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
     parsed = F.try_parse_json("line")
     found = [F.nullif(F.try_variant_get(parsed, f"$.{f}", "string"), F.lit("")) for f in fields or LEGAL_LINE_FIELDS]
@@ -122,7 +120,7 @@ RESULT = "results map<string,map<string,string>>, model_name string, date string
 
 def evaluation_results(spark: SparkSession, path: str) -> DataFrame:
     """model, task, metric, value, date of every result file below a folder; others are skipped."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path).withColumn("file", F.col("_metadata.file_path"))
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     r = raw.select("file", F.from_json("value", RESULT).alias("r")).where("r.results is not null")
     model = F.coalesce(F.nullif("r.model_name", F.lit("")), F.nullif(F.regexp_extract("r.config.model_args", "pretrained=([^,]+)", 1), F.lit("")), F.regexp_extract("file", "([^/]+)/[^/]+$", 1))
     tasks = r.select(model.alias("model"), F.col("r.date").alias("date"), F.explode("r.results").alias("task", "metrics"))
@@ -143,12 +141,12 @@ def named_models(df: DataFrame, table: list[tuple[str, str]]) -> DataFrame:
 
 def sample_lines(spark: SparkSession, path: str) -> DataFrame:
     """label, task, doc_id, correct from the newest samples file of each (label, task); later lines win."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "samples_*.jsonl").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "samples_*.jsonl").text(path, wholetext=True)
     files = raw.select(F.col("_metadata.file_path").alias("file"), "value").select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("label"), F.regexp_extract("file", r"samples_(.+?)_\d{4}-", 1).alias("task"), "file", "value")
     newest = files.withColumn("rank", F.row_number().over(W.partitionBy("label", "task").orderBy(F.desc("file")))).where("rank = 1")
-    rows = newest.select("label", "task", F.posexplode(F.split("value", "\n")).alias("at", "line")).withColumn("j", F.try_parse_json("line")).where("j is not null")
-    value = F.coalesce(*[F.expr(f"try_variant_get(j, '$[\"{m}\"]', 'double')") for m in ("acc_norm", "acc_norm,none", "acc", "acc,none")])
-    rows = rows.select("label", "task", "at", F.try_variant_get("j", "$.doc_id", "long").alias("doc_id"), value.alias("value")).where("doc_id is not null and value is not null")
+    rows = newest.select("label", "task", F.posexplode(F.split("value", "\n")).alias("at", "line")).withColumn("j", F.from_json("line", "map<string,string>")).where("j is not null")
+    value = F.coalesce(*[F.col("j")[m].try_cast("double") for m in ("acc_norm", "acc_norm,none", "acc", "acc,none")])
+    rows = rows.select("label", "task", "at", F.col("j")["doc_id"].try_cast("long").alias("doc_id"), value.alias("value")).where("doc_id is not null and value is not null")
     return rows.groupBy("label", "task", "doc_id").agg(F.max_by("value", "at").cast("tinyint").alias("correct"))
 
 
@@ -164,4 +162,4 @@ def training_log(lines: DataFrame) -> DataFrame:
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
