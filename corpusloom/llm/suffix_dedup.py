@@ -417,6 +417,8 @@ def window_spans(hot: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """r, start, stop of repeated bytes; spans may overlap."""
     rows = cut(segment_rows(texts))
+    often = cut(rows.groupBy("h").agg(F.count("*").alias("k"), F.max("own").alias("any")).where("k > 1 or any").select("h"))
+    rows = cut(rows.join(often, "h"))  # from here on only hashes with a repeat to look for
     kinds = cut(rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("r", "start", "size")).alias("at"), F.max("own").alias("own")).select("h", "c", "n", "at.*", "own"))
     whole = rows.join(kinds.where("n > 1").select("h", "c"), ["h", "c"]).select("r", F.col("start").cast("long"), (F.col("start").cast("long") + F.col("size") + LENGTH - 1).alias("stop"))
     many = kinds.groupBy("h").agg(F.count("*").alias("m"), F.max(F.col("own") & (F.col("n") == 1)).alias("any")).where("m > 1 or any")
