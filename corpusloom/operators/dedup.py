@@ -1,7 +1,7 @@
 """Near-duplicate removal by MinHash bands: signatures, buckets, the best document of each bucket, reports.
 
-Signatures are made document by document in Arrow batches, without a shuffle; the only shuffles are the window over
-(band, key) and the removal of ids. No pairs are made inside a bucket unless verification asks for them, and then only
+Signatures are made document by document in Arrow batches, without a shuffle; the shuffles are a minimum per
+(band, key), a join with it, and the removal of ids. No pairs are made inside a bucket unless verification asks for them, and then only
 between each document and its bucket's best one.
 """
 
@@ -10,10 +10,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clean import normalize_python
 from ..functions.lists import SOURCE_PRIORITY
+from ..session import cut
 
 LANES, BANDS, ROWS, SHINGLE = 128, 16, 8, 5
 #: Lane i takes the hash word that starts at byte 4i mod 28, xor i times this, mod 2**32 (fixed value).
@@ -64,10 +65,19 @@ def source_rank(source: Column, priority: list[str] | None = None) -> Column:
     return F.when(at > 0, (at - 1).cast("int")).otherwise(F.lit(99))
 
 
+def best_of_bucket(bucketed: DataFrame, key: str, *order: Column) -> DataFrame:
+    """band, key of each bucket with several documents, and `best`: the least in the order (ascending), then by key.
+
+    A minimum per bucket, formed in each task before the shuffle, so that a bucket of any size is a row from each task.
+    """
+    least = F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(key).alias("id")))
+    return bucketed.groupBy("band", "key").agg(F.count("*").alias("docs"), least.alias("x")).where("docs > 1").select("band", "key", F.col("x.id").alias("best"))
+
+
 def removed(bucketed: DataFrame, key: str, *order: Column) -> DataFrame:
-    """Keys of documents that are not the first of some bucket, in the given order."""
-    rank = F.row_number().over(W.partitionBy("band", "key").orderBy(*order))
-    return bucketed.withColumn("rank", rank).where("rank > 1").select(key).distinct()
+    """Keys of documents that are not the best of some bucket. Large buckets are split by the join, not gathered."""
+    best = cut(best_of_bucket(bucketed, key, *order))
+    return bucketed.join(best, ["band", "key"]).where(F.col(key) != F.col("best")).select(key).distinct()
 
 
 def keep_best(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
@@ -90,8 +100,7 @@ def verified_pairs(bucketed: DataFrame, sets: DataFrame, key: str, threshold: fl
 
     sets: key and `grams`, an array of distinct runs of words.
     """
-    own = W.partitionBy("band", "key").orderBy(*order)
-    best = bucketed.withColumn("best", F.first(key).over(own)).where(F.col(key) != F.col("best")).select(key, "best").distinct()
+    best = bucketed.join(cut(best_of_bucket(bucketed, key, *order)), ["band", "key"]).where(F.col(key) != F.col("best")).select(key, "best").distinct()
     a, b = sets.select(F.col(key), F.col("grams").alias("x")), sets.select(F.col(key).alias("best"), F.col("grams").alias("y"))
     both = best.join(a, key).join(b, "best")
     common = F.size(F.array_intersect("x", "y"))
@@ -102,7 +111,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Every document whose text stands under a smaller key too; texts are compared by a digest, never shuffled."""
     hashed = docs.select(key, F.sha2(F.col("text"), 256).alias("h")).where("h is not null")
     first = hashed.groupBy("h").agg(F.min(key).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    return hashed.join(first, "h").where(F.col(key) != F.col("first")).select(key, F.col("first").alias("duplicate_of"), "copies")
+    return hashed.join(cut(first), "h").where(F.col(key) != F.col("first")).select(key, F.col("first").alias("duplicate_of"), "copies")
 
 
 def clusters(pairs: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataFrame:
@@ -113,7 +122,8 @@ def clusters(pairs: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataFra
     for _ in range(most_rounds):
         near = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("other"))
         stepped = labels.join(near, "u").select("u", F.least("label", "other").alias("label"), F.col("label").alias("was"))
-        jumped = stepped.join(stepped.select(F.col("u").alias("label"), F.col("label").alias("far")), "label", "left").select("u", F.least("label", F.coalesce("far", "label")).alias("label"), "was").checkpoint()
+        jumped = stepped.join(stepped.select(F.col("u").alias("label"), F.col("label").alias("far")), "label", "left").select("u", F.least("label", F.coalesce("far", "label")).alias("label"), "was")
+        jumped = cut(jumped)
         labels = jumped.select("u", "label")
         if jumped.where("label <> was").isEmpty():
             break

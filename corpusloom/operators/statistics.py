@@ -4,30 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut
+
 
 def share(value: Column) -> Column:
     """A value's part of the total over all rows of an aggregated table, in percent."""
     return F.round(value * 100.0 / F.sum(value).over(W.partitionBy()), 4)
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The value at place floor(n p / 100) of the sorted values, the last one at most."""
-    ordered = F.sort_array(F.collect_list(values))
-    at = F.least(F.floor(F.count(values) * (p / 100.0)), F.count(values) - 1)
-    return F.element_at(ordered, at.cast("int") + 1)
-
-
 def ranked_percentiles(df: DataFrame, groups: list[str], value: str, ps: list[int]) -> DataFrame:
-    """Nearest-rank percentiles of each group without gathering a group: ranks by a window, then a filter.
+    """Nearest-rank percentiles of each group: the value at place floor(n p / 100), the last one at most.
 
-    The window sorts on disk and its tasks stream; equal values need no order among them.
+    Equal values are counted before anything is shuffled and a window runs over distinct values only: rounded
+    measurements have few, however many rows a group has.
     """
-    own = df.where(F.col(value).isNotNull())
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("k"))
     w = W.partitionBy(*groups)
-    placed = own.select(*groups, value, (F.row_number().over(w.orderBy(value)) - 1).alias("at"), F.count("*").over(w).alias("n"))
+    placed = counts.withColumn("upto", F.sum("k").over(w.orderBy(value))).withColumn("n", F.sum("k").over(w))
     spot = lambda p: F.least(F.floor(F.col("n") * F.lit(p) / 100), F.col("n") - 1)
-    picks = [F.max(F.when(F.col("at") == spot(p), F.col(value))).alias(f"p{p}") for p in ps]
-    return placed.groupBy(*groups).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean"), *picks)
+    picks = [F.min(F.when(F.col("upto") > spot(p), F.col(value))).alias(f"p{p}") for p in ps]
+    return placed.groupBy(*groups).agg(F.sum("k").alias("n"), F.round(F.sum(F.col(value) * F.col("k")) / F.sum("k"), 4).alias("mean"), *picks)
 
 
 def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
@@ -40,22 +36,33 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
 
 
 def systematic_sample(df: DataFrame, every: int, *order: str) -> DataFrame:
-    """Each `every`-th row in a total order.
+    """Each `every`-th row in a total order of distinct keys.
 
-    The order comes from range-partitioned rows: counts of the partitions give each its first ordinal, so that no task
-    numbers more than its own part.
+    Only the keys are range-partitioned, numbered within their partitions and shifted by the counts of the partitions
+    before, so that no task numbers more than its own part; the sampled keys then select the rows.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    ranged = cut(df.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
     counts = ranged.groupBy("part").count()
     firsts = counts.select("part", (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("first"))  # a row per partition
     local = ranged.withColumn("own", F.row_number().over(W.partitionBy("part").orderBy(*order)))
-    return local.join(F.broadcast(firsts), "part").where((F.col("first") + F.col("own")) % every == 0).drop("part", "own", "first")
+    keys = local.join(F.broadcast(firsts), "part").where((F.col("first") + F.col("own")) % every == 0).select(*order)
+    return df.join(keys, list(order), "left_semi")
 
 
-def budget_prefix(df: DataFrame, group: str, size: Column, budget: int, *order: Column) -> DataFrame:
-    """Rows of each group while the sizes before them are under the budget."""
-    w = W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("before") < budget)
+def budget_prefix(df: DataFrame, group: str, size: Column, budget: int, order: str, *ties: str) -> DataFrame:
+    """Rows of each group, in the order of a hexadecimal hash, while the sizes before them are under the budget.
+
+    Sizes are summed by the hash's first three digits; what lies wholly under the budget is kept as it is, and only the
+    one part of each group that crosses it is numbered row by row.
+    """
+    sized = df.withColumn("bucket", F.substring(order, 1, 3)).withColumn("_size", size)
+    sums = sized.groupBy(group, "bucket").agg(F.sum("_size").alias("s"))
+    upto = F.sum("s").over(W.partitionBy(group).orderBy("bucket"))  # 4096 rows for a group at most
+    parts = cut(sums.withColumn("upto", upto).withColumn("base", F.col("upto") - F.col("s")).where(F.col("base") < budget).select(group, "bucket", "base", "upto"))
+    near = sized.join(parts, [group, "bucket"])
+    w = W.partitionBy(group, "bucket").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, -1)
+    crossing = near.where(F.col("upto") >= budget).withColumn("before", F.col("base") + F.coalesce(F.sum("_size").over(w), F.lit(0))).where(F.col("before") < budget)
+    return near.where(F.col("upto") < budget).select(*df.columns).unionByName(crossing.select(*df.columns))
 
 
 def proportional_sample(df: DataFrame, group: str, most: int, key: str, seed: int = 42) -> DataFrame:

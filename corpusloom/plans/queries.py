@@ -378,11 +378,8 @@ def banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.buckets(dedup.signatures(scored(spark, sf_dir), "doc_id", "score"), "doc_id", "score")
 
 
-ORDER = (F.desc, "score"), (F.asc, "doc_id")
-
-
 def gone(bands: DataFrame) -> DataFrame:
-    return dedup.removed(bands, "doc_id", *[f(c) for f, c in ORDER])
+    return dedup.removed(bands, "doc_id", -F.col("score"))
 
 
 @query(f"{SIGNATURES} select doc_id, md5(array_to_string(signature, ',')) as digest, signature[1] as first_lane, signature[128] as last_lane from sig")
@@ -426,7 +423,7 @@ def verified_neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = scored(spark, sf_dir)
     bands = dedup.buckets(dedup.signatures(d, "doc_id", "score"), "doc_id", "score")
     sets = d.select("doc_id", clean.normalize_for_dedup(F.col("text")).alias("t")).select("doc_id", F.split("t", " ").alias("w")).select("doc_id", tx.shingles(F.col("w"), 5).alias("grams"))
-    return dedup.verified_pairs(bands, sets, "doc_id", 0.8, *[f(c) for f, c in ORDER])
+    return dedup.verified_pairs(bands, sets, "doc_id", 0.8, -F.col("score"))
 
 
 @query("with h as (select doc_id, md5(text) as h from documents where text is not null), f as (select h, min(doc_id) as first, count(*) as k from h group by h having count(*) > 1) select doc_id, first as duplicate_of, k::bigint as copies from h join f using (h) where doc_id <> first")
@@ -490,7 +487,7 @@ def year_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id from (select doc_id, coalesce(sum(strlen(text)) over (partition by source order by md5(doc_id::varchar), doc_id rows between unbounded preceding and 1 preceding), 0) as b from documents where text <> '') where b < 20000")
 def byte_budget_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").where(filters.not_empty(F.col("text"))).select("doc_id", "source", F.octet_length("text").cast("long").alias("size"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"))
-    return statistics.budget_prefix(d, "source", F.col("size"), 20_000, F.asc("h"), F.asc("doc_id")).select("doc_id")
+    return statistics.budget_prefix(d, "source", F.col("size"), 20_000, "h", "doc_id").select("doc_id")
 
 
 @query()

@@ -76,7 +76,7 @@ class Deduplication:
         ranked = docs.withColumn("source_rank", dedup.source_rank(F.col("source"), self.priority))
         signed = dedup.signatures(ranked, self.key, "score", "source_rank")
         bands = dedup.buckets(signed, self.key, "score", "source_rank")
-        gone = dedup.removed(bands, self.key, F.desc("score"), F.asc("source_rank"), F.asc(self.key))
+        gone = dedup.removed(bands, self.key, -F.col("score"), F.col("source_rank"))
         indexed = docs if self.strict else docs.join(signed.select(self.key), self.key, "left_semi")
         return dedup.keep_best(indexed, self.key, gone), gone, dedup.report(bands, gone, docs, self.key)
 

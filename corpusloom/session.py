@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "corpusloom", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -26,3 +27,23 @@ def session(name: str = "corpusloom", master: str | None = None, shuffle_partiti
         build = build.config(k, v)
     os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
     return build.getOrCreate()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; one of this process's own only where none is set (tests)."""
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
+    sc.setCheckpointDir(shared)
+    return shared
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut: written to the shared checkpoint folder, so lost executors cost nothing.
+
+    Both sides of a later join then have exchanges of their own, which adaptive execution can split where skewed.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
