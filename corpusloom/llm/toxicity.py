@@ -6,8 +6,8 @@ documents, smoothed; a logistic regression is then fitted to the occurrence vect
 document's score is the fitted probability over the n-grams of its whole text.
 
 Fitting uses at most `SAMPLE` labelled documents, half of each class where there are enough, taken by the hash of
-their ids, and none longer than `SAMPLE_BYTES`. Only their bucket numbers reach the driver, at most `features`
-for a document. Scoring goes over all documents in one pass without a shuffle.
+their ids, and none longer than `SAMPLE_BYTES`. Only the numbers of their buckets with a telling ratio reach
+the driver, at most `features` for a document. Scoring goes over all documents in one pass without a shuffle.
 
 Defined cases: a null text counts as empty, an empty text gets the score of no n-gram at all; without labels of both
 classes every score is the share of toxic labels or 0; equal and repeated rows get equal scores; a document labelled
@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import pick
+from ._shared import cut, pick
 from .labelled import held_out, labelled_sample
 
 SIZES = (3, 4, 5, 6)
-FEATURES = 1 << 18
+FEATURES = 1 << 20
 SAMPLE, SAMPLE_BYTES = 6000, 65_536
 FOLDS, HELD_FOLD = 5, 0
 THRESHOLD = 0.5
@@ -59,25 +59,26 @@ class Grams:
         return found
 
 
-def fit(samples: list, labels: list[int], features: int = FEATURES, rounds: int = 150, penalty: float = 1e-4):
+def log_count_ratios(ones, zeros, n_ones: int, n_zeros: int):
+    """ln of the smoothed shares of documents with each bucket, of label 1 over label 0."""
+    import numpy as np
+
+    return np.log((ones + 1.0) / (n_ones + 2)) - np.log((zeros + 1.0) / (n_zeros + 2))
+
+
+def fit(samples: list, labels: list[int], ratio, rounds: int = 150, penalty: float = 3e-3):
     """Weights for each bucket (ratio and regression together) and the intercept.
 
     samples: arrays of buckets. The logistic loss is minimised by gradient steps with running moments.
     """
     import numpy as np
 
-    y = np.asarray(labels, np.float64)
+    y, features = np.asarray(labels, np.float64), len(ratio)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return np.zeros(features, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9)))
-    lengths = np.array([len(s) for s in samples])
-    flat = np.concatenate(samples)
-    rows = np.repeat(np.arange(len(y)), lengths)
-    p = np.bincount(flat, weights=y[rows], minlength=features) + 1.0
-    q = np.bincount(flat, weights=1 - y[rows], minlength=features) + 1.0
-    ratio = np.log(p / (y.sum() + 2)) - np.log(q / ((1 - y).sum() + 2))
-    kept = (np.abs(ratio) >= LEAST_RATIO)[flat]  # the others are scaled to next to nothing
-    flat, rows = flat[kept], rows[kept]
+    flat = np.concatenate(samples).astype(np.int64)
+    rows = np.repeat(np.arange(len(y)), [len(s) for s in samples])
     used = np.unique(flat)
     place = np.zeros(features, np.int64)
     place[used] = np.arange(len(used))
@@ -99,19 +100,43 @@ def fit(samples: list, labels: list[int], features: int = FEATURES, rounds: int
 
 
 def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES):
-    """Fits to the labelled documents outside the held fold; labels: doc_id and the 0/1 column toxic."""
+    """Fits to the labelled documents outside the held fold; labels: doc_id and the 0/1 column toxic.
+
+    The first pass over the sample counts documents by bucket and label; the second sends the driver only those of each
+    document's buckets whose ratio counts.
+    """
+    import numpy as np
+
+    sample = cut(labelled_sample(docs, labels, "toxic", FOLDS, HELD_FOLD, SAMPLE, SAMPLE_BYTES))
+
+    def count(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        own, sums, docs = Grams(features), np.zeros((2, features), np.int64), [0, 0]
+        for batch in batches:
+            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                sums[label, own(text)] += 1
+                docs[label] += 1
+        got = np.flatnonzero(sums.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(got, features)), pa.array(np.append(sums[0, got], docs[0])), pa.array(np.append(sums[1, got], docs[1]))], ["bucket", "zeros", "ones"])
+
+    counts = sample.mapInArrow(count, "bucket long, zeros long, ones long").groupBy("bucket").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
+    sums = np.zeros((2, features + 1), np.int64)  # the last place holds the numbers of documents
+    sums[:, counts.column("bucket").to_numpy()] = counts.column("zeros").to_numpy(), counts.column("ones").to_numpy()
+    ratio = log_count_ratios(sums[1, :-1], sums[0, :-1], sums[1, -1], sums[0, -1])
+    shared = docs.sparkSession.sparkContext.broadcast(np.abs(ratio) >= LEAST_RATIO)
 
     def grams(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own = Grams(features)
+        own, counted = Grams(features), shared.value
         for batch in batches:
-            found = [own(t).astype("int32") for t in batch.column(1).to_pylist()]
+            found = [(g := own(t))[counted[g]].astype("int32") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], ["doc_id", "grams", "label"])
 
-    sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD_FOLD, SAMPLE, SAMPLE_BYTES)
     got = sample.mapInArrow(grams, "doc_id long, grams array<int>, label int").toArrow().sort_by("doc_id")
-    return fit([x.values.to_numpy() for x in got.column("grams")], got.column("label").to_pylist(), features)
+    return fit([x.values.to_numpy() for x in got.column("grams")], got.column("label").to_pylist(), ratio)
 
 
 COLUMNS = "held_out boolean, score double, predicted int"
