@@ -2,7 +2,7 @@
 
 Records are ordered by the hash of their text, then by doc_id and the record itself. A size-weighted sample of the
 hashes gives splitters; a hash that the sample meets more than once is overfull and its range is subdivided by
-doc_id. Ranges are then measured exactly, and quantiles of the cumulative bytes cut them into shards: a group of
+doc_id and a number stored with each record. Ranges are then measured exactly, and quantiles of the cumulative bytes cut them into shards: a group of
 equal texts goes as one to the shard that its middle falls in, unless it is larger than `GROUP_SHARE` of a shard or
 its range was subdivided, in which case its records go one by one. Slots number a shard's records in this order.
 
@@ -15,7 +15,9 @@ records of their own; an empty table gives an empty result; other columns are ig
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ._shared import cut, pick
 
@@ -25,49 +27,51 @@ ROWS_PER_RANGE, LEAST_RANGES, SAMPLE_PER_RANGE = 500_000, 64, 20
 GROUP_SHARE = 0.01
 
 
-def splitters(rows: DataFrame, n_ranges: int, total: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Boundary hashes, and boundary (hash, doc_id) pairs inside overfull ones, from a size-weighted sample.
+def splitters(rows: DataFrame, n_ranges: int, total: int) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Boundary hashes, and boundary (hash, doc_id, number) keys inside overfull ones, from a size-weighted sample.
 
-    A record is drawn with a chance in proportion to its size, by the hash of its own values, so that the same
-    records are drawn each time.
+    A record is drawn with a chance in proportion to its size; the rows are stored, so a seed draws the same ones each
+    time. About SAMPLE_PER_RANGE keys for each range reach the driver.
     """
     share = SAMPLE_PER_RANGE * n_ranges / max(total, 1)
-    coin = F.pmod(F.xxhash64("h", "doc_id", "size"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.where(coin < F.col("size") * share).select("h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d")).collect()
-    drawn = sorted((r.h, r.d) for r in drawn)
+    drawn = rows.where(F.rand(42) < F.col("size") * share).select("h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "u").collect()
+    drawn = sorted((r.h, r.d, r.u) for r in drawn)
     if not drawn:
         return [], []
     picked = [drawn[i * len(drawn) // n_ranges] for i in range(1, n_ranges)]
     often = {a[0] for a, b in zip(picked, picked[1:], strict=False) if a[0] == b[0]}
-    bounds = sorted({h for h, _ in picked} | {h + 1 for h in often if h < (1 << 63) - 1})
+    bounds = sorted({p[0] for p in picked} | {h + 1 for h in often if h < (1 << 63) - 1})
     return bounds, sorted({p for p in picked if p[0] in often})
 
 
-def range_of(bounds: list[int], inner: list[tuple[int, int]]) -> Column:
-    """The range of a record: its place among the boundaries, found by a search in a literal array."""
-
-    def below(value: Column, sorted_values: list[int]) -> Column:
-        """How many of the values are no larger."""
-        if not sorted_values:
-            return F.lit(0)
-        level = [F.lit(i) for i in range(len(sorted_values) + 1)]
-        # a balanced tree of comparisons: as many per record as its depth
-
-        def tree(lo: int, hi: int) -> Column:
-            if lo == hi:
-                return level[lo]
-            mid = (lo + hi) // 2
-            return F.when(value < F.lit(sorted_values[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+def placed_in_ranges(rows: DataFrame, bounds: list[int], inner: list[tuple[int, int, int]]) -> DataFrame:
+    """The rows with r, their range, and split, whether their hash is overfull and subdivided.
 
-        return tree(0, len(sorted_values))
-
-    outer = below(F.col("h"), bounds).cast("long")
-    part = F.lit(0).cast("long")
-    hot = sorted({h for h, _ in inner})
-    for h in hot:
-        ids = [d for k, d in inner if k == h]
-        part = F.when(F.col("h") == F.lit(h), below(F.coalesce("doc_id", F.lit(-(1 << 63))), ids).cast("long")).otherwise(part)
-    return outer * F.lit(1 << 20) + part
+    Ranges are found by binary search in the broadcast splitters, whose number the caller bounds.
+    """
+    hot: dict[int, list[tuple[int, int]]] = {}
+    for h, d, u in inner:
+        hot.setdefault(h, []).append((d, u))
+    shared = rows.sparkSession.sparkContext.broadcast((bounds, hot))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        edges, parts = shared.value
+        edges, keys = np.array(edges, np.int64), np.array(sorted(parts), np.int64)
+        for batch in batches:
+            h = batch.column("h").to_numpy(zero_copy_only=False)
+            d = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+            r = np.searchsorted(edges, h, "right").astype(np.int64) << 20
+            split = np.isin(h, keys)
+            for k in np.unique(h[split]).tolist():
+                mine = h == k
+                own = np.rec.fromarrays([d[mine], batch.column("u").to_numpy()[mine]], dtype=[("d", np.int64), ("u", np.int64)])
+                r[mine] += np.searchsorted(np.array(parts[k], own.dtype), own, "right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r), pa.array(split)], [*batch.schema.names, "r", "split"])
+
+    return rows.mapInArrow(run, "doc_id long, size long, text_crc32 long, h long, u long, r long, split boolean")
 
 
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -80,16 +84,15 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
             F.xxhash64(text, F.col("text").isNull()).alias("h"),
+            F.monotonically_increasing_id().alias("u"),  # stored with the row, so it stays
         )
     )
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_ranges = max(LEAST_RANGES, -(-n // ROWS_PER_RANGE))
     bounds, inner = splitters(rows, n_ranges, total)
-    hot = [h for h in sorted({h for h, _ in inner})]
-
-    own = W.partitionBy("r").orderBy("h", "doc_id")
+    own = W.partitionBy("r").orderBy("h", "doc_id", "u")
     placed = (
-        rows.withColumn("r", range_of(bounds, inner))
+        placed_in_ranges(rows, bounds, inner)
         .withColumn("row", F.row_number().over(own).cast("long"))
         .withColumn("before", F.sum("size").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size"))
         .withColumn("group_size", F.sum("size").over(W.partitionBy("r", "h")))
@@ -103,9 +106,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
         rows_at, bytes_at = rows_at + k, bytes_at + s
     offsets = spark.createDataFrame(starts, "r long, rows_before long, bytes_before long")
 
-    alone = F.col("group_size") > F.lit(int(GROUP_SHARE * total / shards))
-    if hot:
-        alone = alone | F.col("h").isin(hot)
+    alone = F.col("split") | (F.col("group_size") > F.lit(int(GROUP_SHARE * total / shards)))
     begin = F.col("bytes_before") + F.when(alone, F.col("before")).otherwise(F.col("group_before"))
     span = F.when(alone, F.col("size")).otherwise(F.col("group_size"))
     middle = begin.cast("decimal(38,0)") * 2 + span
