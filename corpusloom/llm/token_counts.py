@@ -5,8 +5,8 @@ prefix: a token t that ends at i follows the encoding of the prefix before it ex
 itself a valid encoding, so count[i] = count[i - len(t)] + 1. Pre-tokens' counts are joined into one array for a
 text, count[k] being the tokens of its first k code points. Truncation and budget questions are then look-ups.
 
-Where a cut could change how the text before it is pre-tokenised (runs of white space, contractions, special
-strings), the counts of those prefixes come from encoding the short span around the cut, or the whole text.
+Where a cut changes how the text before it is pre-tokenised, the counts follow: white space at the end of a prefix is
+one piece, a contraction that is cut is an apostrophe and a letter, a special string that is cut is ordinary text.
 
 Defined cases: a null text counts as empty (one prefix of 0 tokens); equal and repeated rows give a row each; an
 empty table gives an empty result; a null doc_id is carried along; other columns are ignored.
@@ -26,10 +26,12 @@ from ._shared import pick
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long, prefix_tokens array<int>"
 #: Chunks, pieces and pairs of tokens kept in a worker.
 CACHE_CHUNKS, CACHE_PIECES, CACHE_PAIRS = 600_000, 200_000, 400_000
-#: A space beside other white space before it.
+#: Longer chunks and pieces are not kept.
+KEPT_CHARS = 48
+#: A space after other white space.
 DOUBLE_SPACE = re.compile(r"\s ")
-#: White space runs of two, or an apostrophe: within such a chunk a cut can change the pieces before it.
-FRAGILE = re.compile(r"\s\s|'")
+#: White space that a piece need not end with, and contractions that fall apart when cut (fixed values).
+RUN, CUT_APART = r"\s\s+", ("'re", "'ve", "'ll")
 
 
 class PrefixCounter:
@@ -58,6 +60,7 @@ class PrefixCounter:
             self.rank[left, right] = at
             self.made.setdefault(whole, (left, right, at))
         self.split = regex.compile(PIECES).findall
+        self.runs = regex.compile(RUN).finditer
         self.valid: dict[int, bool] = {}
         self.pieces: dict[str, list[int]] = {}
         self.chunks: dict[str, bytes] = {}
@@ -102,55 +105,56 @@ class PrefixCounter:
             last[i], count[i] = token, count[j] + 1
         return count[1:] if n == len(text) else [c for c, b in zip(count[1:], data[1:] + b"\0", strict=True) if b & 0xC0 != 0x80]
 
+    def known(self, p: str) -> list[int]:
+        """piece() of p, kept if it is short."""
+        own = self.pieces.get(p)
+        if own is None:
+            own = self.piece(p)
+            if p in CUT_APART:
+                own[1] = 2
+            if len(p) <= KEPT_CHARS:
+                self.pieces[p] = own
+        return own
+
+    def plain(self, text: str) -> list[int]:
+        """Counts of the prefixes of 1, 2, ... code points of a text without special strings."""
+        counts, base = [], 0
+        for p in self.split(text):
+            own = self.known(p)
+            counts += [base + c for c in own] if base else own
+            base += own[-1]
+        for run in self.runs(text):
+            at = run.start()
+            before = counts[at - 1] if at else 0
+            counts[at : run.end()] = [before + c for c in self.piece(run[0])]
+        return counts
+
     def chunk(self, text: str) -> bytes:
-        """Counts of a chunk's prefixes as unsigned 16- or, where they are long, as 32-bit integers."""
+        """The counts as unsigned 32-bit integers."""
         import numpy as np
 
-        counts: list[int] = []
-        if FRAGILE.search(text) and len(text) < 400:
-            counts = [len(self.lib.encode(text[:k], add_special_tokens=False).ids) for k in range(1, len(text) + 1)]
-        elif FRAGILE.search(text):
-            counts = self.slow(text)[1:]
-        else:
-            base = 0
-            for p in self.split(text):
-                own = self.pieces.get(p)
-                if own is None:
-                    own = self.pieces[p] = self.piece(p)
-                counts += [base + c for c in own] if base else own
-                base = counts[-1]
-        return np.array(counts, "<u4").tobytes()
-
-    def slow(self, text: str) -> list[int]:
-        """Counts for texts with special strings or runs of white space: at each cut only the open span is encoded."""
-        counts, base, start = [0], 0, 0
-        stable = [0]  # where pieces begin whatever follows: a non-space after white space or the other way round
-        for i in range(1, len(text) + 1):
-            if i < len(text) and not text[i].isspace() and text[i - 1] == " " and (i < 2 or not text[i - 2].isspace()):
-                stable.append(i - 1)
-        spans = list(zip(stable, [*stable[1:], len(text)], strict=True))
-        for start, end in spans:
-            own = text[start:end]
-            for k in range(1, len(own) + 1):
-                counts.append(base + len(self.lib.encode(own[:k], add_special_tokens=False).ids))
-            base = counts[-1]
-        return counts
+        return np.array(self.plain(text), "<u4").tobytes()
 
     def text(self, text: str):
-        """An array with the token count of every prefix, from 0 code points to all of them."""
+        """An array with the token count of every prefix, from 0 code points to all of them.
+
+        Texts without white space before a space are counted by chunks, a space and what follows up to the next one.
+        """
         import numpy as np
 
         if any(s in text for s in self.special):
             return np.array(self.by_special(text), np.int64)
         if DOUBLE_SPACE.search(text):
-            return np.array(self.slow(text), np.int64)
+            return np.array([0, *self.plain(text)], np.int64)
         first, *rest = text.split(" ")
         chunks = self.chunks
         own = [self.chunk(first)] if first else []
         for p in rest:
             got = chunks.get(p)
             if got is None:
-                got = chunks[p] = self.chunk(" " + p)
+                got = self.chunk(" " + p)
+                if len(p) <= KEPT_CHARS:
+                    chunks[p] = got
             own.append(got)
         flat = np.frombuffer(b"".join(own), "<u4").astype(np.int64)
         lengths = np.fromiter(map(len, own), np.int64, len(own)) >> 2
