@@ -131,10 +131,10 @@ def rank_sql(ps: list[int], value: str) -> str:
 
 @query(
     f"""select source, count(*)::bigint as n, round(avg(ttr), 4) as mean, {rank_sql([10, 25, 50, 75, 90, 99], "ttr")} from ({METRICS}) where doc_id in
-  (select doc_id from (select doc_id, row_number() over (order by source, doc_id) as k from documents where text <> '') where k % 10 = 0) group by source"""
+  (select doc_id from (select doc_id, row_number() over (order by source, doc_id) as k from documents where text <> '') where k % 100 = 0) group by source"""
 )
 def validator_quality_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.ranked_percentiles(stages.sampled_quality(docs_of(spark, sf_dir), 10), ["source"], "ttr", [10, 25, 50, 75, 90, 99])
+    return statistics.ranked_percentiles(stages.sampled_quality(docs_of(spark, sf_dir), 100), ["source"], "ttr", [10, 25, 50, 75, 90, 99])
 
 
 @query("select lang, count(*)::bigint as n from documents group by lang order by n desc, lang limit 20")
@@ -334,11 +334,11 @@ def yule_herdan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with p as (select doc_id, len(t) as n, unnest(t) as k, generate_subscripts(t, 1) as p from {LEXICAL}),
-b as (select doc_id, n, p, least(100, n) as w, coalesce(lag(p) over (partition by doc_id, k order by p), 0) as before from p)
+b as (select doc_id, n, p, least(500, n) as w, coalesce(lag(p) over (partition by doc_id, k order by p), 0) as before from p)
 select doc_id, round(sum(greatest(0, least(p, n - w + 1) - greatest(1, p - w + 1, before + 1) + 1))::bigint / (any_value(w)::double * (any_value(n) - any_value(w) + 1)), 5) as moving_ttr from b group by doc_id"""
 )
 def mattr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.moving_ratio(docs_of(spark, sf_dir), 100)
+    return lexical.moving_ratio(docs_of(spark, sf_dir), 500)
 
 
 @query()
