@@ -5,7 +5,7 @@ in the segment where the term stands (delta-coded). Positions leave a gap after
 one into the next. Segments are bounded by their number of tokens, are written where the caller says (cut() puts them
 into the shared checkpoint folder) and are never regrouped.
 
-`search` sends the test phrases, a bounded table, to every segment. For each phrase the terms' posting lists are
+`search` sends test phrases, a bounded number at a time, to every segment. For each phrase the terms' posting lists are
 taken from the rarest up; the rarest list, shifted to the phrase's start, is intersected with the next ones, shifted
 by their own offsets, until it is empty or all terms agree. `proximity` finds windows where all terms of a set stand
 within a distance, by the same lists.
@@ -18,7 +18,7 @@ carried along; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,6 +27,8 @@ from ._shared import cut, pick
 WINDOW = 10
 #: Tokens after which a segment is closed.
 SEGMENT_TOKENS = 1_000_000
+#: Windows of test items that are sent to the tasks at a time; more take more passes over the index.
+WINDOWS_PER_PASS = 200_000
 #: A-Z to a-z; every other ASCII byte but digits and letters to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -134,7 +136,7 @@ class Segment:
         """Places of the rarest term that have all other terms within `distance` words."""
         import numpy as np
 
-        lists = sorted((own for t in terms if (own := self.list(t)) is not None), key=len)
+        lists = sorted((own for t in sorted(terms) if (own := self.list(t)) is not None), key=len)
         if len(lists) < len(terms) or not lists:
             return None
         spots = lists[0]
@@ -144,66 +146,102 @@ class Segment:
         return spots if len(spots) else None
 
 
-def item_windows(items: list[tuple], width: int = WINDOW) -> dict[tuple[bytes, ...], list[int]]:
-    """The windows of all items, each with the numbers of the items that have it."""
-    out: dict[tuple[bytes, ...], list[int]] = {}
-    for number, (_, text) in enumerate(items):
+def window_passes(items: Iterable[tuple], width: int = WINDOW, most: int = WINDOWS_PER_PASS) -> Iterator[dict[bytes, list[str]]]:
+    """The items' windows (words joined by spaces) with the ids of the items that have them, `most` at a time."""
+    out: dict[bytes, list[str]] = {}
+    for name, text in items:
         ws = words_of(text)
         for i in range(max(1, len(ws) - width + 1) if ws else 0):
-            own = out.setdefault(tuple(ws[i : i + width]), [])
-            if not own or own[-1] != number:
-                own.append(number)
-    return out
+            own = out.setdefault(b" ".join(ws[i : i + width]), [])
+            if not own or own[-1] != name:
+                own.append(name)
+            if len(out) >= most:
+                yield out
+                out = {}
+    yield out
 
 
-MATCHES = "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,stop:int>>"
+MATCHES = "segment long, at int, doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,stop:int>>"
+COLUMNS = [c.split()[0] for c in MATCHES.split(", ")]
 
 
-def search(index: DataFrame, items: list[tuple], width: int = WINDOW) -> DataFrame:
-    """Every document of the index with the words inside occurrences of the items' windows, and the items they are of.
+def matches_batch(out: list[tuple]):
+    import pyarrow as pa
 
-    items: (item_id, text). Spans are maximal runs of hit words, in words from the document's start.
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], COLUMNS)
+
+
+def search(index: DataFrame, windows: dict[bytes, list[str]], width: int = WINDOW) -> DataFrame:
+    """Every document of the index with the words inside occurrences of the windows, and the items they are of.
+
+    Spans are maximal runs of hit words, in words from the document's start.
     """
-    windows = item_windows(items, width)
-    shared = index.sparkSession.sparkContext.broadcast((list(windows.items()), [str(i) for i, _ in items]))
+    shared = index.sparkSession.sparkContext.broadcast(list(windows.items()))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
-        phrases, names = shared.value
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))]
+        phrases = [(tuple(w.split(b" ")), names) for w, names in shared.value]
         for batch in batches:
             for row in batch.to_pylist():
                 own = Segment(row["doc_lengths"], row["terms"], row["postings"], row["positions"], width)
                 marks = np.zeros(int((own.lengths + width).sum()) + 1, np.int32)
-                found: dict[int, set[int]] = {}
-                for phrase, numbers in phrases:
+                found: dict[int, set[str]] = {}
+                for phrase, names in phrases:
                     starts = own.phrase(phrase)
                     if starts is None:
                         continue
                     np.add.at(marks, starts, 1)
                     np.add.at(marks, starts + len(phrase), -1)
                     for doc in np.unique(np.searchsorted(own.starts, starts, "right") - 1).tolist():
-                        found.setdefault(doc, set()).update(numbers)
+                        found.setdefault(doc, set()).update(names)
                 hit = np.cumsum(marks) > 0
                 out = []
                 for doc, (doc_id, n) in enumerate(zip(row["doc_ids"], row["doc_lengths"], strict=True)):
                     if doc in found:
                         mine = hit[own.starts[doc] : own.starts[doc] + n]
                         edges = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-                        out.append((doc_id, n, int(mine.sum()), sorted({names[i] for i in found[doc]}), [{"start": int(a), "stop": int(b)} for a, b in edges]))
+                        out.append((row["segment"], doc, doc_id, n, int(mine.sum()), sorted(found[doc]), [{"start": int(a), "stop": int(b)} for a, b in edges]))
+                    else:
+                        out.append((row["segment"], doc, doc_id, n, 0, [], []))
+                yield matches_batch(out)
+
+    return index.mapInArrow(run, MATCHES)
+
+
+def merged(passes: list[DataFrame]) -> DataFrame:
+    """One row per document from the rows that several passes over the same index have for it."""
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                spans: list[dict] = []
+                for x in sorted((x for own in row["spans"] for x in own), key=lambda x: (x["start"], x["stop"])):
+                    if spans and x["start"] <= spans[-1]["stop"]:
+                        spans[-1]["stop"] = max(x["stop"], spans[-1]["stop"])
                     else:
-                        out.append((doc_id, n, 0, [], []))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in ("doc_id", "n_words", "n_hit", "item_ids", "spans")])
+                        spans.append(dict(x))
+                out.append((row["segment"], row["at"], row["doc_id"], row["n_words"], sum(x["stop"] - x["start"] for x in spans), sorted({i for own in row["item_ids"] for i in own}), spans))
+            if out:
+                yield matches_batch(out)
+
+    every = passes[0]
+    for p in passes[1:]:
+        every = every.union(p)
+    return every.groupBy("segment", "at", "doc_id", "n_words").agg(F.collect_list("item_ids").alias("item_ids"), F.collect_list("spans").alias("spans")).mapInArrow(run, MATCHES)
 
-    return index.select("doc_ids", "doc_lengths", "terms", "postings", "positions").mapInArrow(run, MATCHES)
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, windows_per_pass: int = WINDOWS_PER_PASS) -> DataFrame:
+    """Builds and stores the index of `docs` (doc_id, text), then searches it for `benchmark` (item_id, text).
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Builds and stores the index of `docs` (doc_id, text), then searches it for `benchmark` (item_id, text)."""
-    items = [(r.item_id, r.text) for r in pick(benchmark, item_id="string", text="string").where("item_id is not null").collect()]
-    return search(cut(build_index(docs, width)), items, width)
+    The items stream through the driver; what is sent to the tasks at a time is bounded by `windows_per_pass`.
+    """
+    own = pick(benchmark, item_id="string", text="string").where("item_id is not null")
+    index = cut(build_index(docs, width))
+    passes = [search(index, w, width) for w in window_passes(((r.item_id, r.text) for r in own.toLocalIterator()), width, windows_per_pass)]
+    return passes[0] if len(passes) == 1 else merged(passes)
 
 
 def digest(matches: DataFrame) -> DataFrame:

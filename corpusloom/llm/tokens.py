@@ -15,6 +15,8 @@ from functools import lru_cache
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 #: Chunks and pieces kept in a worker, about 250 MB.
 CACHE_CHUNKS, CACHE_PIECES = 800_000, 400_000
+#: Longer chunks and pieces are not kept.
+KEPT_CHARS = 48
 #: The pattern of the byte-level pre-tokenizer (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -71,7 +73,9 @@ class Encoder:
         for p in self.split(text):
             ids = self.pieces.get(p)
             if ids is None:
-                ids = self.pieces[p] = self.piece(p)
+                ids = self.piece(p)
+                if len(p) <= KEPT_CHARS:
+                    self.pieces[p] = ids
             own.append(ids)
         return b"".join(own)
 
@@ -84,7 +88,9 @@ class Encoder:
         for p in rest:
             ids = inner.get(p)
             if ids is None:
-                ids = inner[p] = self.chunk(" " + p)
+                ids = self.chunk(" " + p)
+                if len(p) <= KEPT_CHARS:
+                    inner[p] = ids
             own.append(ids)
         return b"".join(own)
 

@@ -40,6 +40,8 @@ def test_decontamination(spark, documents, nothing):
     items = spark.createDataFrame([(i, t, 1) for i, t in ITEMS], "item_id string, text string, doc_id int")
     rows = decontamination.digest(decontamination.decontaminate(documents, items)).collect()
     assert Counter(tuple(r) for r in rows) == Counter((i, *hits(t)) for i, t in ROWS)
+    few = decontamination.digest(decontamination.decontaminate(documents, items, windows_per_pass=7)).collect()
+    assert Counter(tuple(r) for r in few) == Counter(tuple(r) for r in rows)
     assert decontamination.decontaminate(nothing, items).count() == 0
     assert decontamination.decontaminate(documents, items.where("false")).where("n_hit > 0").count() == 0
 
