@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import alpha_ratio, keyed_words, letters, lines, strip, top_ngram_chars, words
 from .lists import BRAZILIAN_MARKERS, EUROPEAN_MARKERS
+from .text import keyed_words, letters, lines, strip
 
 
 def passes_web(text: Column) -> Column:
@@ -70,10 +70,3 @@ def c4_lines(text: Column, least_sentences: int = 3) -> Column:
 
 #: Highest shares of characters for repeated runs of words: most frequent 2 to 4 words (published values).
 TOP_NGRAM_SHARES = {2: 0.20, 3: 0.18, 4: 0.16}
-
-
-def top_ngram_shares(tokens: Column, text: Column) -> dict[int, Column]:
-    return {n: top_ngram_chars(tokens, n) / F.greatest(F.length(text), F.lit(1)) for n in TOP_NGRAM_SHARES}
-
-
-__all__ = ["alpha_ratio", "c4_lines", "gopher_quality", "not_empty", "passes_encyclopedia", "passes_legal", "passes_web", "top_ngram_shares", "valid_year", "variant", "words"]

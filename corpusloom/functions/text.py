@@ -91,26 +91,6 @@ def repeated_chars(ordered: Column) -> Column:
     return F.when(n > 1, F.aggregate(own, F.lit(0), lambda a, x: a + x)).otherwise(F.lit(0))
 
 
-def top_ngram_chars(tokens: Column, n: int) -> Column:
-    """Word lengths of the most frequent run of n words times its count; of equal counts the first seen.
-
-    The runs are sorted with their places, then folded run by run, all within the row.
-    """
-    grams = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.struct(F.array_join(F.slice(tokens, i + 1, n), " ").alias("g"), i.cast("int").alias("p")))
-    start = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("first"), F.lit(0).alias("k"), F.lit(0).alias("best"), F.lit(-1).alias("at"), F.lit(0).alias("chars"))
-
-    def fold(s: Column, x: Column) -> Column:
-        same = s["g"].eqNullSafe(x["g"])
-        k, first = F.when(same, s["k"] + 1).otherwise(1), F.when(same, s["first"]).otherwise(x["p"])
-        wins = (k > s["best"]) | ((k == s["best"]) & (first < s["at"]))
-        return F.struct(
-            x["g"].alias("g"), first.alias("first"), k.alias("k"), F.when(wins, k).otherwise(s["best"]).alias("best"), F.when(wins, first).otherwise(s["at"]).alias("at"),
-            F.when(wins, k * (F.length(x["g"]) - (n - 1))).otherwise(s["chars"]).alias("chars"),
-        )
-
-    return F.when(F.size(tokens) >= n, F.aggregate(F.array_sort(grams), start, fold, lambda s: s["chars"])).otherwise(F.lit(0))
-
-
 def keyed_words(listed: list[str], text: Column) -> Column:
     """How many of the listed strings the text contains."""
     total = F.lit(0)

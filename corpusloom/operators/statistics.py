@@ -87,3 +87,11 @@ def funnel(df: DataFrame, *stages: tuple[str, Column]) -> DataFrame:
     counts = [F.count_if(F.col("stage") == n).alias(f"skip_{n}") for n, _ in stages]
     out = df.select(stage.alias("stage")).agg(F.count("*").alias("seen"), *counts, F.count_if(F.col("stage") == "kept").alias("kept"))
     return out.withColumn("retention", F.round(F.col("kept") / F.greatest("seen", F.lit(1)), 6))
+
+
+def described(report: DataFrame, key: str, facts: dict[str, tuple[str, str]], unknown: str = "—") -> DataFrame:
+    """The report with licence and domain of each key from a small dimension; `unknown` where it has none."""
+    rows = [(k, *v) for k, v in facts.items()]
+    dimension = report.sparkSession.createDataFrame(rows, f"{key} string, license string, domain string")
+    joined = report.join(F.broadcast(dimension), key, "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(unknown)) for c in ("license", "domain")})

@@ -144,9 +144,8 @@ def lang_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select s.source, s.docs, coalesce(f.license, '—') as license, coalesce(f.domain, '—') as domain from (select source, count(*)::bigint as docs from documents group by source) s left join (values ('src0', 'CC0', 'web'), ('src1', 'CC BY-SA 4.0', 'web')) f(source, license, domain) using (source)")
 def source_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = spark.createDataFrame([("src0", "CC0", "web"), ("src1", "CC BY-SA 4.0", "web")], "source string, license string, domain string")
     g = read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("docs"))
-    return g.join(F.broadcast(facts), "source", "left").select("source", "docs", F.coalesce("license", F.lit("—")).alias("license"), F.coalesce("domain", F.lit("—")).alias("domain"))
+    return statistics.described(g, "source", {"src0": ("CC0", "web"), "src1": ("CC BY-SA 4.0", "web")})
 
 
 def sql_hits(words: list[str]) -> str:
@@ -254,7 +253,7 @@ select doc_id, round(coalesce(a.c, 0) / length(text)::double, 4) as top_2gram_ch
 from d left join {top_sql(2)} a using (doc_id) left join {top_sql(3)} b using (doc_id) left join {top_sql(4)} e using (doc_id)"""
 )
 def gopher_top_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stages.signals(docs_of(spark, sf_dir)).select("doc_id", "top_2gram_char_frac", "top_3gram_char_frac", "top_4gram_char_frac")
+    return stages.top_ngrams(docs_of(spark, sf_dir))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import clean, filters, lists, personal, text as tx
 from ..operators import dedup, statistics
+from ..operators.ngrams import with_top_ngrams
 
 
 @dataclass
@@ -46,14 +47,14 @@ class CrawlFilter:
     least_stop_words: int = 2
 
     def flags(self, df: DataFrame) -> DataFrame:
-        own = df.where("text is not null").withColumn("w", tx.words(F.col("text"))).withColumn("ls", F.array_sort(F.filter(F.transform(tx.lines(F.col("text")), tx.strip), lambda x: x != "")))
+        own = with_top_ngrams(df.where("text is not null")).withColumn("w", tx.words(F.col("text"))).withColumn("ls", F.array_sort(F.filter(F.transform(tx.lines(F.col("text")), tx.strip), lambda x: x != "")))
         good = F.lit(True)
         for rule in filters.gopher_quality(F.col("w"), F.col("text")).values():
             good = good & rule
         n = F.greatest(F.length("text"), F.lit(1))
         calm = (tx.in_groups(F.col("ls")) / F.greatest(F.size("ls"), F.lit(1)) <= 0.3) & (tx.repeated_chars(F.col("ls")) / n <= 0.2)
-        for k, share in filters.top_ngram_shares(F.col("w"), F.col("text")).items():
-            calm = calm & (share <= filters.TOP_NGRAM_SHARES[k])
+        for k, most in filters.TOP_NGRAM_SHARES.items():
+            calm = calm & (F.col(f"top_{k}gram_chars") / n <= most)
         stops = F.array(*[F.lit(s) for s in self.stop_words])
         enough = F.size(F.filter("w", lambda x: F.array_contains(stops, F.lower(x)))) >= self.least_stop_words
         return own.select(*df.columns, good.alias("gopher_quality"), calm.alias("repetition"), filters.c4_lines(F.col("text")).isNotNull().alias("c4"), enough.alias("stop_words"))
@@ -107,7 +108,7 @@ def characterization(df: DataFrame) -> DataFrame:
 
 
 def signals(df: DataFrame, key: str = "doc_id", stop_words: list[str] | None = None, least_chars: int = 50) -> DataFrame:
-    """Thirteen signals of quality of every document of enough characters, within the row."""
+    """Ten signals of quality of every document of enough characters, within the row; top_ngrams() has the other three."""
     own = df.where(F.length("text") >= least_chars).select(key, "text", tx.words(F.col("text")).alias("w"), tx.lines(F.col("text")).alias("l"))
     own = own.withColumn("sl", F.array_sort(F.filter(F.transform("l", tx.strip), lambda x: x != ""))).withColumn("sp", F.array_sort(F.filter(F.transform(F.split("text", "\n\n"), tx.strip), lambda x: x != "")))
     n_word, n_line, n_char = F.greatest(F.size("w"), F.lit(1)), F.greatest(F.size("l"), F.lit(1)), F.length("text")
@@ -118,11 +119,16 @@ def signals(df: DataFrame, key: str = "doc_id", stop_words: list[str] | None = N
         r(F.size(F.filter("l", lambda x: x.rlike(r"[.!?;:]\s*$"))) / n_line, "frac_lines_end_punct"), r(F.size(F.filter("l", lambda x: ~x.rlike(r"\p{L}"))) / n_line, "frac_no_alpha_lines"),
         r(tx.in_groups(F.col("sl")) / n_line, "dup_line_frac"), r(tx.in_groups(F.col("sp")) / F.greatest(F.size("sp"), F.lit(1)), "dup_para_frac"),
         r(tx.repeated_chars(F.col("sl")) / n_char, "dup_line_char_frac"), r(tx.repeated_chars(F.col("sp")) / n_char, "dup_para_char_frac"),
-        *[r(tx.top_ngram_chars(F.col("w"), n) / n_char, f"top_{n}gram_char_frac") for n in (2, 3, 4)],
         r(tx.share_of_list(F.col("w"), stop_words or lists.SIGNAL_STOP_WORDS), "stop_word_ratio"),
     )
 
 
+def top_ngrams(df: DataFrame, key: str = "doc_id", least_chars: int = 50) -> DataFrame:
+    """Shares of a document's characters in its most frequent run of two, three and four words."""
+    own = with_top_ngrams(df.where(F.length("text") >= least_chars).select(key, "text"))
+    return own.select(key, *[F.round(F.col(f"top_{n}gram_chars") / F.length("text"), 4).alias(f"top_{n}gram_char_frac") for n in (2, 3, 4)])
+
+
 def sampled_quality(df: DataFrame, every: int = 100) -> DataFrame:
     """Nearest-rank percentiles of the measurements of each `every`-th document."""
     m = document_metrics(statistics.systematic_sample(df.where("text is not null and text <> ''"), every, "source", "doc_id"), "source", "doc_id")

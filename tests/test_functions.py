@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from corpusloom.functions import clean, filters, lists, personal, text as tx
+from corpusloom.operators.ngrams import with_top_ngrams
 
 TEXTS = ["Coração é grande.\nDia\n", "a b  c\td", "", "  é  ", "x" * 49, "x" * 50, "Tu vais de comboio, tu e ela.", "você tu", None, "🙂 emoji nbsp", "a\r\nb\fc", "= Head =\n\ntext [12] {{t}} end\n\n\n\nmore", "12\n\n- 3 -\nlast  line"]
 
@@ -93,8 +94,9 @@ def test_shingles_of_short_texts(spark):
 
 
 def test_top_ngram_ties_go_to_the_first(spark):
-    values = ["a b a b", "aa b cc d", "x", "b a b a b a"]
-    assert column(spark, tx.top_ngram_chars(tx.words(F.col("text")), 2), values) == [4, 3, 0, 6]
+    values = ["a b a b", "aa b cc d", "x", "b a b a b a", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(values)], "i int, text string")
+    assert [r.top_2gram_chars for r in with_top_ngrams(df).orderBy("i").collect()] == [4, 3, 0, 6, 0]
 
 
 def test_urls_in_markdown(spark):

@@ -102,6 +102,14 @@ def test_percentiles_by_rank(spark):
     assert got == {"a": (1.0, 5.0, 9.0), "b": (1.0, 1.0, 1.0)}
 
 
+def test_facts_of_sources(spark):
+    from corpusloom.functions.lists import SOURCE_FACTS
+
+    df = spark.createDataFrame([("hplt2", 1), ("other", 2)], "source string, docs int")
+    got = {r.source: (r.license, r.domain) for r in statistics.described(df, "source", SOURCE_FACTS).collect()}
+    assert got == {"hplt2": ("CC0", "geral/web"), "other": ("—", "—")}
+
+
 def test_funnel_adds_up(spark):
     r = statistics.funnel(spark.range(100), ("odd", F.col("id") % 2 == 0), ("big", F.col("id") < 50)).first()
     assert (r.seen, r.skip_odd, r.skip_big, r.kept) == (100, 50, 25, 25)
@@ -176,11 +184,11 @@ def test_binding_by_name(spark):
 def test_evaluation_files(spark, tmp_path):
     d = tmp_path / "m1"
     d.mkdir()
-    (d / "r.json").write_text(json.dumps({"results": {"lambada_pt": {"acc,none": 0.5, "alias": "x", "acc_norm,none": 0.6}}, "model_name": "", "config": {"model_args": "pretrained=org/tucano-1b1,dtype=x"}, "date": "1"}))
+    (d / "r.json").write_text(json.dumps({"results": {"lambada_pt": {"acc,none": 0.5, "alias": "x", "acc_norm,none": 0.6}}, "model_name": "", "config": {"model_args": "pretrained=org/small-1b1,dtype=x"}, "date": "1"}))
     (d / "bad.json").write_text("{")
     got = readers.preferred_metric(readers.evaluation_results(spark, str(tmp_path)), ["acc_norm", "acc"])
-    got = readers.named_models(got, [("tucano-1b1", "Tucano"), ("tucano", "other")])
-    assert [(r.name, r.task, r.value) for r in got.collect()] == [("Tucano", "lambada_pt", 60.0)]
+    got = readers.named_models(got, [("small-1b1", "Small"), ("small", "other")])
+    assert [(r.name, r.task, r.value) for r in got.collect()] == [("Small", "lambada_pt", 60.0)]
     (d / "samples_arc_2026-01-01T.jsonl").write_text('{"doc_id": 1, "acc": 0}\n')
     (d / "samples_arc_2026-02-01T.jsonl").write_text('{"doc_id": 1, "acc,none": 0}\noops\n{"doc_id": 1, "acc,none": 1}\n{"doc_id": 2, "acc_norm": 1}\n')
     assert {(r.doc_id, r.correct) for r in readers.sample_lines(spark, str(tmp_path)).collect()} == {(1, 1), (2, 1)}
