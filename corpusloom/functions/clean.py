@@ -106,11 +106,19 @@ def top_domain(url: Column) -> Column:
 
 def markdown_urls(text: Column) -> Column:
     """Link targets, then bare addresses, each once, in order."""
-    targets = F.regexp_extract_all(text, F.lit(r"\]\((https?://[^)\s]+)\)"), 1)
-    bare = F.regexp_extract_all(text, F.lit(r"(?<!\()(https?://[^\s)\]>\"'`]+)"), 1)
+    targets = F.regexp_extract_all(text, F.lit(r"\[[^\n]*?\]\((https?://[^)]+)\)"), 1)
+    bare = F.regexp_extract_all(text, F.lit(r"(?<!\()(https?://[^\s)\]]+)"), 1)
     return F.array_distinct(F.concat(targets, bare))
 
 
+def skipped_url(url: Column, parts: list[str]) -> Column:
+    """Whether the address contains one of the listed parts."""
+    out = F.lit(False)
+    for p in parts:
+        out = out | F.contains(url, F.lit(p))
+    return out
+
+
 def answer(text: Column) -> Column:
     """The first word, lower-cased, without punctuation at its ends."""
     cls = r"[.,;:!?\"'()\[\]]+"

@@ -120,3 +120,15 @@ def training_summary(log: DataFrame) -> DataFrame:
         F.count("*").alias("logged"), F.sum("skipped").alias("skipped"), F.sum("failed").alias("failed"), F.max(F.nanvl("grad_norm", F.lit(None).cast("double"))).alias("max_grad"),
         F.max_by("iteration", F.nanvl("grad_norm", F.lit(None).cast("double"))).alias("max_grad_at"), last.alias("last_loss"), F.round(F.pow(F.lit(2.718281828), last), 6).alias("perplexity"),
     )
+
+
+def merged_results(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """All keys of both tables; where both have a value the newer table's stands."""
+    cols = [c for c in old.columns if c != key]
+    theirs = new.select(key, *[F.col(c).alias(f"_{c}") for c in cols])
+    return old.join(theirs, key, "full_outer").select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in cols])
+
+
+def delta_to(ours: DataFrame, published: DataFrame, key: str, value: str) -> DataFrame:
+    """Our value less the published one, for keys in both."""
+    return ours.join(F.broadcast(published.select(key, F.col(value).alias("published"))), key).withColumn("delta", F.round(F.col(value) - F.col("published"), 6))

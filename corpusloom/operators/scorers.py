@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
@@ -62,5 +61,39 @@ def stop_word_language(lists: dict[str, list[str]]) -> Callable[[], Callable[[li
     return make
 
 
-def bits_of_ppl(ppl: float) -> float:
-    return math.log2(ppl)
+def tokenizer_rates(docs: DataFrame, path: str, key: str = "doc_id", least: int = 10) -> DataFrame:
+    """tokens, fertility (tokens per word) of the first 8192 characters; share of the first 200 words in the first 2000
+    characters that are one token, by the tokenizer file at `path`; documents of enough characters."""
+
+    def run(batches: Iterator) -> Iterator:
+        import os
+
+        import pyarrow as pa
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        lib = Tokenizer.from_file(path)
+        count = lambda ts: [len(e.ids) for e in lib.encode_batch_fast(ts, add_special_tokens=False)]
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                texts = part.column(1).to_pylist()
+                heads = [t[:8192] for t in texts]
+                ws = [t[:2000].split()[:200] for t in texts]
+                tokens = count(heads)
+                single = [sum(n == 1 for n in count(w)) / len(w) if w else 0.0 for w in ws]
+                fertility = [n / max(len(h.split()), 1) for n, h in zip(tokens, heads, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), pa.array(fertility), pa.array(single)], [key, "tokens", "fertility", "single_token_share"])
+
+    own = docs.where(F.length("text") >= least).select(key, "text")
+    return own.mapInArrow(run, f"`{key}` {dict(own.dtypes)[key]}, tokens bigint, fertility double, single_token_share double")
+
+
+def extrapolated(rates: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row: documents measured, mean tokens, tokens of all documents at that mean, bytes per token, means of the rates."""
+    total = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("bigint")).alias("bytes"))
+    m = rates.agg(F.count("*").alias("sample_size"), F.avg("tokens").alias("mean_tokens"), F.round(F.avg("fertility"), 4).alias("fertility_mean"), F.round(F.percentile("fertility", F.lit(0.5)), 4).alias("fertility_p50"), F.round(F.percentile("fertility", F.lit(0.95)), 4).alias("fertility_p95"), F.round(F.avg("single_token_share"), 4).alias("strr_mean"))
+    both = m.join(F.broadcast(total))  # single rows
+    estimate = F.floor(F.col("mean_tokens") * F.col("n")).cast("bigint")
+    return both.select("sample_size", F.round("mean_tokens", 2).alias("mean_tokens_per_doc"), estimate.alias("total_tokens_est"), "fertility_mean", "fertility_p50", "fertility_p95", F.round(F.col("bytes") / F.greatest(estimate, F.lit(1)), 4).alias("bytes_per_token"), "strr_mean")

@@ -612,3 +612,67 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("source").distinct()
     return d.select("source", (F.row_number().over(W.orderBy("source")) - 1).cast("long").alias("source_rank"))  # a row per source
+
+
+@query()
+def wide_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dedup.wide_signatures(docs_of(spark, sf_dir), "doc_id")
+    return d.select("doc_id", F.col("signature")[0].alias("first_lane"), F.hash("signature").alias("digest"))
+
+
+@query()
+def source_overlap_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.overlap(docs_of(spark, sf_dir), "lang", wide=True)
+
+
+@query()
+def tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    d = docs_of(spark, sf_dir)
+    return scorers.extrapolated(scorers.tokenizer_rates(d, public_tokenizers.path("byte_bpe_50k.json")), d)
+
+
+@query("select event_type as status, count(*)::bigint as n from events where coalesce(event_type, '') <> '' group by 1 order by n desc, status limit 100")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.top(read(spark, sf_dir, "events").where("event_type <> ''").select(F.col("event_type").alias("status")), "status", 100)
+
+
+LINKS = "regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)"
+
+
+@query(f"select u as url, min(page_id) as first_page, count(*)::bigint as pages from (select distinct page_id, unnest({LINKS}) as u from pages) group by u")
+def first_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1))
+    d = read(spark, sf_dir, "pages").select("page_id", F.explode(links).alias("url"))
+    return d.groupBy("url").agg(F.min("page_id").alias("first_page"), F.count("*").alias("pages"))
+
+
+@query("select source, count(*)::bigint as docs, (count(*) * 4)::bigint as web_estimate, (count(*) * 500)::bigint as encyclopedia_estimate, (count(*) * 250)::bigint as legal_estimate from documents group by source")
+def manifest_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("docs"))
+    return g.select("source", "docs", *[(F.col("docs") * k).alias(f"{n}_estimate") for n, k in (("web", 4), ("encyclopedia", 500), ("legal", 250))])
+
+
+SCORES = "select lang as model, round(avg(n_chars), 4) as value from documents where {} group by lang"
+
+
+@query(f"select coalesce(b.model, a.model) as model, coalesce(b.value, a.value) as value from ({SCORES.format('doc_id % 2 = 0')}) a full join ({SCORES.format(chr(39) + 'en' + chr(39) + ' <> lang')}) b on a.model = b.model")
+def merged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    means = lambda own: own.groupBy(F.col("lang").alias("model")).agg(F.round(F.avg("n_chars"), 4).alias("value"))
+    return evaluation.merged_results(means(d.where("doc_id % 2 = 0")), means(d.where("lang <> 'en'")), "model")
+
+
+@query("select a.lang as model, a.value, b.published, round(a.value - b.published, 6) as delta from (select lang, round(avg(quality) * 100, 4) as value from labels join documents using (doc_id) group by lang) a join (values ('en', 80.0::double), ('fr', 75.5::double)) b(model, published) on a.lang = b.model")
+def harness_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("model")), "doc_id")
+    ours = evaluation.accuracy(d, ["model"], "quality").select("model", F.col("accuracy").alias("value"))
+    published = spark.createDataFrame([("en", 80.0), ("fr", 75.5)], "model string, value double")
+    return evaluation.delta_to(ours, published, "model", "value")
+
+
+@query("select case when sum(docs) > 0 then 'all' end as scope, sum(docs)::bigint as docs, sum(chars)::bigint as chars from (select lang, count(*) as docs, sum(n_chars) as chars from documents group by lang)")
+def cross_source_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
+    return per.agg(F.sum("docs").alias("docs"), F.sum("chars").alias("chars")).select(F.lit("all").alias("scope"), "docs", "chars")

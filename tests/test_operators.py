@@ -47,6 +47,15 @@ def test_signature_similarity():
     assert (a == a).mean() == 1 and (a == b).mean() < 0.1 and dedup.signature("one two three four") is None
 
 
+def test_wide_signatures_match_their_definition():
+    import hashlib
+
+    runs = {" ".join(BASE.split()[i : i + 13]) for i in range(28)}
+    want = [min(((int(hashlib.sha256(r.encode()).hexdigest(), 16) % 2**64 * (i + 1)) ^ (i * 2654435761)) % 2**64 for r in runs) for i in (0, 1, 127)]
+    got = dedup.wide_signature(BASE)
+    assert [int(got[i]) + 2**63 for i in (0, 1, 127)] == want
+
+
 def test_goldens_of_the_paired_test():
     for b10, b01, p in ((212, 190, 0.2949), (227, 195, 0.1313), (173, 168, 0.8285), (231, 126, 0.0), (145, 199, 0.0043)):
         assert round(evaluation.mcnemar(b10, b01), 4) == p
