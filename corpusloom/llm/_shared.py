@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: ASCII white space, the separators of `[^\x20\x09-\x0D]+` words; bytes.split() uses the same set.
-ASCII_SPACE = " \t\n\x0b\x0c\r"
+from ..session import cut, ensure_checkpoint_dir  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,22 +24,8 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     return own.select(*[F.col(f"_c{df.columns.index(n)}").cast(t).alias(n) for n, t in types.items()])
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of this process's own only where none is set (tests)."""
-    sc = spark.sparkContext
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
-    sc.setCheckpointDir(shared)
-    return shared
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut: written to the shared checkpoint folder, so lost executors cost nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def slices(batches: Iterator, rows: int = 512) -> Iterator:
+    """The batches in pieces of few rows, so that a worker holds few texts as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -24,7 +24,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from ._shared import pick
+from ._shared import pick, slices
 from .labelled import held_out, labelled_sample
 
 PASSAGE_WORDS, HASHED, HIDDEN, GATE = 48, 48, 32, 16
@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             found = [np.concatenate(list(blocks_of(t))).ravel() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float32())), batch.column(2)], ["doc_id", "bag", "label"])
 
@@ -234,7 +234,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, with_atte
         import pyarrow as pa
 
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             scores, weights = [], []
             for text in batch.column(1).to_pylist():
                 p, seen = own.bag(blocks_of(text))

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import cut, pick
+from ._shared import cut, pick, slices
 
 RADIUS, BITS, SHINGLE = 3, 64, 3
 #: Variants that a part should hold, and the least number of parts as a power of two.
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             own = [signed(fingerprint(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64())], ["doc_id", "f"])
 

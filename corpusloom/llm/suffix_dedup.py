@@ -35,7 +35,7 @@ from ._shared import cut, pick
 
 LENGTH, SEED = 400, 64
 #: Bytes that a shard should hold, representatives of one hash that may share a shard.
-SHARD_BYTES, GROUP = 2_000_000, 2000
+SHARD_BYTES, GROUP = 1_000_000, 2000
 #: Alphabets up to this size are induced bucket by bucket; larger reduced strings are ordered by doubling.
 BUCKETWISE = 4096
 BASE = 0x5851F42D4C957F2D  # an odd multiplier
@@ -50,8 +50,8 @@ def suffix_types(s):
     import numpy as np
 
     n = len(s)
-    step = np.sign(np.diff(s.astype(np.int64)))
-    at = np.where(step != 0, np.arange(n - 1), n)
+    step = np.sign(np.diff(s.astype(np.int32))).astype(np.int8)
+    at = np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n))
     at = np.minimum.accumulate(at[::-1])[::-1]  # the next place where neighbours differ
     out = np.ones(n, bool)
     out[:-1] = step[np.minimum(at, n - 2)] > 0
@@ -68,6 +68,7 @@ def induce(s, small, seeds, counts):
 
     k = len(counts)
     heads: list[list] = [[] for _ in range(k)]
+    seeds = seeds.astype(np.int32)
     first = s[seeds]
     edges = np.searchsorted(first[(order := np.argsort(first, kind="stable"))], np.arange(k + 1))
     seeded = [seeds[order[edges[c] : edges[c + 1]]] for c in range(k)]
@@ -97,7 +98,8 @@ def induce(s, small, seeds, counts):
         waves(heads[c], heads, False)
         if len(seeded[c]):
             spread(seeded[c], heads, False)
-    large = [np.concatenate(h) if h else np.empty(0, np.int64) for h in heads]
+    large = [np.concatenate(h) if h else np.empty(0, np.int32) for h in heads]
+    del heads
     tails: list[list] = [[] for _ in range(k)]
     for c in range(k - 1, -1, -1):
         waves(tails[c], tails, True)
@@ -107,7 +109,7 @@ def induce(s, small, seeds, counts):
     for c in range(k):
         out.append(large[c])
         out += [x[::-1] for x in reversed(tails[c])]
-    out[0] = np.array([len(s) - 1])  # the sentinel
+    out[0] = np.array([len(s) - 1], np.int32)  # the sentinel
     return np.concatenate(out)
 
 
@@ -177,11 +179,11 @@ def permuted_common_prefixes(data: bytes, order):
     import numpy as np
 
     n = len(data)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[order[1:]] = order[:-1]
     b = np.frombuffer(data + bytes(16), np.uint8)
     words = np.lib.stride_tricks.sliding_window_view(b, 8)[: n + 8].copy().view(np.uint64).ravel()
-    i = np.arange(n)
+    i = np.arange(n, dtype=np.int32)
     has = phi >= 0
     new = has & ((i == 0) | (phi == 0) | (b[i - 1] != b[phi - 1]))
     new |= ~has
@@ -213,11 +215,11 @@ def repeated_starts(stretches: list[bytes], length: int = LENGTH):
     import numpy as np
 
     data = b"\xff".join(stretches) + b"\xff"  # no UTF-8 text has this byte
-    letters = np.frombuffer(data, np.uint8).astype(np.int64) + 1
+    letters = np.frombuffer(data, np.uint8)
     present = np.unique(letters)
-    dense = np.zeros(258, np.int64)
+    dense = np.zeros(256, np.int16)  # sorted by radix
     dense[present] = np.arange(1, len(present) + 1)
-    order = suffix_array(np.append(dense[letters], 0), len(present) + 1)[1:]
+    order = suffix_array(np.append(dense[letters], np.int16(0)), len(present) + 1)[1:]
     phi, common = permuted_common_prefixes(data, order)
     again = np.zeros(len(data), bool)
     hit = np.flatnonzero(common >= length)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import cut, pick
+from ._shared import cut, pick, slices
 from .labelled import held_out, labelled_sample
 
 SIZES = (3, 4, 5, 6)
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES):
         import pyarrow as pa
 
         own, sums, docs = Grams(features), np.zeros((2, features), np.int64), [0, 0]
-        for batch in batches:
+        for batch in slices(batches):
             for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 sums[label, own(text)] += 1
                 docs[label] += 1
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES):
         import pyarrow as pa
 
         own, counted = Grams(features), shared.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [(g := own(t))[counted[g]].astype("int32") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], ["doc_id", "grams", "label"])
 
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model, keep: tuple[str, ...] = (), features: int = FE
         import pyarrow as pa
 
         (weights, bias), own = shared.value, Grams(features)
-        for batch in batches:
+        for batch in slices(batches):
             z = np.array([weights[own(t)].sum(dtype=np.float64) + bias for t in batch.column(1).to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             out = [pa.array([held_out(i, FOLDS, HELD_FOLD) for i in batch.column(0).to_pylist()], pa.bool_()), pa.array(p), pa.array((p >= threshold).astype(np.int32))]
