@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import clean, filters, lists, personal, text as tx
 from ..operators import contamination, dedup, evaluation, lexical, scorers, statistics
+from ..session import cut
 from ..sources import writers
 from . import stages
 
@@ -374,7 +375,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def banded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.buckets(dedup.signatures(scored(spark, sf_dir), "doc_id", "score"), "doc_id", "score")
+    return cut(dedup.buckets(dedup.signatures(scored(spark, sf_dir), "doc_id", "score"), "doc_id", "score"))
 
 
 def gone(bands: DataFrame) -> DataFrame:
@@ -419,8 +420,7 @@ select doc_id, best, round(len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x)
 where round(len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x)))::double, 6) >= 0.8"""
 )
 def verified_neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = scored(spark, sf_dir)
-    bands = dedup.buckets(dedup.signatures(d, "doc_id", "score"), "doc_id", "score")
+    d, bands = docs_of(spark, sf_dir), banded(spark, sf_dir)
     sets = d.select("doc_id", clean.normalize_for_dedup(F.col("text")).alias("t")).select("doc_id", F.split("t", " ").alias("w")).select("doc_id", tx.shingles(F.col("w"), 5).alias("grams"))
     return dedup.verified_pairs(bands, sets, "doc_id", 0.8, -F.col("score"))
 

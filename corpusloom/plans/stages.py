@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import clean, filters, lists, personal, text as tx
 from ..operators import dedup, statistics
 from ..operators.ngrams import with_top_ngrams
+from ..session import cut
 
 
 @dataclass
@@ -76,9 +77,9 @@ class Deduplication:
         """The documents kept, the keys removed, the report."""
         ranked = docs.withColumn("source_rank", dedup.source_rank(F.col("source"), self.priority))
         signed = dedup.signatures(ranked, self.key, "score", "source_rank")
-        bands = dedup.buckets(signed, self.key, "score", "source_rank")
+        bands = cut(dedup.buckets(signed, self.key, "score", "source_rank"))  # signatures are made once
         gone = dedup.removed(bands, self.key, -F.col("score"), F.col("source_rank"))
-        indexed = docs if self.strict else docs.join(signed.select(self.key), self.key, "left_semi")
+        indexed = docs if self.strict else docs.join(bands.where("band = 0").select(self.key), self.key, "left_semi")
         return dedup.keep_best(indexed, self.key, gone), gone, dedup.report(bands, gone, docs, self.key)
 
 
