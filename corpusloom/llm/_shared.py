@@ -25,7 +25,23 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
 
 
 def slices(batches: Iterator, rows: int = 512) -> Iterator:
-    """The batches in pieces of few rows, so that a worker holds few texts as Python strings at a time."""
+    """The batches in pieces of few rows, so that a worker holds few texts as Python strings at a time.
+
+    At the end freed memory goes back to the system: workers live on, and their share of an executor is bounded.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -22,11 +22,11 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import cut, pick
+from ._shared import cut, pick, slices
 
 WINDOW = 10
 #: Tokens after which a segment is closed.
-SEGMENT_TOKENS = 1_000_000
+SEGMENT_TOKENS = 500_000
 #: Windows of test items that are sent to the tasks at a time; more take more passes over the index.
 WINDOWS_PER_PASS = 200_000
 #: A-Z to a-z; every other ASCII byte but digits and letters to a space.
@@ -72,18 +72,16 @@ def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
             )
 
         ids, lengths, own, n = [], [], [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ws = words_of(text)
-                    ids.append(doc_id)
-                    lengths.append(len(ws))
-                    own.append(ws)
-                    n += len(ws) + 1
-                    if n >= SEGMENT_TOKENS:
-                        yield close(ids, lengths, own)
-                        ids, lengths, own, n = [], [], [], 0
+        for part in slices(batches, 256):
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                ws = words_of(text)
+                ids.append(doc_id)
+                lengths.append(len(ws))
+                own.append(ws)
+                n += len(ws) + 1
+                if n >= SEGMENT_TOKENS:
+                    yield close(ids, lengths, own)
+                    ids, lengths, own, n = [], [], [], 0
         if ids:
             yield close(ids, lengths, own)
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from ._shared import pick
+from ._shared import pick, slices
 
 #: Remainders a task holds while it packs.
 HELD = 1024
@@ -164,14 +164,12 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
             schema = schema or ARROW()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = encode.texts([t or "" for t in part.column(1).to_pylist()])
-                for doc_id, own in zip(part.column(0).to_pylist(), ids, strict=True):
-                    packer.add(doc_id, own + tail)
-                if len(packer.rows) >= 4096:
-                    yield out(packer.drain())
+        for part in slices(batches, 256):
+            ids = encode.texts([t or "" for t in part.column(1).to_pylist()])
+            for doc_id, own in zip(part.column(0).to_pylist(), ids, strict=True):
+                packer.add(doc_id, own + tail)
+            if len(packer.rows) >= 4096:
+                yield out(packer.drain())
         packer.pack(0)
         if packer.rows:
             yield out(packer.drain())

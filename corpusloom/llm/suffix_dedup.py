@@ -31,7 +31,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import cut, pick
+from ._shared import cut, pick, release, slices
 
 LENGTH, SEED = 400, 64
 #: Bytes that a shard should hold, representatives of one hash that may share a shard.
@@ -311,12 +311,10 @@ def numbered(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         from pyspark import TaskContext
 
         pack, n = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                z = [pack.compress((t or "").encode()) for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(range(n, n + len(z)), pa.int64()), pa.array(z, pa.binary()), *part.columns[1:]], names)
-                n += len(z)
+        for part in slices(batches):
+            z = [pack.compress((t or "").encode()) for t in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(range(n, n + len(z)), pa.int64()), pa.array(z, pa.binary()), *part.columns[1:]], names)
+            n += len(z)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in own.dtypes[1:])
     return cut(own.mapInArrow(run, f"r long, z binary, {schema}" if schema else "r long, z binary"))
@@ -364,7 +362,8 @@ def shard_spans(key, table):
     import pyarrow as pa
 
     table = table.sort_by([("h", "ascending"), ("c", "ascending"), ("r", "ascending")])
-    found = repeated_starts([s for s in table.column("stretch").to_pylist()])
+    found = repeated_starts(table.column("stretch").to_pylist())
+    release()
     out = []
     for own, r, start, n in zip(found, *(table.column(c).to_pylist() for c in ("r", "start", "n")), strict=True):
         if n == 1:
