@@ -13,8 +13,8 @@ from functools import lru_cache
 
 #: A space with white space before it and white space or the end after it.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
-#: Chunks and pieces kept in a worker, about 130 MB.
-CACHE_CHUNKS, CACHE_PIECES = 500_000, 200_000
+#: Chunks and pieces kept in a worker, about 220 MB.
+CACHE_CHUNKS, CACHE_PIECES = 800_000, 400_000
 #: Longer chunks and pieces are not kept.
 KEPT_CHARS = 48
 #: The pattern of the byte-level pre-tokenizer (fixed value).
