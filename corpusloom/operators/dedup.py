@@ -1,8 +1,8 @@
 """Near-duplicate removal by MinHash bands: signatures, buckets, the best document of each bucket, reports.
 
 Signatures are made document by document in Arrow batches, without a shuffle; the shuffles are a minimum per
-(band, key), a join with it, and the removal of ids. No pairs are made inside a bucket unless verification asks for them, and then only
-between each document and its bucket's best one.
+(band, key), a join with it, and the removal of ids. No pairs are made inside a bucket unless verification asks for them, and then
+between each document and its bucket's best one, and between further hubs and those that are not yet connected with them.
 """
 
 from __future__ import annotations
@@ -95,16 +95,71 @@ def report(bucketed: DataFrame, gone: DataFrame, seen: DataFrame, key: str) -> D
     return one.withColumn("removal_rate", F.round(F.col("removed") / F.greatest("indexed", F.lit(1)), 6))
 
 
+def similar(pairs: DataFrame, sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """The pairs (`key`, best) whose sets have a Jaccard similarity of `threshold`, with it."""
+    a, b = sets.select(F.col(key), F.col("grams").alias("x")), sets.select(F.col(key).alias("best"), F.col("grams").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    return pairs.join(a, key).join(b, "best").withColumn("jaccard", F.round(common / (F.size("x") + F.size("y") - common), 6)).where(F.col("jaccard") >= threshold).select(key, "best", "jaccard")
+
+
 def verified_pairs(bucketed: DataFrame, sets: DataFrame, key: str, threshold: float, *order: Column) -> DataFrame:
-    """Documents and the best one of a bucket they share, with the true Jaccard similarity where it reaches `threshold`.
+    """Pairs of a common bucket with the true Jaccard similarity where it reaches `threshold`; what any two documents of a
+    bucket have as a link is linked by them, directly or over others.
 
-    sets: key and `grams`, an array of distinct runs of words.
+    Each document is compared with its bucket's best one, then as further_links() says. A pair whose documents are
+    connected already is not listed. sets: key and `grams`, an array of distinct runs of words.
     """
-    best = bucketed.join(cut(best_of_bucket(bucketed, key, *order)), ["band", "key"]).where(F.col(key) != F.col("best")).select(key, "best").distinct()
-    a, b = sets.select(F.col(key), F.col("grams").alias("x")), sets.select(F.col(key).alias("best"), F.col("grams").alias("y"))
-    both = best.join(a, key).join(b, "best")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("jaccard", F.round(common / (F.size("x") + F.size("y") - common), 6)).where(F.col("jaccard") >= threshold).select(key, "best", "jaccard")
+    top = cut(best_of_bucket(bucketed, key, *order))
+    shared = cut(bucketed.join(top, ["band", "key"]).select("band", "key", F.col(key).alias("node"), "best").distinct())
+    first = shared.where("node <> best").select(F.col("node").alias(key), "best").distinct()
+    direct = cut(similar(first, sets, key, threshold))
+    return direct.unionByName(further_links(shared, direct, sets, key, threshold))
+
+
+def further_links(shared: DataFrame, direct: DataFrame, sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Links that join documents of a bucket which the links with its best document leave apart.
+
+    Documents of equal sets count as one. In each round some members of every bucket are hubs, eight and then four times as many as in the
+    round before: they are compared with all members of other components that have not been hubs there, and then leave
+    the bucket. Hubs are not taken from a bucket's largest component. It ends when what is left of every bucket is of one
+    component, so that each pair of a bucket is compared, connected already or of sizes that cannot reach `threshold`.
+
+    shared: band, key, node and best of the buckets of several documents, whose direct links are given.
+    """
+    found = clusters(direct, key, "best").select(F.col(key).alias("node"), F.col("cluster").alias("label"))
+    open_ = cut(shared.join(found, "node", "left").withColumn("label", F.coalesce("label", "node")).where("node <> best"))
+    apart = open_.groupBy("band", "key").agg((F.min("label") < F.max("label")).alias("apart")).where("apart").select("band", "key")
+    open_ = open_.join(apart, ["band", "key"], "left_semi")
+    nodes = open_.groupBy("node").agg(F.min("label").alias("label"))
+    own = cut(sets.join(nodes.withColumnRenamed("node", key), key).select(key, "label", "grams", F.size("grams").alias("n"), F.sha2(F.array_join(F.array_sort("grams"), "\n"), 256).alias("same")))
+    firsts = cut(own.groupBy("same").agg(F.min(key).alias("best"), F.min_by("label", key).alias("first_label")))
+    own = own.join(firsts, "same")
+    links = [direct.limit(0), own.where("label <> first_label").select(key, "best", F.lit(1.0).alias("jaccard"))]  # equal sets
+    sizes = own.where(F.col(key) == F.col("best")).select(F.col(key).alias("node"), "n", (F.xxhash64(key).bitwiseAND(F.lit((1 << 31) - 1)) / (1 << 31)).alias("u"))
+    open_, sets = cut(open_.select("band", "key", "node", "label").join(sizes, "node")), own.where(F.col(key) == F.col("best")).select(key, "grams")
+    hubs_at_once = 8
+    while True:
+        per = cut(open_.groupBy("band", "key", "label").agg(F.count("*").alias("own"), F.min("u").alias("least")))
+        main = per.groupBy("band", "key").agg(F.max(F.struct("own", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1").select("band", "key", F.col("x.label").alias("main"))
+        todo = cut(per.join(main, ["band", "key"]).where("label <> main").groupBy("band", "key", "main").agg(F.sum("own").alias("rest"), F.min("least").alias("least")))
+        if todo.isEmpty():
+            break
+        marked = open_.join(todo, ["band", "key"]).withColumn("hub", (F.col("label") != F.col("main")) & (F.col("u") <= F.greatest("least", hubs_at_once / F.col("rest"))))
+        marked = cut(marked.select("band", "key", "node", "label", "n", "u", "hub"))
+        hubs = marked.where("hub").select("band", "key", F.col("node").alias("best"), F.col("label").alias("other"), F.col("n").alias("m"))
+        may = marked.join(hubs, ["band", "key"]).where((F.col("label") != F.col("other")) & (F.least("n", "m") >= (threshold - 1e-6) * F.greatest("n", "m")))
+        pairs = may.select(F.greatest("node", "best").alias(key), F.least("node", "best").alias("best")).distinct()
+        new = cut(similar(pairs, sets, key, threshold))
+        links.append(new)
+        labels = marked.select("node", "label").distinct()
+        edges = cut(new.join(labels.withColumnRenamed("node", key).withColumnRenamed("label", "a"), key).join(labels.select(F.col("node").alias("best"), F.col("label").alias("b")), "best").select("a", "b").distinct())
+        united = clusters(edges, "a", "b").select(F.col("a").alias("label"), "cluster")
+        open_ = cut(marked.where("not hub").join(united, "label", "left").select("band", "key", "node", F.coalesce("cluster", "label").alias("label"), "n", "u"))
+        hubs_at_once *= 4
+    every = links[0]
+    for x in links[1:]:
+        every = every.unionByName(x)
+    return every
 
 
 def exact_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:

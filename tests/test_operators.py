@@ -42,6 +42,30 @@ def test_clusters(spark):
     assert got == {i: 0 for i in range(21)} | {100: 100, 101: 100}
 
 
+def test_verified_pairs_connect_what_any_two_of_a_bucket_link(spark):
+    import random
+
+    random.seed(7)
+    sets = {1: set(range(900, 940))} | {2 + i: set(range(3 * i, 3 * i + 40)) for i in range(24)}  # far best, drifting chain
+    sets |= {30 + i: set(range(500, 540)) for i in range(6)} | {40 + i: {*range(600, 630), *random.sample(range(630, 660), 8)} for i in range(12)}  # equal sets, loose group
+    buckets = {"a": sorted(sets), "b": [1, 2, 9, 30, 40, 45], "c": [1, 31, 41], "d": random.sample(sorted(sets), 15)}
+    bucketed = spark.createDataFrame([(0, k, d, 1.0 / d) for k, ds in buckets.items() for d in ds], "band int, key string, doc_id long, score double")
+    grams = spark.createDataFrame([(d, [str(g) for g in s]) for d, s in sets.items()], "doc_id long, grams array<string>")
+    got = {(r.doc_id, r.best): r.jaccard for r in dedup.verified_pairs(bucketed, grams, "doc_id", 0.8, -F.col("score")).collect()}
+    jaccard = lambda a, b: round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)
+    want = {(a, b) for ds in buckets.values() for a in ds for b in ds if a < b and jaccard(a, b) >= 0.8}
+
+    def parts(pairs):
+        label = {d: d for d in sets}
+        for _ in sets:
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert {(min(p), max(p)) for p in got} <= want and all(v == jaccard(*p) for p, v in got.items())
+    assert parts(got) == parts(want) and len(set(parts(want).values())) < len(sets)
+
+
 def test_signature_similarity():
     a, b = dedup.signature(BASE), dedup.signature(" ".join(f"q{i}" for i in range(40)))
     assert (a == a).mean() == 1 and (a == b).mean() < 0.1 and dedup.signature("one two three four") is None
