@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .lists import BRAZILIAN_MARKERS, EUROPEAN_MARKERS
-from .text import keyed_words, letters, lines, strip
+from .text import keyed_words, letters, lines, repeated_chars, strip
 
 
 def passes_web(text: Column) -> Column:
@@ -70,3 +70,13 @@ def c4_lines(text: Column, least_sentences: int = 3) -> Column:
 
 #: Highest shares of characters for repeated runs of words: most frequent 2 to 4 words (published values).
 TOP_NGRAM_SHARES = {2: 0.20, 3: 0.18, 4: 0.16}
+#: Highest shares of characters for runs of 5 to 10 words that stood before (published values).
+REPEATED_NGRAM_SHARES = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+
+
+def fineweb_lines(ordered: Column, text: Column) -> Column:
+    """Of the sorted stripped lines that are not empty over 0.12 end in punctuation and under 0.67 have under 30 characters;
+    lines that repeat have under 0.1 of the text's characters. A text without lines does not pass."""
+    n = F.greatest(F.size(ordered), F.lit(1))
+    ends, short = F.size(F.filter(ordered, lambda x: x.rlike(r"[.!?\"']$"))) / n, F.size(F.filter(ordered, lambda x: F.length(x) < 30)) / n
+    return (ends > 0.12) & (short < 0.67) & (repeated_chars(ordered) / F.greatest(F.length(text), F.lit(1)) < 0.1)

@@ -280,6 +280,23 @@ def repetition_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.CrawlFilter().flags(docs_of(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.col("repetition").alias("accepted"))
 
 
+@query()
+def gopher_repetition_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All thirteen repetition rules; repetition_filter has those of lines and the most frequent runs."""
+    return stages.CrawlFilter(strict=True).flags(docs_of(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.col("repetition").alias("accepted"))
+
+
+@query(
+    rf"""with d as (select doc_id, text from documents where text is not null),
+l as (select doc_id, x, count(*) as k from (select doc_id, regexp_replace(x, '^\s+|\s+$', '', 'g') as x from (select doc_id, unnest({LINES}) as x from d)) where x <> '' group by all),
+c as (select doc_id, sum(k) as n, sum(k) filter (regexp_matches(x, '[.!?"'']$')) as ends, sum(k) filter (length(x) < 30) as short, sum(length(x) * (k - 1)) as ch from l group by doc_id)
+select doc_id, coalesce(ends / n::double, 0) > 0.12 and coalesce(short / n::double, 0) < 0.67 and coalesce(ch, 0) / greatest(length(text), 1)::double < 0.1 as accepted from d left join c using (doc_id)"""
+)
+def fineweb_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs_of(spark, sf_dir).where("text is not null").select("doc_id", "text", F.array_sort(F.filter(F.transform(tx.lines(F.col("text")), tx.strip), lambda x: x != "")).alias("ls"))
+    return d.select("doc_id", filters.fineweb_lines(F.col("ls"), F.col("text")).alias("accepted"))
+
+
 C4_SQL = r"array_to_string(list_filter(l, lambda x: regexp_matches(x, '[.!?\"'']\s*$') and not contains(lower(x), 'javascript')), chr(10))"
 
 

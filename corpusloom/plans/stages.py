@@ -41,14 +41,18 @@ class Acquisition:
 
 @dataclass
 class CrawlFilter:
-    """The chain of the crawl: language, word rules, repetition, lines, stop words; one stage, no shuffle."""
+    """The chain of the crawl: language, word rules, repetition, lines, stop words; one stage, no shuffle.
+
+    `strict` adds the repetition rules of paragraphs and of runs of 5 to 10 words, and the line rules of fineweb_lines.
+    """
 
     lang: str | None = None
     stop_words: list[str] = field(default_factory=lambda: lists.SIGNAL_STOP_WORDS)
     least_stop_words: int = 2
+    strict: bool = False
 
     def flags(self, df: DataFrame) -> DataFrame:
-        own = with_top_ngrams(df.where("text is not null")).withColumn("w", tx.words(F.col("text"))).withColumn("ls", F.array_sort(F.filter(F.transform(tx.lines(F.col("text")), tx.strip), lambda x: x != "")))
+        own = with_top_ngrams(df.where("text is not null"), repeated=tuple(filters.REPEATED_NGRAM_SHARES) if self.strict else ()).withColumn("w", tx.words(F.col("text"))).withColumn("ls", F.array_sort(F.filter(F.transform(tx.lines(F.col("text")), tx.strip), lambda x: x != "")))
         good = F.lit(True)
         for rule in filters.gopher_quality(F.col("w"), F.col("text")).values():
             good = good & rule
@@ -56,13 +60,20 @@ class CrawlFilter:
         calm = (tx.in_groups(F.col("ls")) / F.greatest(F.size("ls"), F.lit(1)) <= 0.3) & (tx.repeated_chars(F.col("ls")) / n <= 0.2)
         for k, most in filters.TOP_NGRAM_SHARES.items():
             calm = calm & (F.col(f"top_{k}gram_chars") / n <= most)
+        more = []
+        if self.strict:
+            own = own.withColumn("ps", F.array_sort(F.filter(F.transform(F.split("text", "\n\n"), tx.strip), lambda x: x != "")))
+            calm = calm & (tx.in_groups(F.col("ps")) / F.greatest(F.size("ps"), F.lit(1)) <= 0.3) & (tx.repeated_chars(F.col("ps")) / n <= 0.2)
+            for k, most in filters.REPEATED_NGRAM_SHARES.items():
+                calm = calm & (F.col(f"dup_{k}gram_chars") / n <= most)
+            more = [filters.fineweb_lines(F.col("ls"), F.col("text")).alias("fineweb")]
         stops = F.array(*[F.lit(s) for s in self.stop_words])
         enough = F.size(F.filter("w", lambda x: F.array_contains(stops, F.lower(x)))) >= self.least_stop_words
-        return own.select(*df.columns, good.alias("gopher_quality"), calm.alias("repetition"), filters.c4_lines(F.col("text")).isNotNull().alias("c4"), enough.alias("stop_words"))
+        return own.select(*df.columns, good.alias("gopher_quality"), calm.alias("repetition"), filters.c4_lines(F.col("text")).isNotNull().alias("c4"), enough.alias("stop_words"), *more)
 
     def run(self, df: DataFrame) -> DataFrame:
         own = df.where(F.col("lang") == self.lang) if self.lang else df
-        return self.flags(own).where("gopher_quality and repetition and c4 and stop_words").withColumn("text", filters.c4_lines(F.col("text"))).select(*df.columns)
+        return self.flags(own).where("gopher_quality and repetition and c4 and stop_words" + " and fineweb" * self.strict).withColumn("text", filters.c4_lines(F.col("text"))).select(*df.columns)
 
 
 @dataclass

@@ -170,6 +170,43 @@ def test_crawl_chain_is_one_stage(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_strict_repetition_matches_brute_force(spark):
+    import random
+    from collections import Counter
+
+    random.seed(3)
+    prose = lambda n: " ".join(f"w{random.randrange(5000)}" for _ in range(n))
+    loop, para = prose(30), prose(20)
+    texts = [prose(300), "\n".join(f"{loop} {prose(20)}" for _ in range(6)), "\n\n".join([para, prose(60), para, prose(60), para, "x\ny"]), "\n\n".join([prose(40)] * 2 + [prose(400)]), "", " "]
+    texts += [" ".join([prose(100), *(loop[: 60 + 9 * k], prose(15)) * 3]) for k in range(10)]
+
+    def chars(ws, n):
+        seen, total, free = set(), 0, 0
+        for i in range(len(ws) - n + 1):
+            if i >= free and tuple(ws[i : i + n]) in seen:
+                total, free = total + len("".join(ws[i : i + n])), i + n
+            elif i >= free:
+                seen.add(tuple(ws[i : i + n]))
+        return total
+
+    def calm(t):
+        ws, size = t.split(), max(1, len(t))
+        for own in ([x.strip() for x in t.split("\n") if x.strip()], [x.strip() for x in t.split("\n\n") if x.strip()]):
+            c = Counter(own)
+            if sum(k for k in c.values() if k > 1) > 0.3 * max(1, len(own)) or sum(len(x) * (k - 1) for x, k in c.items()) > 0.2 * size:
+                return False
+        for n, most in ((2, 0.2), (3, 0.18), (4, 0.16)):
+            c = Counter(tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)).most_common(1)
+            if c and c[0][1] * len("".join(c[0][0])) > most * size:
+                return False
+        return all(chars(ws, n) <= most * size for n, most in ((5, 0.15), (6, 0.14), (7, 0.13), (8, 0.12), (9, 0.11), (10, 0.10)))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.repetition for r in stages.CrawlFilter(strict=True).flags(df).collect()}
+    assert got == {i: calm(t) for i, t in enumerate(texts)} and got[0] and not got[1] and not got[2]
+    assert {r.doc_id: r.repetition for r in stages.CrawlFilter().flags(df).collect()}[1]  # the default has no rule for it
+
+
 def test_acquisition(spark):
     raw = spark.createDataFrame([(None, "A" * 60, ""), ("7", "é" * 99 + " ok. ok! ok?", "T")], "id string, text string, title string")
     rows = stages.Acquisition("wiki", "por", "encyclopedia").run(raw).collect()
