@@ -6,10 +6,11 @@ step changes the parity of the number of set bits, it is enough to meet at odd p
 emits its 64 variants one bit away, one of odd parity itself and its 2016 variants two bits away. Distances 1 and 3
 join unlike parities and distance 2 like ones, so each linked pair meets, whatever the data.
 
-The variants are dealt by a linear hash of their bits: the part that variant `f ^ m` goes to is that of f combined
-with that of m. So a fingerprint is sent once to each part that any of its variants falls in (never more often than it
-has variants) and the part makes those variants itself; that is the shuffle on variants with each map side's variants
-of one fingerprint combined. In a part, variants are sorted, and each set of colliding fingerprints is linked to its
+The variants are dealt by parities: the 64 bits are dealt round to b groups, and bit j of a part's number is the parity
+of group j. A variant one bit away differs from its fingerprint in one bit of the part, one two bits away in none or two.
+So a fingerprint of even parity is sent to b parts, one of odd parity to 1 + b (b - 1) / 2, each once, and the part makes
+those variants itself; that is the shuffle on variants with each map side's variants of one fingerprint combined. With b
+growing as the logarithm of the corpus, that is 15 rows a fingerprint at b = 7 and 163 at b = 25. In a part, variants are sorted, and each set of colliding fingerprints is linked to its
 member closest to the variant, every link verified by its distance: a member one step away or none is linked by at most
 3 steps with all others. Members that are all two steps away meet again, where they are linked, in the ball of one of
 them, so nothing is lost and no set emits all its pairs. Each part keeps a spanning forest of its links.
@@ -32,8 +33,9 @@ from pyspark.sql import DataFrame, functions as F
 from ._shared import cut, pick, slices
 
 RADIUS, BITS, SHINGLE = 3, 64, 3
-#: Variants that a part should hold, and the least number of parts as a power of two.
-VARIANTS_PER_PART, LEAST_PART_BITS = 1 << 22, 6
+#: Variants that a part should hold, and the least number of groups of bits. All variants have odd parity, as have their
+#: parts, so half of the numbers are in use.
+VARIANTS_PER_PART, LEAST_PART_BITS = 1 << 22, 7
 #: A-Z to a-z (ASCII only).
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -61,24 +63,41 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and f, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in `keep`, and f, the fingerprint as a signed long."""
+    types = dict(docs.dtypes)
+    own = pick(docs, doc_id="long", text="string", **{c: types[c] for c in keep})
+    names = ["doc_id", *keep, "f"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in slices(batches):
-            own = [signed(fingerprint(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64())], ["doc_id", "f"])
+            prints = [signed(fingerprint(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(prints, pa.int64())], names)
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, f long")
+    return own.mapInArrow(run, ", ".join(["doc_id long", *(f"`{c}` {types[c]}" for c in keep), "f long"]))
 
 
 def part_masks(bits: int):
-    """The part of each single bit, by a fixed linear map of 64 to `bits` bits."""
+    """The part of each single bit: group i mod `bits` of its position i."""
     import numpy as np
 
-    return np.array([(0x9E3779B97F4A7C15 * (i + 1) ^ (i * i * 0xC2B2AE3D27D4EB4F)) % (1 << 64) >> (64 - bits) for i in range(BITS)], np.uint64)
+    return np.uint64(1) << (np.arange(BITS, dtype=np.uint64) % np.uint64(bits))
+
+
+def rows_per_print(bits: int) -> tuple[int, int]:
+    """To how many parts a fingerprint of even and one of odd parity goes."""
+    import numpy as np
+
+    columns = part_masks(bits)
+    even, odd = (len(np.unique(part_of(m, columns))) for m in variant_masks())
+    return even, odd
+
+
+def part_bits(n: int) -> int:
+    """Groups of bits for n distinct fingerprints of 1040 variants on average."""
+    return min(BITS, max(LEAST_PART_BITS, (n * 1040 // VARIANTS_PER_PART).bit_length() + 1))
 
 
 def part_of(values, columns):
@@ -108,7 +127,7 @@ def variant_masks():
 
 def meetings(prints: DataFrame, n: int) -> DataFrame:
     """Verified links a, b (a < b as signed longs) between the distinct fingerprints in column f."""
-    bits = max(LEAST_PART_BITS, ((n * 1040) // VARIANTS_PER_PART).bit_length())
+    bits = part_bits(n)
 
     def emit(batches: Iterator) -> Iterator:
         import numpy as np
@@ -212,17 +231,23 @@ def components(links: DataFrame) -> DataFrame:
         before = (n, s, t)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id for every document of `docs` (doc_id, text)."""
-    rows = cut(fingerprints(docs))
-    groups = cut(rows.groupBy("f").agg(F.min("doc_id").alias("least")))
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id for every document of `docs` (doc_id, text).
+
+    With `keep`, columns that tell rows of one doc_id apart, these too and `first`, the least (doc_id is null, doc_id,
+    *keep) of the component.
+    """
+    rows = cut(fingerprints(docs, keep))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *keep)).alias("least")
+    groups = cut(rows.groupBy("f").agg(least))
     roots = components(meetings(groups, groups.count()))
     named = groups.join(roots, F.col("f") == F.col("node"), "left").select("f", "least", F.coalesce("root", "f").alias("root"))
     merged = cut(named.where("root <> f").select("f", "root", "least").union(groups.join(roots.select(F.col("root").alias("f")).distinct(), "f").select("f", F.col("f").alias("root"), "least")))
-    ids = merged.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = merged.join(ids, "root").select("f", "component_id")
-    labels = groups.join(linked, "f", "left").select("f", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(labels, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    firsts = merged.groupBy("root").agg(F.min("least").alias("first"))
+    linked = merged.join(firsts, "root").select("f", "first")
+    labels = groups.join(linked, "f", "left").select("f", F.coalesce("first", "least").alias("first"))
+    out = rows.join(labels, "f").select("doc_id", *keep, F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"), "first")
+    return out if keep else out.drop("first")
 
 
 def duplicates(docs: DataFrame) -> DataFrame:

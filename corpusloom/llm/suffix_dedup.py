@@ -1,8 +1,8 @@
 """Removal of repeated byte strings with suffix arrays built by induced sorting.
 
-Every byte covered by a string of `LENGTH` bytes that also starts anywhere else is removed. A suffix array over the
-whole corpus is not needed to know this for all of it; it is built over shards that hold, together, every place where
-a repeat is possible:
+Every byte covered by a string of `length` bytes (400 unless the caller says otherwise) that also starts anywhere else
+is removed; with `least_words`, runs of such bytes with fewer words stay. A suffix array over the whole corpus is not
+needed to know this for all of it; it is built over shards that hold, together, every place where a repeat is possible:
 
 1. Each text is cut into segments: runs of window starts whose least 64-byte hash is the same one. Equal windows
    have equal least hashes, so a window repeats only within the segments of one hash.
@@ -10,15 +10,16 @@ a repeat is possible:
    stretch one representative stays; a hash with a single one needs no more unless its own text has the hash twice.
 3. The representatives of the other hashes are put into shards by hash. In each shard suffixes are classified, the
    leftmost smaller ones sorted recursively, the array induced from them, and permuted common prefixes computed:
-   a start repeats exactly if its common prefix with a neighbour in the array has `LENGTH` bytes.
-4. A hash with more than `GROUP` representatives goes another exact way: its windows are counted by a 128-bit hash, in
-   the shuffle, so that no group ever meets in one task.
+   a start repeats exactly if its common prefix with a neighbour in the array has `length` bytes. Every level of the
+   recursion induces; a level of few letters places a bucket at a time, one of many letters or of long runs a suffix.
+4. No array may hold more than `GROUP_BYTES` of one hash, so what one task holds is bounded whatever the texts. The
+   windows of a hash with more go to the shuffle one by one under a 128-bit hash and are counted there.
 
 Texts are compressed and numbered once into the shared checkpoint folder; later joins are by that number, which is
 never skewed. Joins on a stretch's hash can be skewed and are left to skew-splitting sort-merge joins.
 
-Defined cases: a null text is an empty one; texts shorter than LENGTH lose nothing; repeated rows repeat each other, so
-all of a text of LENGTH bytes or more that stands twice goes, in every copy; a cut inside a code point leaves bytes,
+Defined cases: a null text is an empty one; texts shorter than `length` lose nothing; repeated rows repeat each other, so
+all of a text of `length` bytes or more that stands twice goes, in every copy; a cut inside a code point leaves bytes,
 which kept_text drops; an empty table gives an empty result; a null doc_id is carried along; columns to keep are named
 by the caller.
 """
@@ -34,10 +35,10 @@ from pyspark.sql import DataFrame, functions as F
 from ._shared import cut, pick, release, slices
 
 LENGTH, SEED = 400, 64
-#: Bytes that a shard should hold, representatives of one hash that may share a shard.
-SHARD_BYTES, GROUP = 1_000_000, 2000
-#: Alphabets up to this size are induced bucket by bucket; larger reduced strings are ordered by doubling.
-BUCKETWISE = 4096
+#: Bytes that a shard should hold, and bytes of one hash's representatives that may share a shard.
+SHARD_BYTES, GROUP_BYTES = 1_000_000, 2_000_000
+#: A letter's bucket is placed at once if letters have this many suffixes on average and no run is longer than that.
+BUCKET, RUN = 256, 256
 BASE = 0x5851F42D4C957F2D  # an odd multiplier
 STRETCH = 1 << 20  # window starts handled at a time
 
@@ -58,7 +59,7 @@ def suffix_types(s):
     return out
 
 
-def induce(s, small, seeds, counts):
+def induce_buckets(s, small, seeds, counts):
     """All suffixes in order, given the leftmost S-type ones in `seeds` in the order they shall have.
 
     Buckets are passed upwards to place L-types and downwards to place S-types. What a bucket induces into itself
@@ -113,34 +114,57 @@ def induce(s, small, seeds, counts):
     return np.concatenate(out)
 
 
-def doubling(s):
-    """Suffix array of a string over a large alphabet, by ranks of prefixes of doubled length."""
+def longest_run(s) -> int:
     import numpy as np
 
-    n = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
-    width = 1
-    while True:
-        key = rank * (n + 1)
-        key[:-width] += rank[width:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        sorted_key = key[order]
-        new[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
-        if new[order[-1]] == n - 1 or width >= n:
-            return order
-        rank, width = new, width * 2
+    edges = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
+    return int(np.diff(edges).max())
+
+
+def induce_suffixes(s, small, seeds, counts):
+    """All suffixes in order like induce_buckets(), one suffix at a time.
+
+    A suffix's place is free at the head (L-type) or tail (S-type) of its letter's bucket when the one behind it in the
+    string is met, upwards for L-types, then downwards for S-types.
+    """
+    import numpy as np
+
+    n, ends = len(s), np.cumsum(counts)
+    larger, smaller = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)  # the letter before, by its type
+    larger[1:n] = np.where(small[:-1], -1, s[:-1])
+    smaller[1:n] = np.where(small[:-1], s[:-1], -1)
+    order = np.full(n, -1, np.int64)  # -1, a place still free, finds the last entry, where nothing is before
+    first = s[seeds]
+    by = np.argsort(first, kind="stable")
+    first = first[by]
+    order[ends[first] - np.bincount(first, minlength=len(counts))[first] + np.arange(len(by)) - np.searchsorted(first, first)] = seeds[by]
+    order, larger, smaller = order.tolist(), larger.tolist(), smaller.tolist()
+    heads, tails = (ends - counts).tolist(), (ends - 1).tolist()
+    for at in order:
+        c = larger[at]
+        if c >= 0:
+            order[heads[c]] = at - 1
+            heads[c] += 1
+    for i in range(n - 1, -1, -1):
+        c = smaller[order[i]]
+        if c >= 0:
+            order[tails[c]] = order[i] - 1
+            tails[c] -= 1
+    return np.array(order, np.int32)
+
+
+def induce(s, small, seeds, counts):
+    by_bucket = len(s) >= BUCKET * len(counts) and longest_run(s) <= RUN
+    return (induce_buckets if by_bucket else induce_suffixes)(s, small, seeds, counts)
 
 
 def suffix_array(s, k: int):
-    """Suffix array of s, letters 0 to k - 1, where only the last letter is 0."""
+    """Suffix array of s, letters 0 to k - 1, where only the last letter is 0, by induced sorting at every level."""
     import numpy as np
 
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int64)
-    if k > BUCKETWISE:
-        return doubling(s)
     small = suffix_types(s)
     left = np.flatnonzero(small[1:] & ~small[:-1]) + 1  # leftmost S-types
     counts = np.bincount(s, minlength=k)
@@ -236,7 +260,7 @@ def repeated_starts(stretches: list[bytes], length: int = LENGTH):
 # -- segments ----------------------------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def powers(base: int, n: int):
     import numpy as np
 
@@ -245,12 +269,12 @@ def powers(base: int, n: int):
     return np.cumprod(out)
 
 
-def seed_hashes(b):
-    """A hash of the SEED bytes at each place."""
+def seed_hashes(b, length: int):
+    """A hash of the SEED bytes at each place of up to STRETCH + length bytes."""
     import numpy as np
 
     n = len(b)
-    up, down = powers(BASE, STRETCH + LENGTH + 1), powers(pow(BASE, -1, 1 << 64), STRETCH + LENGTH + 1)
+    up, down = powers(BASE, STRETCH + length + 1), powers(pow(BASE, -1, 1 << 64), STRETCH + length + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     h = (total[SEED:] - total[:-SEED]) * down[: n - SEED + 1]
@@ -271,7 +295,7 @@ def least_in_windows(h, width: int):
     return np.minimum(before[:n], after[width - 1 : width - 1 + n])
 
 
-def segments(data: bytes):
+def segments(data: bytes, length: int = LENGTH):
     """Each segment's least hash, first window start, number of starts, and whether its text has the hash twice.
 
     Only in the last case can a segment repeat itself. Starts are handled STRETCH at a time; a cut there only makes two
@@ -281,11 +305,11 @@ def segments(data: bytes):
 
     values, starts, sizes, twice = [], [], [], []
     b = np.frombuffer(data, np.uint8)
-    n = len(b) - LENGTH + 1
+    n = len(b) - length + 1
     for at in range(0, max(n, 0), STRETCH):
-        own = b[at : min(len(b), at + STRETCH + LENGTH - 1)]
-        h = seed_hashes(own)
-        m = least_in_windows(h, LENGTH - SEED + 1)
+        own = b[at : min(len(b), at + STRETCH + length - 1)]
+        h = seed_hashes(own, length)
+        m = least_in_windows(h, length - SEED + 1)
         heads = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
         values.append(m[heads])
         known = np.zeros(1 << 16, bool)
@@ -320,7 +344,7 @@ def numbered(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return cut(own.mapInArrow(run, f"r long, z binary, {schema}" if schema else "r long, z binary"))
 
 
-def segment_rows(texts: DataFrame) -> DataFrame:
+def segment_rows(texts: DataFrame, length: int) -> DataFrame:
     """h, c, r, start, size, own: each segment's least hash, the hash of its stretch, where it is, if it may repeat itself."""
 
     def run(batches: Iterator) -> Iterator:
@@ -335,10 +359,10 @@ def segment_rows(texts: DataFrame) -> DataFrame:
                 part, out = batch.slice(at, 1024), []
                 for r, z in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     data = unpack.decompress(z)
-                    h, starts, sizes, own = segments(data)
+                    h, starts, sizes, own = segments(data, length)
                     if len(h):
                         view = memoryview(data)
-                        c = [xxhash.xxh3_64_intdigest(view[a : a + n + LENGTH - 1]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+                        c = [xxhash.xxh3_64_intdigest(view[a : a + n + length - 1]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
                         out.append((h.view(np.int64), np.array(c, np.uint64).view(np.int64), np.full(len(h), r), starts, sizes, own))
                 if out:
                     cols = [np.concatenate(x) for x in zip(*out, strict=True)]
@@ -357,84 +381,108 @@ def runs_of(starts) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, edge + 1)].tolist(), starts[np.append(edge, len(starts) - 1)].tolist(), strict=True))
 
 
-def shard_spans(key, table):
+def shard_spans(length: int):
     """Spans repeated in one shard, for its representatives that occur once (the others are known to repeat)."""
-    import pyarrow as pa
 
-    table = table.sort_by([("h", "ascending"), ("c", "ascending"), ("r", "ascending")])
-    found = repeated_starts(table.column("stretch").to_pylist())
-    release()
-    out = []
-    for own, r, start, n in zip(found, *(table.column(c).to_pylist() for c in ("r", "start", "n")), strict=True):
-        if n == 1:
-            out += [(r, start + a, start + b + LENGTH) for a, b in runs_of(own)]
-    cols = list(zip(*out, strict=True)) or [[], [], []]
-    return pa.table({"r": pa.array(cols[0], pa.int64()), "start": pa.array(cols[1], pa.int64()), "stop": pa.array(cols[2], pa.int64())})
+    def run(key, table):
+        import pyarrow as pa
 
+        table = table.sort_by([("h", "ascending"), ("c", "ascending"), ("r", "ascending")])
+        found = repeated_starts(table.column("stretch").to_pylist(), length)
+        release()
+        out = []
+        for own, r, start, n in zip(found, *(table.column(c).to_pylist() for c in ("r", "start", "n")), strict=True):
+            if n == 1:
+                out += [(r, start + a, start + b + length) for a, b in runs_of(own)]
+        cols = list(zip(*out, strict=True)) or [[], [], []]
+        return pa.table({"r": pa.array(cols[0], pa.int64()), "start": pa.array(cols[1], pa.int64()), "stop": pa.array(cols[2], pa.int64())})
 
-def stretches(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of `wanted` (h, c, n, m, r, start, size), each with its stretch of text."""
-    lists = wanted.groupBy("r").agg(F.collect_list(F.struct("h", "c", "n", "m", "start", "size")).alias("own"))
+    return run
+
+
+def stretches(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The rows of `wanted` (h, c, n, volume, r, start, size), each with its stretch of text."""
+    lists = wanted.groupBy("r").agg(F.collect_list(F.struct("h", "c", "n", "volume", "start", "size")).alias("own"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        names = ["h", "c", "n", "m", "r", "start", "size", "stretch"]
+        names = ["h", "c", "n", "volume", "r", "start", "size", "stretch"]
         kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for at in range(0, batch.num_rows, 64):
                 out = []
-                for row in batch.slice(at, 256).to_pylist():
+                for row in batch.slice(at, 64).to_pylist():
                     data = unpack.decompress(row["z"])
-                    out += [(x["h"], x["c"], x["n"], x["m"], row["r"], x["start"], x["size"], data[x["start"] : x["start"] + x["size"] + LENGTH - 1]) for x in row["own"]]
+                    out += [(x["h"], x["c"], x["n"], x["volume"], row["r"], x["start"], x["size"], data[x["start"] : x["start"] + x["size"] + length - 1]) for x in row["own"]]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return texts.select("r", "z").join(lists, "r").select("r", "z", "own").mapInArrow(run, "h long, c long, n long, m long, r long, start int, size int, stretch binary")
+    return texts.select("r", "z").join(lists, "r").select("r", "z", "own").mapInArrow(run, "h long, c long, n long, volume long, r long, start int, size int, stretch binary")
 
 
-def window_spans(hot: DataFrame) -> DataFrame:
-    """Spans repeated among the representatives of hashes with very many of them, by counting their windows."""
+def window_spans(hot: DataFrame, length: int) -> DataFrame:
+    """Spans repeated among the representatives of hashes with too many bytes for an array, by counting their windows."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
+        names = ["w1", "w2", "r", "start", "n"]
+        for batch in slices(batches, 16):
             for row in batch.to_pylist():
                 view = memoryview(row["stretch"])
-                w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[i : i + LENGTH]) for i in range(row["size"])), np.int64).reshape(-1, 2)
-                k = len(w)
-                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(np.full(k, row["r"])), pa.array(np.arange(k, dtype=np.int64) + row["start"]), pa.array(np.full(k, row["n"]))], ["w1", "w2", "r", "start", "n"])
+                for at in range(0, row["size"], 1 << 16):
+                    k = min(1 << 16, row["size"] - at)
+                    w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[i : i + length]) for i in range(at, at + k)), np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(np.full(k, row["r"])), pa.array(np.arange(at, at + k) + row["start"]), pa.array(np.full(k, row["n"]))], names)
 
-    windows = hot.select("r", "start", "size", "n", "stretch").mapInArrow(run, "w1 long, w2 long, r long, start long, n long")
+    windows = cut(hot.select("r", "start", "size", "n", "stretch").mapInArrow(run, "w1 long, w2 long, r long, start long, n long"))
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2")
-    return windows.where("n = 1").join(twice, ["w1", "w2"]).select("r", "start", (F.col("start") + LENGTH).alias("stop"))
+    return windows.where("n = 1").join(twice, ["w1", "w2"]).select("r", "start", (F.col("start") + length).alias("stop"))
 
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     """r, start, stop of repeated bytes; spans may overlap."""
-    rows = cut(segment_rows(texts))
+    rows = cut(segment_rows(texts, length))
     often = cut(rows.groupBy("h").agg(F.count("*").alias("k"), F.max("own").alias("any")).where("k > 1 or any").select("h"))
     rows = cut(rows.join(often, "h"))  # from here on only hashes with a repeat to look for
     kinds = cut(rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("r", "start", "size")).alias("at"), F.max("own").alias("own")).select("h", "c", "n", "at.*", "own"))
-    whole = rows.join(kinds.where("n > 1").select("h", "c"), ["h", "c"]).select("r", F.col("start").cast("long"), (F.col("start").cast("long") + F.col("size") + LENGTH - 1).alias("stop"))
-    many = kinds.groupBy("h").agg(F.count("*").alias("m"), F.max(F.col("own") & (F.col("n") == 1)).alias("any")).where("m > 1 or any")
-    wanted = cut(stretches(texts, kinds.drop("own").join(many, "h")))
-    volume = wanted.agg(F.coalesce(F.sum(F.col("size") + LENGTH), F.lit(0))).first()[0]
-    shards = max(1, -(-volume // SHARD_BYTES))
-    sharded = wanted.where(F.col("m") <= GROUP).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    by_array = sharded.groupBy("shard").applyInArrow(shard_spans, "r long, start long, stop long")
-    return whole.union(by_array).union(window_spans(wanted.where(F.col("m") > GROUP)))
-
-
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns to keep, and n_bytes, n_removed, n_spans, kept_sha256 and kept_text for every row of `docs`."""
+    whole = rows.join(kinds.where("n > 1").select("h", "c"), ["h", "c"]).select("r", F.col("start").cast("long"), (F.col("start").cast("long") + F.col("size") + length - 1).alias("stop"))
+    many = kinds.groupBy("h").agg(F.count("*").alias("m"), F.sum(F.col("size") + F.lit(length)).alias("volume"), F.max(F.col("own") & (F.col("n") == 1)).alias("any"))
+    many = many.where("m > 1 or any").select("h", "volume")
+    wanted = cut(stretches(texts, kinds.drop("own").join(many, "h"), length))
+    total = wanted.agg(F.coalesce(F.sum(F.col("size") + F.lit(length)), F.lit(0))).first()[0]
+    shards = max(1, -(-total // SHARD_BYTES))
+    in_arrays, hot = wanted.where(F.col("volume") <= GROUP_BYTES), wanted.where(F.col("volume") > GROUP_BYTES)
+    sharded = in_arrays.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    spans = whole.union(sharded.groupBy("shard").applyInArrow(shard_spans(length), "r long, start long, stop long"))
+    return spans if hot.isEmpty() else spans.union(window_spans(hot, length))
+
+
+def merged_spans(found, data: bytes, least_words: int = 0) -> list[list[int]]:
+    """Overlapping and touching spans as one; those with fewer than `least_words` words, in part or whole, are left out."""
+    out: list[list[int]] = []
+    for a, b in sorted((x["start"], x["stop"]) for x in found or ()):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [x for x in out if len(data[x[0] : x[1]].split()) >= least_words] if least_words else out
+
+
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: int = LENGTH, least_words: int = 0) -> DataFrame:
+    """The columns to keep, and n_bytes, n_removed, n_spans, kept_sha256 and kept_text for every row of `docs`.
+
+    `length` is at least SEED.
+    """
+    if length < SEED:
+        raise ValueError(f"length is {length}; it has to be {SEED} or more")
     texts = numbered(docs, keep)
-    spans = repeated_spans(texts).groupBy("r").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(texts, length).groupBy("r").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = texts.join(spans, "r", "left").select(*keep, "z", "spans")
 
     def run(batches: Iterator) -> Iterator:
@@ -448,12 +496,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Data
                 part, out = batch.slice(at, 512), []
                 for z, found in zip(part.column(k).to_pylist(), part.column(k + 1).to_pylist(), strict=True):
                     data = unpack.decompress(z)
-                    merged: list[list[int]] = []
-                    for a, b in sorted((x["start"], x["stop"]) for x in found or ()):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(b, merged[-1][1])
-                        else:
-                            merged.append([a, b])
+                    merged = merged_spans(found, data, least_words)
                     kept, last = [], 0
                     for a, b in merged:
                         kept.append(data[last:a])

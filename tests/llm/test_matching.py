@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -120,6 +121,27 @@ def test_all_links_are_found(spark):
     assert got == {frozenset(v) for v in want.values() if len(v) > 1}
 
 
+def test_links_in_many_parts(spark, monkeypatch):
+    """The same links however the variants are dealt."""
+    draw, values = random.Random(5), set()
+    for _ in range(60):
+        b = draw.getrandbits(64)
+        values |= {b, b ^ 1 << draw.randrange(64), b ^ 7 << draw.randrange(60)}
+    values = sorted(values)
+    prints = spark.createDataFrame([(simhash.signed(x),) for x in values], "f long")
+    want = reach(values)
+    for bits in (2, 11, 24):
+        monkeypatch.setattr(simhash, "part_bits", lambda n, bits=bits: bits)
+        roots = {r.node: r.root for r in simhash.components(simhash.meetings(prints, len(values))).collect()}
+        got = [roots.get(s, s) for s in map(simhash.signed, values)]
+        assert len(set(got)) == len(set(want)) == len(set(zip(got, want, strict=True)))
+
+
+def test_rows_sent_for_a_fingerprint():
+    for bits in (6, 7, 12, 20, 25):
+        assert simhash.rows_per_print(bits) == (bits, 1 + bits * (bits - 1) // 2)
+
+
 def _groups(pairs):
     out = {}
     for root, node in pairs:
@@ -133,8 +155,8 @@ def test_suffix_arrays_and_common_prefixes(monkeypatch):
         s = [draw.randint(1, draw.choice([2, 4, 20])) for _ in range(draw.randint(1, 40))]
         s = np.array((s * draw.choice([1, 1, 5])) + [0])
         want = sorted(range(len(s)), key=lambda i: s[i:].tolist())
-        for limit in (4096, 1):
-            monkeypatch.setattr(suffix_dedup, "BUCKETWISE", limit)
+        for bucket in (0, 1, 1 << 30):
+            monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
             assert suffix_dedup.suffix_array(s, int(s.max()) + 1).tolist() == want
     for _ in range(30):
         d = bytes(draw.choice(b"ab") for _ in range(draw.randint(1, 50))) * draw.randint(1, 3)
@@ -146,26 +168,50 @@ def test_suffix_arrays_and_common_prefixes(monkeypatch):
             assert common[i] == n
 
 
-def removed(rows):
-    counts = Counter(b[i : i + 400] for b in rows for i in range(len(b) - 399))
+def test_one_array_of_runs_and_prose(monkeypatch):
+    data = prose(70, 4000).encode() + b"a" * 5000 + prose(70, 500).encode() + b"ab" * 3000 + b"a" * 700
+    s = np.append(np.frombuffer(data, np.uint8).astype(np.int16), np.int16(0))
+    order = suffix_dedup.suffix_array(s, 256)
+    assert sorted(order.tolist()) == list(range(len(s))) and suffix_dedup.longest_run(s) >= 5000
+    places = order[1:].tolist()
+    assert all(data[a:] < data[b:] for a, b in zip(places, places[1:], strict=False))
+
+
+def removed(rows, length=400, least_words=0):
+    counts = Counter(b[i : i + length] for b in rows for i in range(len(b) - length + 1))
     for b in rows:
         mark = bytearray(len(b))
-        for i in range(len(b) - 399):
-            if counts[b[i : i + 400]] > 1:
-                mark[i : i + 400] = b"\1" * 400
+        for i in range(len(b) - length + 1):
+            if counts[b[i : i + length]] > 1:
+                mark[i : i + length] = b"\1" * length
+        for m in re.finditer(b"\1+", bytes(mark)) if least_words else ():
+            if len(b[m.start() : m.end()].split()) < least_words:
+                mark[m.start() : m.end()] = bytes(m.end() - m.start())
         kept = bytes(x for x, m in zip(b, mark, strict=True) if not m)
         yield len(b), sum(mark), sum(m and (i == 0 or not mark[i - 1]) for i, m in enumerate(mark)), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")
 
 
-@pytest.mark.parametrize("group", [2000, 1])
-def test_repeats_go(documents, nothing, monkeypatch, group):
-    monkeypatch.setattr(suffix_dedup, "GROUP", group)
-    rows = suffix_dedup.remove_repeats(documents).collect()
-    want = Counter((i, *x) for (i, _), x in zip(ROWS, removed([(t or "").encode() for _, t in ROWS]), strict=True))
-    assert Counter(tuple(r) for r in rows) == want
+@pytest.mark.parametrize(("group", "length", "least_words"), [(1 << 30, 400, 0), (1, 400, 0), (1 << 30, 256, 51), (1, 100, 20)])
+def test_repeats_go(documents, nothing, monkeypatch, group, length, least_words):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)
+    rows = suffix_dedup.remove_repeats(documents, length=length, least_words=least_words).collect()
+    want = Counter((i, *x) for (i, _), x in zip(ROWS, removed([(t or "").encode() for _, t in ROWS], length, least_words), strict=True))
+    assert Counter(tuple(r) for r in rows) == want and any(r.n_removed for r in rows)
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_hashes_with_many_bytes_leave_the_arrays(spark, monkeypatch):
+    """Long runs of one byte in different texts share a hash: none of them may meet in one array."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 20_000)
+    seen = []
+    monkeypatch.setattr(suffix_dedup, "window_spans", lambda hot, length, f=suffix_dedup.window_spans: seen.append(hot.count()) or f(hot, length))
+    texts = [prose(i, 20) + "a" * (1200 + 7 * i) + prose(100 + i, 20) for i in range(30)]
+    rows = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in rows) == Counter((i, *x) for i, x in enumerate(removed([t.encode() for t in texts]))) and seen[0] >= 30
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), length=10)
+
+
 def test_stretches_of_very_long_texts(monkeypatch):
     data = prose(50, 3000).encode()
     whole = suffix_dedup.segments(data)

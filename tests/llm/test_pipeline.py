@@ -12,6 +12,7 @@ from corpusloom.llm.queries import QUERIES
 from corpusloom.llm.sql import ORACLE_SQL
 
 from .conftest import PASSAGE, prose
+from .test_matching import removed
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
@@ -44,13 +45,32 @@ def test_decisions(spark, documents):
     clean = prose(321, 100)
     benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
     rows = [(1, clean), (2, clean), (3, clean), (3, clean), (4, prose(11, 50) + " " + benchmark + " " + prose(12, 50)), (5, prose(13, 60) + " " + PASSAGE), (6, prose(14, 60) + " " + PASSAGE), (None, prose(15, 40)), (7, None), (8, "")]
+    rows += [(2, prose(16, 80)), (2, prose(17, 80)), (None, clean), (None, prose(18, 30)), (None, prose(18, 30))]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], documents.select("doc_id", "text", "lang", "source", "n_chars").schema)
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs.where("false"), DATA).columns == docs.columns
     left = pipeline.simhash_stage(spark, docs, DATA)
-    assert Counter(r.doc_id for r in left.collect()) == Counter([1, 4, 5, 6, None, 7])
+    assert left.columns == docs.columns
+    want = [(1, clean), (4, rows[4][1]), (5, rows[5][1]), (6, rows[6][1]), (None, prose(15, 40)), (7, None), (2, prose(16, 80)), (2, prose(17, 80)), (None, prose(18, 30))]
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(want)
     cut = {r.doc_id: r.text for r in pipeline.suffix_stage(spark, left, DATA).collect()}
     assert len(PASSAGE) > 400 and all(PASSAGE not in (t or "") for t in cut.values()) and cut[1] == clean
-    assert {r.doc_id for r in pipeline.decontamination_stage(spark, left, DATA).collect()} == {1, 5, 6, None, 7}
-    marked = spark.createDataFrame([(None, benchmark, "en", "s", 9)], docs.schema)
-    assert pipeline.decontamination_stage(spark, marked, DATA).count() == 0
+    assert Counter(r.doc_id for r in pipeline.decontamination_stage(spark, left, DATA).collect()) == Counter([1, 2, 2, 5, 6, 7, None, None])
+    marked = spark.createDataFrame([(None, benchmark, "en", "s", 9), (9, benchmark, "en", "s", 9), (9, clean, "en", "s", 9)], docs.schema)
+    assert [(r.doc_id, r.text) for r in pipeline.decontamination_stage(spark, marked, DATA).collect()] == [(9, clean)]
+
+
+def test_passages_of_over_fifty_words_go(spark, documents):
+    """The suffix stage against every 256-byte window, with passages on both sides of the limits."""
+    short, few, long = "ab cd " * 60, prose(600, 49), prose(601, 52)
+    texts = [f"{prose(610 + i, 70)} {p} {prose(640 + i, 70)}" for i, p in enumerate([short, few, few, long, long, long + "x"])] + [few, "", None, "é" * 300, prose(650, 10) + "é" * 300]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], documents.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    want = [x[4] for x in removed([(t or "").encode() for t in texts], 256, 51)]
+    assert 256 < len(few.encode()) and 256 < len(long.encode()) and want[3] != texts[3] and want[1] == texts[1]
+    assert {r.doc_id: (r.text, r.n_chars) for r in pipeline.suffix_stage(spark, docs, DATA).collect()} == {i: (t, len(t)) for i, t in enumerate(want)}
+
+
+def test_stages_take_extra_columns_with_clashing_names(spark, documents):
+    wide = documents.selectExpr("doc_id", "text", "lang", "source", "n_chars", "n_words", "'x' as TEXT", "1 as Doc_Id", "'k' as row_key", "'h' as text_key", "0 as f", "'z' as z", "1.5 as score", "0 as first")
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, wide, DATA).count() > 0
