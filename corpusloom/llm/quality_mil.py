@@ -12,7 +12,8 @@ running sums over blocks of passages, so that a very long text needs no more mem
 
 Defined cases: a null text counts as empty; a text without words is one empty passage; without labels of both classes
 every score is the share of label 1 or 0; equal and repeated rows get equal scores; a document labelled twice counts as
-1 if any label says so; an empty table gives an empty result; a null doc_id is carried along and is not held out; other
+1 if any label says so; a text of more than a block of words is encoded block by block, where repeats are looked for
+within a block, and its rest shorter than a passage is a passage; an empty table gives an empty result; a null doc_id is carried along and is not held out; other
 columns are ignored.
 """
 
@@ -83,8 +84,11 @@ def word_table() -> WordTable:
     return WordTable()
 
 
-def passages(words: list[str]):
-    """A row of features for each passage of the words (one row of zeros if there is none)."""
+def passages(words: list[str], of_text: int | None = None):
+    """A row of features for each passage of the words (one row of zeros if there is none).
+
+    of_text: how many words the whole text has, if these are a block of them.
+    """
     import numpy as np
 
     if not words:
@@ -110,7 +114,7 @@ def passages(words: list[str]):
         again[: n - 3] = times[back] > 1
         out[:, OF_WORD + 2] = np.add.reduceat(again, starts) / sizes
     out[:, OF_WORD + 3] = np.minimum(sizes, PASSAGE_WORDS) / PASSAGE_WORDS
-    out[:, OF_WORD + 4] = min(n, 2000) / 2000
+    out[:, OF_WORD + 4] = min(of_text or n, 2000) / 2000
     hashed = np.bincount(of * HASHED + table.bucket[ids], minlength=k * HASHED).reshape(k, HASHED)
     out[:, OF_WORD + OF_PASSAGE :] = np.sqrt(hashed / sizes[:, None])
     return out
@@ -206,7 +210,7 @@ def blocks_of(text: str | None) -> Iterator:
     """Feature rows of a text's passages, block by block."""
     words = (text or "").split()
     for at in range(0, max(1, len(words)), BLOCK_WORDS):
-        yield passages(words[at : at + BLOCK_WORDS])
+        yield passages(words[at : at + BLOCK_WORDS], len(words))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:

@@ -1,22 +1,27 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Texts are lower-cased; the n-grams of `SIZES` characters are hashed into `features` buckets, and what counts is whether
-a bucket occurs. From the labelled sample come the log-count ratios r of the buckets between toxic and other
-documents, smoothed; a logistic regression is then fitted to the occurrence vector times r, with an L2 penalty. A
-document's score is the fitted probability over the n-grams of its whole text.
+A text's distinct lower-case words, each between two spaces, are cut into n-grams of `SIZES` characters, which are
+hashed into `features` buckets; a bucket's value is the number of distinct words that have it. From the labelled sample
+come the log-count ratios r of all buckets between toxic and other documents, smoothed; a logistic regression is then
+fitted to the values times r, with an L2 penalty, classes weighted by the square root of their odds. No bucket is left
+out. A document's score is the fitted probability over the n-grams of its whole text; as it is a sum over words, a
+word's part is computed once and kept.
 
 Fitting uses at most `SAMPLE` labelled documents, half of each class where there are enough, taken by the hash of
-their ids, and none longer than `SAMPLE_BYTES`. Only the numbers of their buckets with a telling ratio reach
-the driver, at most `features` for a document. Scoring goes over all documents in one pass without a shuffle.
+their ids, and none longer than `SAMPLE_BYTES`. What reaches the driver is, for each of them, the hashes of its words
+and, for each word of the sample, its buckets. Scoring goes over all documents in one pass without a shuffle.
 
 Defined cases: a null text counts as empty, an empty text gets the score of no n-gram at all; without labels of both
 classes every score is the share of toxic labels or 0; equal and repeated rows get equal scores; a document labelled
 twice counts as toxic if any label says so; an empty table gives an empty result; a null doc_id is carried along and is
-not held out; columns to keep are named by the caller and come first.
+not held out; a very long text is read in stretches cut at white space, so that only its distinct words are held;
+columns to keep are named by the caller and come first.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
@@ -26,123 +31,175 @@ from .labelled import held_out, labelled_sample
 
 SIZES = (3, 4, 5, 6)
 FEATURES = 1 << 20
-SAMPLE, SAMPLE_BYTES = 6000, 65_536
+SAMPLE, SAMPLE_BYTES = 4000, 65_536
 FOLDS, HELD_FOLD = 5, 0
 THRESHOLD = 0.5
-#: Buckets whose ratio is closer to 0 have no weight.
-LEAST_RATIO = 2.0
+#: Characters of a text that are split at a time, words kept in a worker and the longest of them.
+STRETCH, CACHE_WORDS, KEPT_CHARS = 1 << 20, 400_000, 48
+SPACE = re.compile(r"\s")
 
 
-class Grams:
-    """Gives the buckets that a text's n-grams fall in, each once."""
+def word_set(text: str | None) -> set[str]:
+    """The distinct lower-case words of a text."""
+    out: set[str] = set()
+    text, at = text or "", 0
+    while at < len(text):
+        end = SPACE.search(text, min(at + STRETCH, len(text)))
+        stop = end.end() if end else len(text)
+        out.update(text[at:stop].lower().split())
+        at = stop
+    return out
 
-    def __init__(self, features: int = FEATURES, sizes: tuple[int, ...] = SIZES):
-        import numpy as np
-
-        self.features, self.sizes, self.seen = features, sizes, np.zeros(features, bool)
-        self.shift = np.uint32(32 - (features - 1).bit_length())
 
-    def __call__(self, text: str | None):
-        import numpy as np
+def buckets(word: str, features: int = FEATURES, sizes: tuple[int, ...] = SIZES):
+    """The distinct buckets of the n-grams of a word between two spaces."""
+    import numpy as np
 
-        for at in range(0, max(1, len(text or "")), 1 << 20):  # in stretches that overlap: memory stays bounded
-            codes = np.frombuffer((text or "")[at : at + (1 << 20) + max(self.sizes) - 1].lower().encode("utf-32-le", "surrogatepass"), "<u4")
-            h = codes.astype(np.uint32)
-            for n in range(2, max(self.sizes) + 1):
-                if len(codes) < n:
-                    break
-                h = h[:-1] * np.uint32(0x01000193) ^ codes[n - 1 :]
-                if n in self.sizes:
-                    self.seen[(h * np.uint32(0x9E3779B1)) >> self.shift] = True
-        found = np.flatnonzero(self.seen)
-        self.seen[found] = False
-        return found
+    codes = np.frombuffer(f" {word} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    h, shift, out = codes.astype(np.uint32), np.uint32(32 - (features - 1).bit_length()), []
+    for n in range(2, min(max(sizes), len(codes)) + 1):
+        h = h[:-1] * np.uint32(0x01000193) ^ codes[n - 1 :]
+        if n in sizes:
+            out.append(h * np.uint32(0x9E3779B1) >> shift)
+    return np.unique(np.concatenate(out)).astype(np.int32) if out else np.empty(0, np.int32)
 
 
 def log_count_ratios(ones, zeros, n_ones: int, n_zeros: int):
-    """ln of the smoothed shares of documents with each bucket, of label 1 over label 0."""
+    """ln of the smoothed counts of each bucket for each document, of label 1 over label 0."""
     import numpy as np
 
     return np.log((ones + 1.0) / (n_ones + 2)) - np.log((zeros + 1.0) / (n_zeros + 2))
 
 
-def fit(samples: list, labels: list[int], ratio, rounds: int = 150, penalty: float = 3e-3):
+class Sample:
+    """The sample's documents as numbers of words and its words as buckets, multiplied block by block."""
+
+    def __init__(self, docs: list, words: list, features: int, block: int = 20_000):
+        import numpy as np
+
+        self.features, self.n_docs, self.n_words = features, len(docs), len(words)
+        self.doc_of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        self.word = np.concatenate(docs).astype(np.int64) if len(self.doc_of) else np.empty(0, np.int64)
+        self.blocks = []
+        for a in range(0, len(words), block):
+            own = words[a : a + block]
+            sizes = np.array([len(x) for x in own])
+            self.blocks.append((a, sizes, np.concatenate(own).astype(np.int32)))
+
+    def of_documents(self, weights):
+        """The sum of weights over each document's words' buckets."""
+        import numpy as np
+
+        by_word = np.zeros(self.n_words)
+        for a, sizes, flat in self.blocks:
+            by_word[a : a + len(sizes)] = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=weights[flat], minlength=len(sizes))
+        return np.bincount(self.doc_of, weights=by_word[self.word], minlength=self.n_docs)
+
+    def of_buckets(self, values):
+        """The sum of the documents' values over the words that have each bucket."""
+        import numpy as np
+
+        by_word = np.bincount(self.word, weights=values[self.doc_of], minlength=self.n_words)
+        out = np.zeros(self.features)
+        for a, sizes, flat in self.blocks:
+            out += np.bincount(flat, weights=np.repeat(by_word[a : a + len(sizes)], sizes), minlength=self.features)
+        return out
+
+
+def fit(sample: Sample, labels: list[int], rounds: int = 80, penalty: float = 0.03, step: float = 0.02):
     """Weights for each bucket (ratio and regression together) and the intercept.
 
-    samples: arrays of buckets. The logistic loss is minimised by gradient steps with running moments.
+    The weighted logistic loss is minimised by gradient steps with running moments.
     """
     import numpy as np
 
-    y, features = np.asarray(labels, np.float64), len(ratio)
+    y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
-        return np.zeros(features, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9)))
-    flat = np.concatenate(samples).astype(np.int64)
-    rows = np.repeat(np.arange(len(y)), [len(s) for s in samples])
-    used = np.unique(flat)
-    place = np.zeros(features, np.int64)
-    place[used] = np.arange(len(used))
-    flat, r = place[flat], ratio[used]
-    w, b = np.zeros(len(used)), 0.0
-    m1, m2, c1, c2 = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+        return np.zeros(sample.features, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9)))
+    n_ones, n_zeros = y.sum(), (1 - y).sum()
+    ratio = log_count_ratios(sample.of_buckets(y), sample.of_buckets(1 - y), n_ones, n_zeros)
+    of_class = np.where(y == 1, math.sqrt(n_zeros / n_ones), 1.0)
+    of_class /= of_class.sum()
+    w, b = np.zeros(sample.features), 0.0
+    m1, m2, c1, c2 = np.zeros(sample.features), np.zeros(sample.features), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(rows, weights=(w * r)[flat], minlength=len(y)) + b
-        error = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - y
-        g = np.bincount(flat, weights=error[rows], minlength=len(used)) * r / len(y) + penalty * w
-        gb = error.mean()
+        z = sample.of_documents(w * ratio) + b
+        error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) * of_class
+        g = sample.of_buckets(error) * ratio + penalty * w
+        gb = error.sum()
         m1, m2, c1, c2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g, 0.9 * c1 + 0.1 * gb, 0.99 * c2 + 0.01 * gb * gb
-        step = 0.02
         w -= step * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
         b -= step * (c1 / (1 - 0.9**t)) / (np.sqrt(c2 / (1 - 0.99**t)) + 1e-8)
-    out = np.zeros(features, np.float32)
-    out[used] = w * r
-    return out, float(b)
+    return (w * ratio).astype(np.float32), float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES):
-    """Fits to the labelled documents outside the held fold; labels: doc_id and the 0/1 column toxic.
-
-    The first pass over the sample counts documents by bucket and label; the second sends the driver only those of each
-    document's buckets whose ratio counts.
-    """
+    """Fits to the labelled documents outside the held fold; labels: doc_id and the 0/1 column toxic."""
     import numpy as np
 
     sample = cut(labelled_sample(docs, labels, "toxic", FOLDS, HELD_FOLD, SAMPLE, SAMPLE_BYTES))
 
-    def count(batches: Iterator) -> Iterator:
-        import numpy as np
+    def hashed(word: str) -> int:
+        import xxhash
+
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h - (1 << 64) if h >> 63 else h
+
+    def of_documents(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own, sums, docs = Grams(features), np.zeros((2, features), np.int64), [0, 0]
         for batch in slices(batches):
-            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                sums[label, own(text)] += 1
-                docs[label] += 1
-        got = np.flatnonzero(sums.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(got, features)), pa.array(np.append(sums[0, got], docs[0])), pa.array(np.append(sums[1, got], docs[1]))], ["bucket", "zeros", "ones"])
-
-    counts = sample.mapInArrow(count, "bucket long, zeros long, ones long").groupBy("bucket").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
-    sums = np.zeros((2, features + 1), np.int64)  # the last place holds the numbers of documents
-    sums[:, counts.column("bucket").to_numpy()] = counts.column("zeros").to_numpy(), counts.column("ones").to_numpy()
-    ratio = log_count_ratios(sums[1, :-1], sums[0, :-1], sums[1, -1], sums[0, -1])
-    shared = docs.sparkSession.sparkContext.broadcast(np.abs(ratio) >= LEAST_RATIO)
-
-    def grams(batches: Iterator) -> Iterator:
+            found = [sorted(map(hashed, word_set(t))) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), batch.column(2)], ["doc_id", "words", "label"])
+
+    def distinct(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own, counted = Grams(features), shared.value
         for batch in slices(batches):
-            found = [(g := own(t))[counted[g]].astype("int32") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], ["doc_id", "grams", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*map(word_set, batch.column(1).to_pylist()))), pa.string())], ["word"])
+
+    def of_words(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in slices(batches, 4096):
+            words = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(map(hashed, words), pa.int64()), pa.array([buckets(w, features) for w in words], pa.list_(pa.int32()))], ["word", "buckets"])
+
+    words = sample.mapInArrow(distinct, "word string").distinct().mapInArrow(of_words, "word long, buckets array<int>").toArrow().sort_by("word")
+    got = sample.mapInArrow(of_documents, "doc_id long, words array<long>, label int").toArrow().sort_by("doc_id")
+    known = words.column("word").to_numpy()
+    numbers = [np.searchsorted(known, x.values.to_numpy()) for x in got.column("words")]
+    return fit(Sample(numbers, [x.values.to_numpy() for x in words.column("buckets")], features), got.column("label").to_pylist())
+
+
+class Scorer:
+    """Adds up the parts of a text's words."""
+
+    def __init__(self, model):
+        self.weights, self.bias = model
+        self.known: dict[str, float] = {}
+
+    def part(self, word: str) -> float:
+        import numpy as np
+
+        own = float(self.weights[buckets(word, len(self.weights))].sum(dtype=np.float64))
+        if len(word) <= KEPT_CHARS:
+            self.known[word] = own
+        return own
 
-    got = sample.mapInArrow(grams, "doc_id long, grams array<int>, label int").toArrow().sort_by("doc_id")
-    return fit([x.values.to_numpy() for x in got.column("grams")], got.column("label").to_pylist(), ratio)
+    def __call__(self, text: str | None) -> float:
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        get = self.known.get
+        z = math.fsum(own if (own := get(w)) is not None else self.part(w) for w in word_set(text)) + self.bias
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
 COLUMNS = "held_out boolean, score double, predicted int"
 
 
-def score(docs: DataFrame, model, keep: tuple[str, ...] = (), features: int = FEATURES, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model, keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the columns in `keep`, held_out, score and predicted for every document of `docs` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -150,10 +207,9 @@ def score(docs: DataFrame, model, keep: tuple[str, ...] = (), features: int = FE
         import numpy as np
         import pyarrow as pa
 
-        (weights, bias), own = shared.value, Grams(features)
+        own = Scorer(shared.value)
         for batch in slices(batches):
-            z = np.array([weights[own(t)].sum(dtype=np.float64) + bias for t in batch.column(1).to_pylist()])
-            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            p = np.array([own(t) for t in batch.column(1).to_pylist()])
             out = [pa.array([held_out(i, FOLDS, HELD_FOLD) for i in batch.column(0).to_pylist()], pa.bool_()), pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             kept = [batch.column(0), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(kept + out, [*names, "held_out", "score", "predicted"])

@@ -236,6 +236,54 @@ def test_toxicity(corpus, documents, nothing):
     assert toxicity.score(nothing, model).count() == 0 and toxicity.score(documents, toxicity.train(docs, labels.where("false"))).count() == len(ROWS)
 
 
+def gram_counts(text):
+    """How many distinct words of a text have each n-gram, by the letters themselves."""
+    out = Counter()
+    for w in set((text or "").lower().split()):
+        w = f" {w} "
+        out.update({w[i : i + n] for n in toxicity.SIZES for i in range(len(w) - n + 1)})
+    return out
+
+
+def test_toxicity_ratios_gradient_and_score():
+    texts = ["You IDIOT, you", "a kind word", "kind idiot", "", "wörds and words", "idiotic idiot"]
+    labels = [1, 0, 1, 0, 0, 1]
+    bucket = {}
+    for g in {g for t in texts for g in gram_counts(t)}:
+        n = len(g)
+        h = ord(g[0])
+        for c in g[1:]:
+            h = (h * 0x01000193 % (1 << 32)) ^ ord(c)
+        bucket[g] = (h * 0x9E3779B1 % (1 << 32)) >> 12
+        assert n in toxicity.SIZES
+    values = np.zeros((len(texts), toxicity.FEATURES))
+    for k, t in enumerate(texts):
+        for w in set(t.lower().split()):
+            for b in {bucket[g] for g in gram_counts(w)}:
+                values[k, b] += 1
+    words = sorted({w for t in texts for w in toxicity.word_set(t)})
+    sample = toxicity.Sample([np.array(sorted(words.index(w) for w in toxicity.word_set(t)), np.int64) for t in texts], [toxicity.buckets(w) for w in words], toxicity.FEATURES, block=3)
+    y = np.array(labels, float)
+    assert np.allclose(sample.of_buckets(y), values.T @ y) and np.allclose(sample.of_documents(np.arange(toxicity.FEATURES) % 7), values @ (np.arange(toxicity.FEATURES) % 7))
+    weights, bias = toxicity.fit(sample, labels, rounds=300)
+    ratio = np.log((values.T @ y + 1) / (3 + 2)) - np.log((values.T @ (1 - y) + 1) / (3 + 2))
+    used = np.flatnonzero(ratio)
+    assert not weights[np.setdiff1d(np.arange(toxicity.FEATURES), used)].any() and np.count_nonzero(weights[used]) == len(used)
+    z = values @ weights + bias
+    own = toxicity.Scorer((weights, bias))
+    assert np.allclose([own(t) for t in texts], 1 / (1 + np.exp(-z))) and [int(own(t) >= 0.5) for t in texts] == labels
+    # at the minimum the penalised gradient vanishes
+    gradient = (values.T @ ((1 / (1 + np.exp(-z)) - y) / 6))[used] * ratio[used] + 0.03 * weights[used] / ratio[used]
+    assert np.abs(gradient).max() < 0.01
+
+
+def test_long_texts_have_the_same_words(monkeypatch):
+    text = " Ab\tcd\n\n" + prose(3, 500).upper() + " x" * 40 + "y" * 90
+    whole = toxicity.word_set(text)
+    monkeypatch.setattr(toxicity, "STRETCH", 16)
+    assert toxicity.word_set(text) == whole == set(text.lower().split()) and toxicity.word_set(None) == set()
+
+
 def test_quality(corpus, documents, nothing):
     docs, labels = corpus
     model = quality_mil.train(docs, labels)
@@ -250,6 +298,32 @@ def test_quality(corpus, documents, nothing):
     assert all(r.predicted == 1 for r in quality_mil.score(documents, one_class).collect())
 
 
+def test_bag_is_gated_attention_over_all_passages():
+    """A document's score from the formulas, one passage at a time."""
+    model = quality_mil.Model(seed=3)
+    x = np.random.default_rng(2).normal(size=(9, quality_mil.WIDTH))
+    p, h, a = model.p, [], []
+    for row in x:
+        own = np.tanh([sum(row[i] * p["W"][i, j] for i in range(len(row))) + p["b"][j] for j in range(quality_mil.HIDDEN)])
+        gates = [np.tanh(own @ p["V"][:, g]) / (1 + np.exp(-(own @ p["U"][:, g]))) for g in range(quality_mil.GATE)]
+        h.append(own)
+        a.append(np.exp(sum(g * w for g, w in zip(gates, p["w"], strict=True))))
+    z = sum(e / sum(a) * own for e, own in zip(a, h, strict=True)) @ p["c"] + p["d"][0]
+    assert model.bag([x])[0] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_blocks_of_a_long_text_are_its_passages(monkeypatch):
+    """Where a text is longer than a block, its features are those of one block with the text's own length."""
+    text = prose(88, 48 * 9 + 20)
+    whole = np.concatenate(list(quality_mil.blocks_of(text)))
+    monkeypatch.setattr(quality_mil, "BLOCK_WORDS", 48 * 3)
+    parts = np.concatenate(list(quality_mil.blocks_of(text)))
+    again = quality_mil.OF_WORD + 2  # windows that stand twice are looked for within a block
+    assert len(whole) == 9 and len(parts) == 10
+    others = [c for c in range(quality_mil.WIDTH) if c != again]
+    assert np.allclose(whole[:8, others], parts[:8, others]) and set(parts[:, quality_mil.OF_WORD + 4]) == set(whole[:, quality_mil.OF_WORD + 4])
+
+
 def test_attention_in_blocks_is_the_same():
     model = quality_mil.Model()
     x = np.random.default_rng(1).normal(size=(50, quality_mil.WIDTH))
