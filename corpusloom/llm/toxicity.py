@@ -51,17 +51,20 @@ def word_set(text: str | None) -> set[str]:
     return out
 
 
-def buckets(word: str, features: int = FEATURES, sizes: tuple[int, ...] = SIZES):
-    """The distinct buckets of the n-grams of a word between two spaces."""
+def buckets(words: list[str], features: int = FEATURES, sizes: tuple[int, ...] = SIZES):
+    """The distinct buckets of the n-grams of each word between two spaces: numbers of words, and buckets, in order."""
     import numpy as np
 
-    codes = np.frombuffer(f" {word} ".encode("utf-32-le", "surrogatepass"), "<u4")
-    h, shift, out = codes.astype(np.uint32), np.uint32(32 - (features - 1).bit_length()), []
+    codes = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), "<u4")
+    of = np.repeat(np.arange(len(words), dtype=np.int64), [len(w) + 2 for w in words])
+    h, shift, out = codes.astype(np.uint32), np.uint32(32 - (features - 1).bit_length()), [np.empty(0, np.int64)]
     for n in range(2, min(max(sizes), len(codes)) + 1):
         h = h[:-1] * np.uint32(0x01000193) ^ codes[n - 1 :]
         if n in sizes:
-            out.append(h * np.uint32(0x9E3779B1) >> shift)
-    return np.unique(np.concatenate(out)).astype(np.int32) if out else np.empty(0, np.int32)
+            inside = of[: len(h)] == of[n - 1 :]
+            out.append(of[: len(h)][inside] << 32 | (h[inside] * np.uint32(0x9E3779B1) >> shift))
+    both = np.unique(np.concatenate(out))
+    return both >> 32, (both & 0xFFFFFFFF).astype(np.int32)
 
 
 def log_count_ratios(ones, zeros, n_ones: int, n_zeros: int):
@@ -72,27 +75,31 @@ def log_count_ratios(ones, zeros, n_ones: int, n_zeros: int):
 
 
 class Sample:
-    """The sample's documents as numbers of words and its words as buckets, multiplied block by block."""
+    """The sample's documents as numbers of words and its words as buckets, to multiply by from either side.
 
-    def __init__(self, docs: list, words: list, features: int, block: int = 20_000):
+    `used` are the buckets that occur, in order; weights and sums are theirs.
+    """
+
+    def __init__(self, docs: list, sizes, flat):
+        """docs: arrays of numbers of words; sizes, flat: how many buckets each word has, and these word by word."""
         import numpy as np
 
-        self.features, self.n_docs, self.n_words = features, len(docs), len(words)
+        self.n_docs, self.n_words = len(docs), len(sizes)
         self.doc_of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        self.word = np.concatenate(docs).astype(np.int64) if len(self.doc_of) else np.empty(0, np.int64)
-        self.blocks = []
-        for a in range(0, len(words), block):
-            own = words[a : a + block]
-            sizes = np.array([len(x) for x in own])
-            self.blocks.append((a, sizes, np.concatenate(own).astype(np.int32)))
+        self.word = np.concatenate([np.empty(0, np.int64), *docs]).astype(np.int64)
+        by = np.argsort(flat, kind="stable")
+        self.used, self.bucket_starts = np.unique(flat[by], return_index=True)
+        self.bucket = np.searchsorted(self.used, flat).astype(np.int32)  # word by word
+        self.word_starts = np.cumsum(sizes) - sizes
+        self.word_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by]  # bucket by bucket
 
     def of_documents(self, weights):
         """The sum of weights over each document's words' buckets."""
         import numpy as np
 
-        by_word = np.zeros(self.n_words)
-        for a, sizes, flat in self.blocks:
-            by_word[a : a + len(sizes)] = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=weights[flat], minlength=len(sizes))
+        if not self.n_words:
+            return np.zeros(self.n_docs)
+        by_word = np.add.reduceat(weights[self.bucket], self.word_starts)  # a word between two spaces has a bucket
         return np.bincount(self.doc_of, weights=by_word[self.word], minlength=self.n_docs)
 
     def of_buckets(self, values):
@@ -100,13 +107,10 @@ class Sample:
         import numpy as np
 
         by_word = np.bincount(self.word, weights=values[self.doc_of], minlength=self.n_words)
-        out = np.zeros(self.features)
-        for a, sizes, flat in self.blocks:
-            out += np.bincount(flat, weights=np.repeat(by_word[a : a + len(sizes)], sizes), minlength=self.features)
-        return out
+        return np.add.reduceat(by_word[self.word_of], self.bucket_starts) if self.n_words else np.zeros(0)
 
 
-def fit(sample: Sample, labels: list[int], rounds: int = 80, penalty: float = 0.03, step: float = 0.02):
+def fit(sample: Sample, labels: list[int], features: int = FEATURES, rounds: int = 80, penalty: float = 0.03, step: float = 0.02):
     """Weights for each bucket (ratio and regression together) and the intercept.
 
     The weighted logistic loss is minimised by gradient steps with running moments.
@@ -116,13 +120,13 @@ def fit(sample: Sample, labels: list[int], rounds: int = 80, penalty: float = 0.
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
-        return np.zeros(sample.features, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9)))
+        return np.zeros(features, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9)))
     n_ones, n_zeros = y.sum(), (1 - y).sum()
     ratio = log_count_ratios(sample.of_buckets(y), sample.of_buckets(1 - y), n_ones, n_zeros)
     of_class = np.where(y == 1, math.sqrt(n_zeros / n_ones), 1.0)
     of_class /= of_class.sum()
-    w, b = np.zeros(sample.features), 0.0
-    m1, m2, c1, c2 = np.zeros(sample.features), np.zeros(sample.features), 0.0, 0.0
+    w, b = np.zeros(len(sample.used)), 0.0
+    m1, m2, c1, c2 = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = sample.of_documents(w * ratio) + b
         error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) * of_class
@@ -131,7 +135,9 @@ def fit(sample: Sample, labels: list[int], rounds: int = 80, penalty: float = 0.
         m1, m2, c1, c2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g, 0.9 * c1 + 0.1 * gb, 0.99 * c2 + 0.01 * gb * gb
         w -= step * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
         b -= step * (c1 / (1 - 0.9**t)) / (np.sqrt(c2 / (1 - 0.99**t)) + 1e-8)
-    return (w * ratio).astype(np.float32), float(b)
+    out = np.zeros(features, np.float32)
+    out[sample.used] = w * ratio
+    return out, float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES):
@@ -160,40 +166,48 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES):
             yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*map(word_set, batch.column(1).to_pylist()))), pa.string())], ["word"])
 
     def of_words(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         for batch in slices(batches, 4096):
             words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(map(hashed, words), pa.int64()), pa.array([buckets(w, features) for w in words], pa.list_(pa.int32()))], ["word", "buckets"])
+            of, found = buckets(words, features)
+            ends = np.searchsorted(of, np.arange(len(words) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(map(hashed, words), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(found))], ["word", "buckets"])
 
     words = sample.mapInArrow(distinct, "word string").distinct().mapInArrow(of_words, "word long, buckets array<int>").toArrow().sort_by("word")
     got = sample.mapInArrow(of_documents, "doc_id long, words array<long>, label int").toArrow().sort_by("doc_id")
     known = words.column("word").to_numpy()
     numbers = [np.searchsorted(known, x.values.to_numpy()) for x in got.column("words")]
-    return fit(Sample(numbers, [x.values.to_numpy() for x in words.column("buckets")], features), got.column("label").to_pylist())
+    lists = words.column("buckets").combine_chunks()
+    return fit(Sample(numbers, np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()), got.column("label").to_pylist(), features)
 
 
 class Scorer:
-    """Adds up the parts of a text's words."""
+    """Adds up the parts of texts' words."""
 
     def __init__(self, model):
         self.weights, self.bias = model
         self.known: dict[str, float] = {}
 
-    def part(self, word: str) -> float:
+    def learn(self, words: list[str]) -> None:
         import numpy as np
 
-        own = float(self.weights[buckets(word, len(self.weights))].sum(dtype=np.float64))
-        if len(word) <= KEPT_CHARS:
-            self.known[word] = own
-        return own
+        of, found = buckets(words, len(self.weights))
+        self.known.update(zip(words, np.bincount(of, weights=self.weights[found], minlength=len(words)).tolist(), strict=True))
 
-    def __call__(self, text: str | None) -> float:
+    def __call__(self, texts: list[str | None]) -> list[float]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        get = self.known.get
-        z = math.fsum(own if (own := get(w)) is not None else self.part(w) for w in word_set(text)) + self.bias
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+        sets = list(map(word_set, texts))
+        new = sorted(set().union(*sets).difference(self.known))
+        for at in range(0, len(new), 1 << 16):
+            self.learn(new[at : at + (1 << 16)])
+        z = [math.fsum(map(self.known.__getitem__, own)) + self.bias for own in sets]
+        for word in new:
+            if len(word) > KEPT_CHARS:
+                del self.known[word]
+        return [1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for x in z]
 
 
 COLUMNS = "held_out boolean, score double, predicted int"
@@ -209,7 +223,7 @@ def score(docs: DataFrame, model, keep: tuple[str, ...] = (), threshold: float =
 
         own = Scorer(shared.value)
         for batch in slices(batches):
-            p = np.array([own(t) for t in batch.column(1).to_pylist()])
+            p = np.array(own(batch.column(1).to_pylist()))
             out = [pa.array([held_out(i, FOLDS, HELD_FOLD) for i in batch.column(0).to_pylist()], pa.bool_()), pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             kept = [batch.column(0), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(kept + out, [*names, "held_out", "score", "predicted"])

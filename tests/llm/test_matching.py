@@ -262,16 +262,19 @@ def test_toxicity_ratios_gradient_and_score():
             for b in {bucket[g] for g in gram_counts(w)}:
                 values[k, b] += 1
     words = sorted({w for t in texts for w in toxicity.word_set(t)})
-    sample = toxicity.Sample([np.array(sorted(words.index(w) for w in toxicity.word_set(t)), np.int64) for t in texts], [toxicity.buckets(w) for w in words], toxicity.FEATURES, block=3)
+    of, found = toxicity.buckets(words)
+    sample = toxicity.Sample([np.array(sorted(words.index(w) for w in toxicity.word_set(t)), np.int64) for t in texts], np.bincount(of), found)
     y = np.array(labels, float)
-    assert np.allclose(sample.of_buckets(y), values.T @ y) and np.allclose(sample.of_documents(np.arange(toxicity.FEATURES) % 7), values @ (np.arange(toxicity.FEATURES) % 7))
+    some = np.arange(toxicity.FEATURES) % 7
+    assert sample.used.tolist() == np.flatnonzero(values.any(0)).tolist()
+    assert np.allclose(sample.of_buckets(y), (values.T @ y)[sample.used]) and np.allclose(sample.of_documents(some[sample.used]), values @ some)
     weights, bias = toxicity.fit(sample, labels, rounds=300)
     ratio = np.log((values.T @ y + 1) / (3 + 2)) - np.log((values.T @ (1 - y) + 1) / (3 + 2))
     used = np.flatnonzero(ratio)
     assert not weights[np.setdiff1d(np.arange(toxicity.FEATURES), used)].any() and np.count_nonzero(weights[used]) == len(used)
     z = values @ weights + bias
     own = toxicity.Scorer((weights, bias))
-    assert np.allclose([own(t) for t in texts], 1 / (1 + np.exp(-z))) and [int(own(t) >= 0.5) for t in texts] == labels
+    assert np.allclose(own(texts), 1 / (1 + np.exp(-z))) and [int(p >= 0.5) for p in own(texts)] == labels
     # at the minimum the penalised gradient vanishes
     gradient = (values.T @ ((1 / (1 + np.exp(-z)) - y) / 6))[used] * ratio[used] + 0.03 * weights[used] / ratio[used]
     assert np.abs(gradient).max() < 0.01
