@@ -5,14 +5,16 @@ in the segment where the term stands (delta-coded). Positions leave a gap after
 one into the next. Segments are bounded by their number of tokens, are written where the caller says (cut() puts them
 into the shared checkpoint folder) and are never regrouped.
 
-`search` sends test phrases, a bounded number at a time, to every segment. For each phrase the terms' posting lists are
-taken from the rarest up; the rarest list, shifted to the phrase's start, is intersected with the next ones, shifted
-by their own offsets, until it is empty or all terms agree. `proximity` finds windows where all terms of a set stand
-within a distance, by the same lists.
-
-Defined cases: a null or empty text has no words and no hits; an item without words never occurs; repeated rows are
+`search` sends test phrases, a bounded number at a time, to every segment as numbers of terms. A segment looks up the
+phrases' key terms (of each phrase the term that the fewest phrases have) and goes on with the phrases whose key it has;
+of these it takes the rarest term's posting list, shifted to the phrase's start, and intersects it with the next rarer
+ones, shifted by their own offsets, until it is empty or all terms agree. All phrases go through these steps together,
+as arrays. `proximity` finds places where all terms of a set stand within a distance in one document, by the same lists.
+
+Defined cases: a null or empty text has no words and no hits; an item without words never occurs; an item without an id
+counts for words hit and contamination, but not among the items; items of equal id are one; repeated rows are
 documents of their own; an empty table gives an empty result, and without items nothing is hit; a null doc_id is
-carried along; other columns are ignored.
+carried along; a very long text is a segment of its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ WINDOW = 10
 #: Tokens after which a segment is closed.
 SEGMENT_TOKENS = 500_000
 #: Windows of test items that are sent to the tasks at a time; more take more passes over the index.
-WINDOWS_PER_PASS = 200_000
+WINDOWS_PER_PASS = 500_000
+#: Places of rarest terms that are intersected at a time.
+PLACES = 1 << 21
 #: A-Z to a-z; every other ASCII byte but digits and letters to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -96,62 +100,126 @@ class Segment:
 
         self.lengths = np.asarray(lengths, np.int64)
         self.starts = np.cumsum(np.concatenate([[0], self.lengths + gap]))[:-1]
-        counts = np.asarray(postings, np.int64)
-        self.ends = np.cumsum(counts)
+        self.counts = np.asarray(postings, np.int64)
+        self.ends = np.cumsum(self.counts)
         raw = np.frombuffer(zlib.decompress(positions), "u1").reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
         total = np.cumsum(raw)
-        before = np.concatenate([[0], total[self.ends[:-1] - 1]]) if len(counts) else counts
-        self.spots = total - np.repeat(before, counts)
-        names = zlib.decompress(terms).split(b" ") if len(counts) else []
-        self.place = {t: i for i, t in enumerate(names)}
+        before = np.concatenate([[0], total[self.ends[:-1] - 1]]) if len(self.counts) else self.counts
+        self.spots = total - np.repeat(before, self.counts)
+        self.terms = zlib.decompress(terms).split(b" ") if len(self.counts) else []
+        self.place = {t: i for i, t in enumerate(self.terms)}
 
     def list(self, term: bytes):
         i = self.place.get(term)
         if i is None:
             return None
-        return self.spots[self.ends[i - 1] if i else 0 : self.ends[i]]
+        return self.spots[self.ends[i] - self.counts[i] : self.ends[i]]
 
-    def phrase(self, terms: tuple[bytes, ...]):
-        """Where the phrase begins: offset-adjusted lists intersected from the rarest term's up."""
+    def term_at(self):
+        """The term at each place, -1 in gaps: which list a place is in."""
         import numpy as np
 
-        lists = []
-        for offset, term in enumerate(terms):
-            own = self.list(term)
-            if own is None:
-                return None
-            lists.append((len(own), offset, own))
-        lists.sort(key=lambda x: x[:2])
-        starts = lists[0][2] - lists[0][1]
-        for n, offset, own in lists[1:]:
-            at = np.searchsorted(own, starts + offset)
-            starts = starts[own[np.minimum(at, n - 1)] == starts + offset]
-            if not len(starts):
-                return None
-        return starts
+        out = np.full(int((self.starts[-1] + self.lengths[-1]) if len(self.starts) else 0) + 1, -1, np.int32)
+        out[self.spots] = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
+        return out
+
+    def phrases(self, phrases: Phrases):
+        """(numbers of phrases, places where they begin): offset-adjusted lists intersected from the rarest term's up."""
+        import numpy as np
+
+        own = phrases.present(self.place)
+        terms = phrases.terms[own]
+        here = np.where(terms >= 0, phrases.local(self.place)[terms], -2)  # -2: the phrase has ended
+        whole = np.flatnonzero((here != -1).all(1))
+        own, here = own[whole], here[whole]
+        if not len(own):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        counts = np.where(here >= 0, self.counts[np.maximum(here, 0)], np.iinfo(np.int64).max)
+        order = np.argsort(counts, axis=1, kind="stable")  # offsets by how rare their terms are
+        most, at, term_at = counts.min(1), 0, self.term_at()
+        cuts = np.flatnonzero(np.diff(np.cumsum(most) // PLACES)) + 1
+        found = []
+        for some in np.split(np.arange(len(own)), cuts):
+            first = here[some, order[some, 0]]
+            n = self.counts[first]
+            which = np.repeat(some, n)
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            starts = self.spots[np.repeat(self.ends[first] - n, n) + inner] - np.repeat(order[some, 0], n)
+            which, starts = which[starts >= 0], starts[starts >= 0]
+            for k in range(1, here.shape[1]):
+                offset = order[which, k]
+                want = here[which, offset]
+                at = starts + offset
+                good = (want == -2) | ((at < len(term_at)) & (term_at[np.minimum(at, len(term_at) - 1)] == want))
+                which, starts = which[good], starts[good]
+                if not len(which):
+                    break
+            found.append((own[which], starts))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def near(self, terms: set[bytes], distance: int):
-        """Places of the rarest term that have all other terms within `distance` words."""
+        """Places of the first term (in order) that have all other terms within `distance` words in their document."""
         import numpy as np
 
-        lists = sorted((own for t in sorted(terms) if (own := self.list(t)) is not None), key=len)
-        if len(lists) < len(terms) or not lists:
-            return None
-        spots = lists[0]
-        for own in lists[1:]:
-            at = np.searchsorted(own, spots - distance)
-            spots = spots[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] - spots <= distance)]
-        return spots if len(spots) else None
+        if not terms or any(t not in self.place for t in terms):
+            return np.empty(0, np.int64)
+        anchor, *others = sorted(terms)
+        spots = self.list(anchor)
+        for own in sorted(map(self.list, others), key=len):  # from the rarest up
+            doc = np.searchsorted(self.starts, spots, "right") - 1
+            low = np.maximum(spots - distance, self.starts[doc])
+            high = np.minimum(spots + distance, self.starts[doc] + self.lengths[doc] - 1)
+            at = np.searchsorted(own, low)
+            spots = spots[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] <= high)]
+        return spots
+
+
+class Phrases:
+    """Phrases as rows of numbers of terms (-1 after the end), found by their key terms."""
+
+    def __init__(self, phrases: list[tuple[bytes, ...]]):
+        import numpy as np
+
+        known: dict[bytes, int] = {}
+        width = max(map(len, phrases), default=1)
+        self.terms = np.full((len(phrases), width), -1, np.int32)
+        for i, p in enumerate(phrases):
+            self.terms[i, : len(p)] = [known.setdefault(w, len(known)) for w in p]
+        self.vocabulary = list(known)
+        often = np.bincount(self.terms[self.terms >= 0], minlength=len(known) + 1)
+        often[-1] = np.iinfo(often.dtype).max
+        self.key = np.take_along_axis(self.terms, often[self.terms].argmin(1)[:, None], 1).ravel()
+        self.by_key = np.argsort(self.key, kind="stable")
+        self.edges = np.searchsorted(self.key[self.by_key], np.arange(len(known) + 1))
+
+    def local(self, place: dict[bytes, int]):
+        """The number that each of the phrases' terms has in a segment, or -1."""
+        import numpy as np
+
+        return np.fromiter((place.get(t, -1) for t in self.vocabulary), np.int64, len(self.vocabulary))
+
+    def present(self, place: dict[bytes, int]):
+        """The phrases whose key term a segment has."""
+        import numpy as np
+
+        has = np.flatnonzero(self.local(place) >= 0)
+        chosen = np.zeros(len(self.key) + 1, np.int32)
+        np.add.at(chosen, self.edges[has], 1)
+        np.add.at(chosen, self.edges[has + 1], -1)
+        return self.by_key[np.cumsum(chosen)[:-1] > 0]
 
 
 def window_passes(items: Iterable[tuple], width: int = WINDOW, most: int = WINDOWS_PER_PASS) -> Iterator[dict[bytes, list[str]]]:
-    """The items' windows (words joined by spaces) with the ids of the items that have them, `most` at a time."""
+    """The items' windows (words joined by spaces) with the ids of the items that have them, `most` at a time.
+
+    Windows of an item without an id have no id.
+    """
     out: dict[bytes, list[str]] = {}
     for name, text in items:
         ws = words_of(text)
         for i in range(max(1, len(ws) - width + 1) if ws else 0):
             own = out.setdefault(b" ".join(ws[i : i + width]), [])
-            if not own or own[-1] != name:
+            if name is not None and name not in own[-1:]:
                 own.append(name)
             if len(out) >= most:
                 yield out
@@ -175,39 +243,69 @@ def search(index: DataFrame, windows: dict[bytes, list[str]], width: int = WINDO
 
     Spans are maximal runs of hit words, in words from the document's start.
     """
-    shared = index.sparkSession.sparkContext.broadcast(list(windows.items()))
+    shared = index.sparkSession.sparkContext.broadcast((Phrases([tuple(w.split(b" ")) for w in windows]), list(windows.values())))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
 
-        phrases = [(tuple(w.split(b" ")), names) for w, names in shared.value]
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = Segment(row["doc_lengths"], row["terms"], row["postings"], row["positions"], width)
-                marks = np.zeros(int((own.lengths + width).sum()) + 1, np.int32)
-                found: dict[int, set[str]] = {}
-                for phrase, names in phrases:
-                    starts = own.phrase(phrase)
-                    if starts is None:
-                        continue
-                    np.add.at(marks, starts, 1)
-                    np.add.at(marks, starts + len(phrase), -1)
-                    for doc in np.unique(np.searchsorted(own.starts, starts, "right") - 1).tolist():
-                        found.setdefault(doc, set()).update(names)
-                hit = np.cumsum(marks) > 0
-                out = []
-                for doc, (doc_id, n) in enumerate(zip(row["doc_ids"], row["doc_lengths"], strict=True)):
-                    if doc in found:
-                        mine = hit[own.starts[doc] : own.starts[doc] + n]
-                        edges = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-                        out.append((row["segment"], doc, doc_id, n, int(mine.sum()), sorted(found[doc]), [{"start": int(a), "stop": int(b)} for a, b in edges]))
-                    else:
-                        out.append((row["segment"], doc, doc_id, n, 0, [], []))
-                yield matches_batch(out)
+        phrases, names = shared.value
+        sizes = (phrases.terms >= 0).sum(1)
+        for row in segments_of(batches):
+            own = Segment(row["doc_lengths"], row["terms"], row["postings"], row["positions"], width)
+            marks = np.zeros(int((own.lengths + width).sum()) + 1, np.int32)
+            which, starts = own.phrases(phrases)
+            np.add.at(marks, starts, 1)
+            np.add.at(marks, starts + sizes[which], -1)
+            hit = np.cumsum(marks) > 0
+            found: dict[int, set[str]] = {}
+            docs = np.searchsorted(own.starts, starts, "right") - 1
+            for doc, phrase in np.unique(np.stack([docs, which], 1), axis=0).tolist() if len(docs) else ():
+                found.setdefault(doc, set()).update(names[phrase])
+            out = []
+            for doc, (doc_id, n) in enumerate(zip(row["doc_ids"], row["doc_lengths"], strict=True)):
+                if doc in found:
+                    mine = hit[own.starts[doc] : own.starts[doc] + n]
+                    edges = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+                    out.append((row["segment"], doc, doc_id, n, int(mine.sum()), sorted(found[doc]), [{"start": int(a), "stop": int(b)} for a, b in edges]))
+                else:
+                    out.append((row["segment"], doc, doc_id, n, 0, [], []))
+            yield matches_batch(out)
 
     return index.mapInArrow(run, MATCHES)
 
 
+def segments_of(batches: Iterator) -> Iterator[dict]:
+    """The index's rows one at a time."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield from batch.slice(at, 1).to_pylist()
+
+
+def proximity(index: DataFrame, sets: dict[str, set[str]], distance: int, gap: int = WINDOW) -> DataFrame:
+    """item_id, doc_id, at: words, counted from the document's start, that are a set's first term (in the order of its
+    bytes) and have every other term of the set within `distance` words on either side in the same document.
+
+    Terms are folded like texts; a set without terms is found nowhere, one of a single term wherever that stands.
+    """
+    own = {k: {w for t in terms for w in words_of(t)} for k, terms in sets.items()}
+    shared = index.sparkSession.sparkContext.broadcast(own)
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for row in segments_of(batches):
+            segment = Segment(row["doc_lengths"], row["terms"], row["postings"], row["positions"], gap)
+            ids = pa.array(row["doc_ids"], pa.int64())
+            for name, terms in shared.value.items():
+                spots = segment.near(terms, distance)
+                if len(spots):
+                    doc = np.searchsorted(segment.starts, spots, "right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(spots)), ids.take(pa.array(doc)), pa.array(spots - segment.starts[doc])], ["item_id", "doc_id", "at"])
+
+    return index.mapInArrow(run, "item_id string, doc_id long, at long")
+
+
 def merged(passes: list[DataFrame]) -> DataFrame:
     """One row per document from the rows that several passes over the same index have for it."""
 
@@ -236,7 +334,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, wi
 
     The items stream through the driver; what is sent to the tasks at a time is bounded by `windows_per_pass`.
     """
-    own = pick(benchmark, item_id="string", text="string").where("item_id is not null")
+    own = pick(benchmark, item_id="string", text="string")
     index = cut(build_index(docs, width))
     passes = [search(index, w, width) for w in window_passes(((r.item_id, r.text) for r in own.toLocalIterator()), width, windows_per_pass)]
     return passes[0] if len(passes) == 1 else merged(passes)

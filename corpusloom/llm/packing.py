@@ -9,7 +9,8 @@ ends, and the last window at powers of two, which need no padding.
 Tasks pack on their own: no shuffle, nothing on the driver, and at most `HELD` remainders in memory. A sequence's id
 is the task's number times 2**33 plus a running number, so ids stay unique at any width.
 
-Defined cases: a null text is an empty one (its only id is the end id); equal and repeated rows are packed one by
+Defined cases: a null text is an empty one (its only id is the end id); a very long text is encoded whole and fills as
+many windows as it takes; equal and repeated rows are packed one by
 one; an empty table gives an empty result; a null doc_id is carried along; other columns are ignored.
 """
 

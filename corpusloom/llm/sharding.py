@@ -2,15 +2,20 @@
 
 Records are ordered by the hash of their text, then by doc_id and the record itself. A size-weighted sample of the
 hashes gives splitters; a hash that the sample meets more than once is overfull and its range is subdivided by
-doc_id and a number stored with each record. Ranges are then measured exactly, and quantiles of the cumulative bytes cut them into shards: a group of
-equal texts goes as one to the shard that its middle falls in, unless it is larger than `GROUP_SHARE` of a shard or
-its range was subdivided, in which case its records go one by one. Slots number a shard's records in this order.
+doc_id and a number stored with each record. Ranges are then measured exactly.
 
-Only splitters, one per `ROWS_PER_RANGE` records, and one row of totals per range reach the driver; texts are never
-shuffled. The law is `bytes`.
+Groups of equal texts stay whole. Those larger than `LARGE` of a shard, of which there cannot be more than shards / LARGE,
+are dealt first, the largest to the shard with the least bytes so far. A group that would lift even that shard over its
+equal part of all bytes by more than LARGE cannot stay whole under the law; its records are dealt like single ones. All
+others fill the shards up to one level: they are cut at quantiles of their cumulative bytes, and a group at a cut goes
+where its middle is. So a shard has about LARGE more or less than its part, or a record where one is larger. Slots number a shard's records in order.
 
-Defined cases: a null text has size 1, and null texts form one group; a null doc_id sorts first; repeated rows are
-records of their own; an empty table gives an empty result; other columns are ignored.
+Only splitters, one per `ROWS_PER_RANGE` records, the large groups and a few rows of totals per range reach the driver;
+texts are never shuffled. The law is `bytes`.
+
+Defined cases: a null text has size 1, and null texts form one group, with no empty text in it; a null doc_id sorts
+first; repeated rows are records of their own; a very long text is one record, however large; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ from ._shared import cut, pick
 
 #: Records that a range should hold, the least number of ranges, and the sample for each of them.
 ROWS_PER_RANGE, LEAST_RANGES, SAMPLE_PER_RANGE = 500_000, 64, 20
-#: The part of a shard's bytes up to which a group of equal texts stays whole.
-GROUP_SHARE = 0.01
+#: The part of a shard's bytes over which a group of equal texts is dealt on its own.
+LARGE = 0.01
 
 
 def splitters(rows: DataFrame, n_ranges: int, total: int) -> tuple[list[int], list[tuple[int, int, int]]]:
@@ -74,6 +79,31 @@ def placed_in_ranges(rows: DataFrame, bounds: list[int], inner: list[tuple[int,
     return rows.mapInArrow(run, "doc_id long, size long, text_crc32 long, h long, u long, r long, split boolean")
 
 
+def deal_large(groups: list[tuple[int, int]], total: int, shards: int) -> tuple[dict[int, int], list[int]]:
+    """The shard of each large group (hash, bytes) that can stay whole, and the bytes so dealt to each shard."""
+    loads, out = [0] * shards, {}
+    for size, h in sorted(((s, h) for h, s in groups), reverse=True):
+        k = loads.index(min(loads))
+        if loads[k] + size <= (1 + LARGE) * total / shards:
+            out[h] = k
+            loads[k] += size
+    return out, loads
+
+
+def quantiles(loads: list[int], total: int) -> list[int]:
+    """Where the bytes of all other records are cut, so that they fill the shards up to one level.
+
+    Twice the byte counts, so that a middle is whole.
+    """
+    rest, low = total - sum(loads), sorted(loads)
+    level = next(x for k in range(len(low), 0, -1) if (x := (rest + sum(low[:k])) / k) >= low[k - 1])
+    out, at = [], 0.0
+    for x in loads[:-1]:
+        at += 2 * max(0.0, level - x)
+        out.append(round(at))
+    return out
+
+
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """A shard and a slot for every record of `docs` (doc_id, text)."""
     spark = docs.sparkSession
@@ -90,29 +120,34 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_ranges = max(LEAST_RANGES, -(-n // ROWS_PER_RANGE))
     bounds, inner = splitters(rows, n_ranges, total)
+    least = int(LARGE * total / shards)
+    large = [tuple(x) for x in rows.groupBy("h").agg(F.sum("size").alias("s"), F.count("*").alias("k")).where((F.col("s") > least) & (F.col("k") > 1)).select("h", "s").collect()]
+    whole, loads = deal_large(large, total, shards)
+    kinds = spark.createDataFrame([(h, whole.get(h)) for h, _ in large], "h long, own int")
+
     own = W.partitionBy("r").orderBy("h", "doc_id", "u")
-    placed = (
+    weight = F.when(F.col("own").isNull(), F.col("size")).otherwise(0)
+    placed = cut(
         placed_in_ranges(rows, bounds, inner)
-        .withColumn("row", F.row_number().over(own).cast("long"))
-        .withColumn("before", F.sum("size").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size"))
-        .withColumn("group_size", F.sum("size").over(W.partitionBy("r", "h")))
+        .join(F.broadcast(kinds.withColumn("single", F.col("own").isNull())), "h", "left")
+        .withColumn("before", F.sum(weight).over(own.rowsBetween(W.unboundedPreceding, W.currentRow)) - weight)
+        .withColumn("group_size", F.sum(weight).over(W.partitionBy("r", "h")))
         .withColumn("group_before", F.min("before").over(W.partitionBy("r", "h")))
     )
-    placed = cut(placed)
-    ranges = sorted(tuple(x) for x in placed.groupBy("r").agg(F.count("*"), F.sum("size")).collect())
-    starts, rows_at, bytes_at = [], 0, 0
-    for r, k, s in ranges:
-        starts.append((r, rows_at, bytes_at))
-        rows_at, bytes_at = rows_at + k, bytes_at + s
-    offsets = spark.createDataFrame(starts, "r long, rows_before long, bytes_before long")
-
-    alone = F.col("split") | (F.col("group_size") > F.lit(int(GROUP_SHARE * total / shards)))
+    starts, at = [], 0
+    for r, s in sorted(tuple(x) for x in placed.groupBy("r").agg(F.sum(weight)).collect()):
+        starts.append((r, at))
+        at += s
+    offsets = spark.createDataFrame(starts, "r long, bytes_before long")
+    alone = F.col("split") | F.coalesce("single", F.lit(False))
     begin = F.col("bytes_before") + F.when(alone, F.col("before")).otherwise(F.col("group_before"))
-    span = F.when(alone, F.col("size")).otherwise(F.col("group_size"))
-    middle = begin.cast("decimal(38,0)") * 2 + span
-    at = F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(max(2 * total, 1)).cast("decimal(20,0)")).cast("int"))
-    dealt = placed.join(F.broadcast(offsets), "r").withColumn("shard", at).withColumn("row", F.col("row") + F.col("rows_before") - 1)
-    firsts = dealt.groupBy("shard").agg(F.min("row").alias("first"))  # at most `shards` rows
-    return dealt.join(F.broadcast(firsts), "shard").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), (F.col("row") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    middle = begin * 2 + F.when(alone, F.col("size")).otherwise(F.col("group_size"))
+    by_middle = sum([(middle >= F.lit(c)).cast("int") for c in quantiles(loads, total)], F.lit(0))
+    dealt = cut(placed.join(F.broadcast(offsets), "r").select("doc_id", "size", "text_crc32", "h", "u", "r", F.coalesce("own", by_middle).alias("shard")))
+    firsts, seen = [], [0] * shards
+    for r, k, n_rows in sorted(tuple(x) for x in dealt.groupBy("r", "shard").count().collect()):
+        firsts.append((r, k, seen[k]))
+        seen[k] += n_rows
+    slot = F.row_number().over(W.partitionBy("r", "shard").orderBy("h", "doc_id", "u")) - 1 + F.col("first")
+    numbered = dealt.join(F.broadcast(spark.createDataFrame(firsts, "r long, shard int, first long")), ["r", "shard"])
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

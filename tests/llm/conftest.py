@@ -25,6 +25,13 @@ def documents(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words string, score double, TEXT_ binary").repartition(3)
 
 
+@pytest.fixture(scope="session")
+def wide(documents):
+    """The same rows where other columns' names differ from the needed ones in case only, or are an operator's own."""
+    own = "Text DOC_ID Doc_id f h r z u own part size shard row_key label bucket raw n fingerprint component_id n_tokens sequence_id predicted held_out kept_text".split()
+    return documents.selectExpr("doc_id", "text", *[f"'x' as {c}" for c in own])
+
+
 @pytest.fixture(scope="session")
 def nothing(documents):
     return documents.where("false")

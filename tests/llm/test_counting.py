@@ -11,7 +11,7 @@ import pytest
 from corpusloom.llm import chat_format, packing, quality_rules, sharding, token_counts
 from corpusloom.llm.tokens import encoder, load, public_path
 
-from .conftest import ROWS
+from .conftest import ROWS, prose
 
 BPE = public_path("byte_bpe_50k.json")
 ODD = ["", " ", "  ", "a  b", "a   b", "x\n y", "x\n\n y ", "don't we'll  I've", "a<|endoftext|>b", "!<|endoftext|> <|endoftext|>", "é日本語 😀😀 ñ", "aaaaaaaa!!!!", "\t\ttab\x0bx", "trail  ", "a b　c", "\u0000 nul"]
@@ -97,6 +97,22 @@ def test_base_rules(documents, nothing):
     assert quality_rules.quality_rules(nothing, trusted).count() == 0 and quality_rules.quality_rules(documents, nothing).count() == len(ROWS)
 
 
+def test_bucket_counts_by_either_way(documents, nothing):
+    """Ids sent to the tasks and ids joined give the counts that brute force gives."""
+    trusted = documents.select("doc_id").where("doc_id in (1, 4, 9, 14) or doc_id is null")
+    raw, target = Counter(), Counter()
+    for i, t in ROWS:
+        h = [int(hashlib.md5(w).hexdigest()[:8], 16) for w in (t or "").encode().split()]
+        own = [x % quality_rules.BUCKETS for x in h] + [(a * quality_rules.MIX + b) % quality_rules.BUCKETS for a, b in zip(h, h[1:], strict=False)]
+        raw.update(own)
+        if i in (1, 4, 9, 14):
+            target.update(own)
+    for most in (100, 2):
+        rows = quality_rules.bucket_counts(documents, trusted, most_sent=most).collect()
+        assert {r.bucket: (r.raw, r.target) for r in rows} == {b: (n, target[b]) for b, n in raw.items()}
+    assert quality_rules.bucket_counts(documents, nothing).agg({"target": "sum"}).first()[0] == 0
+
+
 def test_bad_documents_fall_below_clean_ones(corpus):
     docs, labels = corpus
     rows = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels.where("quality = 1")).collect()}
@@ -155,3 +171,31 @@ def test_shards(spark, documents, nothing):
     mean = sum(sizes.values()) / 8
     assert max(sizes.values()) < 1.01 * mean and min(sizes.values()) > 0.99 * mean and len(sizes) == 8
     assert sum(len(s) > 1 for s in groups.values()) <= 1
+
+
+def test_shards_keep_groups_whole(spark, monkeypatch):
+    """Groups of up to a shard's bytes stay together; the placement is that of a plain walk over the sorted records."""
+    draw = random.Random(4)
+    texts = [prose(7000 + k, draw.randint(5, 200)) for k in range(60)]
+    rows = [(i, texts[min(draw.randrange(60), draw.randrange(60))]) for i in range(1200)] + [(i, prose(9000 + i, draw.randint(1, 200))) for i in range(1200)] + [(None, None), (1, None), (2, ""), (2, "")]
+    monkeypatch.setattr(sharding, "SAMPLE_PER_RANGE", 3)
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    of, sizes = {}, Counter()
+    for r in got:
+        of.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+        sizes[r.shard] += r.size
+    mean = sum(sizes.values()) / 8
+    group = Counter()
+    for r in got:
+        group[r.text_crc32, r.size] += r.size
+    assert max(group.values()) > 0.2 * mean and all(len(s) == 1 for s in of.values())
+    assert max(sizes.values()) < 1.02 * mean and min(sizes.values()) > 0.98 * mean
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_large_groups_and_cuts():
+    assert sharding.deal_large([(1, 50), (2, 300), (3, 90), (4, 60)], 800, 8) == ({3: 0, 4: 1, 1: 2}, [90, 60, 50, 0, 0, 0, 0, 0])
+    assert sharding.deal_large([(1, 101), (2, 102)], 200, 2) == ({1: 0}, [101, 0])
+    assert sharding.quantiles([90, 60, 50, 0], 400) == [20, 100, 200]
+    assert sharding.quantiles([0, 0], 7) == [7] and sharding.quantiles([101, 0], 200) == [0] and sharding.quantiles([0] * 8, 0) == [0] * 7

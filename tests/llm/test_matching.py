@@ -15,7 +15,7 @@ from corpusloom.llm.labelled import held_out
 
 from .conftest import PASSAGE, ROWS, prose
 
-ITEMS = [("a", " ".join(PASSAGE.split()[20:45])), ("b", "One"), ("b2", "un, DOS"), ("c", None), ("d", "..."), ("e", prose(77, 30)), ("a", " ".join(PASSAGE.split()[20:45])), ("f", " ".join(prose(9, 6000).split()[5000:5011]))]
+ITEMS = [("a", " ".join(PASSAGE.split()[20:45])), ("b", "One"), ("b2", "un, DOS"), ("c", None), ("d", "..."), ("e", prose(77, 30)), ("a", " ".join(PASSAGE.split()[20:45])), ("f", " ".join(prose(9, 6000).split()[5000:5011])), (None, " ".join(prose(9, 6000).split()[300:312])), (None, " ".join(PASSAGE.split()[40:60])), (None, None)]
 
 
 def words(text):
@@ -33,7 +33,7 @@ def hits(text):
             for at in range(len(ws) - len(win) + 1):
                 if ws[at : at + len(win)] == win:
                     hit |= set(range(at, at + len(win)))
-                    items.add(name)
+                    items |= {name} - {None}
     return len(ws), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)
 
 
@@ -47,19 +47,41 @@ def test_decontamination(spark, documents, nothing):
     assert decontamination.decontaminate(documents, items.where("false")).where("n_hit > 0").count() == 0
 
 
-def test_spans_and_proximity():
-    index = {"x": [b"a", b"b", b"c", b"a", b"d"], "y": [b"b", b"a"]}
-    gap, spots = 10, {}
-    at = 0
-    for ws in index.values():
-        for k, w in enumerate(ws):
-            spots.setdefault(w, []).append(at + k)
-        at += len(ws) + gap
-    terms = sorted(spots)
-    deltas = np.concatenate([np.diff(spots[t], prepend=0) for t in terms]).astype("<u4")
-    own = decontamination.Segment([5, 2], zlib.compress(b" ".join(terms)), [len(spots[t]) for t in terms], zlib.compress(deltas.view("u1").reshape(-1, 4).T.tobytes()), gap)
-    assert own.phrase((b"b", b"c")).tolist() == [1] and own.phrase((b"d", b"b")) is None
-    assert own.near({b"d", b"c"}, 2).tolist() == [2] and own.near({b"d", b"b"}, 2) is None
+def test_items_without_an_id_are_hit(spark):
+    docs = spark.createDataFrame([(1, PASSAGE), (2, prose(3, 30))], "doc_id long, text string")
+    rows = decontamination.decontaminate(docs, spark.createDataFrame([(None, PASSAGE)], "item_id string, text string")).collect()
+    assert {r.doc_id: (r.n_hit, r.item_ids) for r in rows} == {1: (90, []), 2: (0, [])}
+
+
+def test_phrases_and_proximity(spark, monkeypatch):
+    """All phrases and sets against the words themselves, in many small segments and few places at a time."""
+    draw = random.Random(6)
+    texts = [" ".join(draw.choice("abcdefgh") for _ in range(draw.randint(0, 60))) for _ in range(40)] + ["a", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    items = [(f"i{k}", " ".join(draw.choice("abcdefghi") for _ in range(draw.randint(1, 4)))) for k in range(50)]
+    monkeypatch.setattr(decontamination, "SEGMENT_TOKENS", 100)
+    monkeypatch.setattr(decontamination, "PLACES", 7)
+    index = decontamination.build_index(docs, 10)
+    assert index.count() > 5
+    windows = next(decontamination.window_passes(items))
+    for r in decontamination.search(index, windows).collect():
+        ws, hit, names = (texts[r.doc_id] or "").split(), set(), set()
+        for name, item in items:
+            own = item.split()
+            for at in range(len(ws) - len(own) + 1):
+                if ws[at : at + len(own)] == own:
+                    hit |= set(range(at, at + len(own)))
+                    names.add(name)
+        assert {i for s in r.spans for i in range(s["start"], s["stop"])} == hit and r.n_hit == len(hit) and r.item_ids == sorted(names)
+    sets = {"ab": {"a", "B"}, "abc": {"c", "b", "a"}, "x": {"x", "a"}, "none": set(), "g": {"g"}, "all": set("abcdefgh")}
+    for distance in (0, 1, 3, 25):
+        want = set()
+        for k, terms in sets.items():
+            terms = sorted(t.lower() for t in terms)
+            for i, t in enumerate(texts):
+                ws = (t or "").split()
+                want |= {(k, i, at) for at, w in enumerate(ws) if terms and w == terms[0] and set(terms) <= set(ws[max(0, at - distance) : at + distance + 1])}
+        assert {tuple(r) for r in decontamination.proximity(index, sets, distance).collect()} == want
 
 
 def fingerprint(text):

@@ -8,10 +8,12 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from corpusloom.llm.queries import QUERIES
+from corpusloom.llm import chat_format, decontamination, packing, quality_mil, quality_rules, sharding, simhash, suffix_dedup, token_counts, toxicity
+from corpusloom.llm.queries import BPE, QUERIES
 from corpusloom.llm.sql import ORACLE_SQL
+from corpusloom.llm.tokens import public_path
 
-from .conftest import PASSAGE, prose
+from .conftest import PASSAGE, ROWS, prose
 from .test_matching import removed
 
 DATA = "/root/testdata/sf0.001"
@@ -34,6 +36,19 @@ def test_queries(spark, name):
     assert Counter(rows) == Counter(tuple(r[names.index(c)] for c in got.columns) for r in want.fetchall())
 
 
+def test_operators_take_clashing_names(spark, wide, corpus):
+    labels = corpus[1].selectExpr("doc_id", "quality", "toxic", "1 as QUALITY", "'x' as text", "0 as label")
+    items = spark.createDataFrame([("a", PASSAGE, 1, "x")], "item_id string, text string, doc_id int, Text string")
+    out = [
+        quality_rules.quality_rules(wide, labels), packing.pack(wide, public_path(BPE)), decontamination.decontaminate(wide, items),
+        token_counts.token_counts(wide, public_path(BPE)), simhash.near_duplicates(wide), suffix_dedup.remove_repeats(wide), sharding.shard(wide),
+        quality_mil.score(wide, quality_mil.train(wide, labels)), toxicity.score(wide, toxicity.train(wide, labels)),
+    ]
+    assert all({r[0] for r in x.select(x.columns[x.columns.index("doc_id")]).collect()} == {i for i, _ in ROWS} for x in out)
+    turns = spark.createDataFrame([(1, 0, "user", "hi", "x", 2)], "conv_id long, turn long, role string, text string, Role string, TURN int")
+    assert chat_format.digests(chat_format.format_turns(turns)).count() == 1
+
+
 def test_stages_and_names(spark):
     assert [n for n, _ in pipeline.STAGES][0] == "toxicity" and len(pipeline.STAGES) == 5
     assert {"pipeline", *QUERIES} <= set(entry.queries()) and len(QUERIES) == 10
