@@ -1,7 +1,7 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A text's distinct lower-case words, each between two spaces, are cut into n-grams of `SIZES` characters, which are
-hashed into `features` buckets; a bucket's value is the number of distinct words that have it. From the labelled sample
+hashed into `features` buckets; a bucket's value is how often the distinct words have it. From the labelled sample
 come the log-count ratios r of all buckets between toxic and other documents, smoothed; a logistic regression is then
 fitted to the values times r, with an L2 penalty, classes weighted by the square root of their odds. No bucket is left
 out. A document's score is the fitted probability over the n-grams of its whole text; as it is a sum over words, a
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import cut, pick, slices
+from ._shared import cut, pick, release, slices
 from .labelled import held_out, labelled_sample
 
 SIZES = (3, 4, 5, 6)
@@ -35,7 +35,7 @@ SAMPLE, SAMPLE_BYTES = 4000, 65_536
 FOLDS, HELD_FOLD = 5, 0
 THRESHOLD = 0.5
 #: Characters of a text that are split at a time, words kept in a worker and the longest of them.
-STRETCH, CACHE_WORDS, KEPT_CHARS = 1 << 20, 400_000, 48
+STRETCH, CACHE_WORDS, KEPT_CHARS = 1 << 20, 150_000, 48
 SPACE = re.compile(r"\s")
 
 
@@ -52,19 +52,20 @@ def word_set(text: str | None) -> set[str]:
 
 
 def buckets(words: list[str], features: int = FEATURES, sizes: tuple[int, ...] = SIZES):
-    """The distinct buckets of the n-grams of each word between two spaces: numbers of words, and buckets, in order."""
+    """The buckets of the n-grams of each word between two spaces: numbers of words, and buckets, as often as they occur."""
     import numpy as np
 
-    codes = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), "<u4")
-    of = np.repeat(np.arange(len(words), dtype=np.int64), [len(w) + 2 for w in words])
-    h, shift, out = codes.astype(np.uint32), np.uint32(32 - (features - 1).bit_length()), [np.empty(0, np.int64)]
-    for n in range(2, min(max(sizes), len(codes)) + 1):
+    codes = np.frombuffer((" " + "  ".join(words) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+    of = np.repeat(np.arange(len(words), dtype=np.int32), np.fromiter(map(len, words), np.int64, len(words)) + 2) if words else np.zeros(len(codes), np.int32)
+    h, shift, numbers, found = codes, np.uint32(32 - (features - 1).bit_length()), [], []
+    for n in range(2, max(sizes) + 1):
         h = h[:-1] * np.uint32(0x01000193) ^ codes[n - 1 :]
         if n in sizes:
-            inside = of[: len(h)] == of[n - 1 :]
-            out.append(of[: len(h)][inside] << 32 | (h[inside] * np.uint32(0x9E3779B1) >> shift))
-    both = np.unique(np.concatenate(out))
-    return both >> 32, (both & 0xFFFFFFFF).astype(np.int32)
+            own = of[: len(h)]
+            inside = own == of[n - 1 :]
+            numbers.append(own[inside])
+            found.append((h[inside] * np.uint32(0x9E3779B1) >> shift).view(np.int32))
+    return np.concatenate(numbers), np.concatenate(found)
 
 
 def log_count_ratios(ones, zeros, n_ones: int, n_zeros: int):
@@ -85,9 +86,9 @@ class Sample:
         import numpy as np
 
         self.n_docs, self.n_words = len(docs), len(sizes)
-        self.doc_of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        self.word = np.concatenate([np.empty(0, np.int64), *docs]).astype(np.int64)
-        by = np.argsort(flat, kind="stable")
+        self.doc_of = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
+        self.word = np.concatenate([np.empty(0, np.int32), *docs]).astype(np.int32)
+        by = np.argsort(flat, kind="stable").astype(np.int32)
         self.used, self.bucket_starts = np.unique(flat[by], return_index=True)
         self.bucket = np.searchsorted(self.used, flat).astype(np.int32)  # word by word
         self.word_starts = np.cumsum(sizes) - sizes
@@ -97,17 +98,25 @@ class Sample:
         """The sum of weights over each document's words' buckets."""
         import numpy as np
 
-        if not self.n_words:
-            return np.zeros(self.n_docs)
-        by_word = np.add.reduceat(weights[self.bucket], self.word_starts)  # a word between two spaces has a bucket
+        by_word = sums(weights, self.bucket, self.word_starts)  # a word between two spaces has a bucket
         return np.bincount(self.doc_of, weights=by_word[self.word], minlength=self.n_docs)
 
     def of_buckets(self, values):
         """The sum of the documents' values over the words that have each bucket."""
         import numpy as np
 
-        by_word = np.bincount(self.word, weights=values[self.doc_of], minlength=self.n_words)
-        return np.add.reduceat(by_word[self.word_of], self.bucket_starts) if self.n_words else np.zeros(0)
+        return sums(np.bincount(self.word, weights=values[self.doc_of], minlength=self.n_words), self.word_of, self.bucket_starts)
+
+
+def sums(values, picked, starts, block: int = 50_000):
+    """The sum of the picked values of each stretch that begins at a start, some stretches at a time."""
+    import numpy as np
+
+    out, edges = np.zeros(len(starts)), np.append(starts, len(picked))
+    for a in range(0, len(starts), block):
+        own = edges[a : a + block + 1]
+        out[a : a + block] = np.add.reduceat(values[picked[own[0] : own[-1]]], own[:-1] - own[0])
+    return out
 
 
 def fit(sample: Sample, labels: list[int], features: int = FEATURES, rounds: int = 80, penalty: float = 0.03, step: float = 0.02):
@@ -172,15 +181,23 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES):
         for batch in slices(batches, 4096):
             words = batch.column(0).to_pylist()
             of, found = buckets(words, features)
+            by = np.argsort(of, kind="stable")
+            of, found = of[by], found[by]
             ends = np.searchsorted(of, np.arange(len(words) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(map(hashed, words), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(found))], ["word", "buckets"])
 
     words = sample.mapInArrow(distinct, "word string").distinct().mapInArrow(of_words, "word long, buckets array<int>").toArrow().sort_by("word")
     got = sample.mapInArrow(of_documents, "doc_id long, words array<long>, label int").toArrow().sort_by("doc_id")
     known = words.column("word").to_numpy()
-    numbers = [np.searchsorted(known, x.values.to_numpy()) for x in got.column("words")]
+    numbers = [np.searchsorted(known, x.values.to_numpy()).astype(np.int32) for x in got.column("words")]
     lists = words.column("buckets").combine_chunks()
-    return fit(Sample(numbers, np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()), got.column("label").to_pylist(), features)
+    own = Sample(numbers, np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy())
+    truth = got.column("label").to_pylist()
+    del words, got, lists, known, numbers
+    model = fit(own, truth, features)
+    del own
+    release()
+    return model
 
 
 class Scorer:

@@ -259,11 +259,11 @@ def test_toxicity(corpus, documents, nothing):
 
 
 def gram_counts(text):
-    """How many distinct words of a text have each n-gram, by the letters themselves."""
+    """How often the distinct words of a text have each n-gram, by the letters themselves."""
     out = Counter()
     for w in set((text or "").lower().split()):
         w = f" {w} "
-        out.update({w[i : i + n] for n in toxicity.SIZES for i in range(len(w) - n + 1)})
+        out.update(w[i : i + n] for n in toxicity.SIZES for i in range(len(w) - n + 1))
     return out
 
 
@@ -281,10 +281,12 @@ def test_toxicity_ratios_gradient_and_score():
     values = np.zeros((len(texts), toxicity.FEATURES))
     for k, t in enumerate(texts):
         for w in set(t.lower().split()):
-            for b in {bucket[g] for g in gram_counts(w)}:
-                values[k, b] += 1
+            for g, n in gram_counts(w).items():
+                values[k, bucket[g]] += n
     words = sorted({w for t in texts for w in toxicity.word_set(t)})
     of, found = toxicity.buckets(words)
+    by = np.argsort(of, kind="stable")
+    of, found = of[by], found[by]
     sample = toxicity.Sample([np.array(sorted(words.index(w) for w in toxicity.word_set(t)), np.int64) for t in texts], np.bincount(of), found)
     y = np.array(labels, float)
     some = np.arange(toxicity.FEATURES) % 7
