@@ -13,7 +13,7 @@ needed to know this for all of it; it is built over shards that hold, together,
    a start repeats exactly if its common prefix with a neighbour in the array has `length` bytes. Every level of the
    recursion induces; a level of few letters places a bucket at a time, one of many letters or of long runs a suffix.
 4. No array may hold more than `GROUP_BYTES` of one hash, so what one task holds is bounded whatever the texts. The
-   windows of a hash with more go to the shuffle one by one under a 128-bit hash and are counted there.
+   windows of a hash with more go to the shuffle one by one under a 128-bit hash and are counted there, salted.
 
 Texts are compressed and numbered once into the shared checkpoint folder; later joins are by that number, which is
 never skewed. Joins on a stretch's hash can be skewed and are left to skew-splitting sort-merge joins.
@@ -30,7 +30,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ._shared import cut, pick, release, slices
 
@@ -41,6 +41,7 @@ SHARD_BYTES, GROUP_BYTES = 1_000_000, 2_000_000
 BUCKET, RUN = 256, 256
 BASE = 0x5851F42D4C957F2D  # an odd multiplier
 STRETCH = 1 << 20  # window starts handled at a time
+SALTS = 64  # parts that the rows of one window are dealt to
 
 
 # -- suffix arrays -----------------------------------------------------------------------------------------------
@@ -440,9 +441,11 @@ def window_spans(hot: DataFrame, length: int) -> DataFrame:
                     w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[i : i + length]) for i in range(at, at + k)), np.int64).reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(np.full(k, row["r"])), pa.array(np.arange(at, at + k) + row["start"]), pa.array(np.full(k, row["n"]))], names)
 
-    windows = cut(hot.select("r", "start", "size", "n", "stretch").mapInArrow(run, "w1 long, w2 long, r long, start long, n long"))
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2")
-    return windows.where("n = 1").join(twice, ["w1", "w2"]).select("r", "start", (F.col("start") + length).alias("stop"))
+    windows = hot.select("r", "start", "size", "n", "stretch").mapInArrow(run, "w1 long, w2 long, r long, start long, n long")
+    windows = cut(windows.withColumn("salt", F.pmod(F.xxhash64("r"), F.lit(SALTS)).cast("int")))  # one window may be in a third of all rows
+    parts = windows.groupBy("w1", "w2", "salt").agg(F.count("*").alias("k"))
+    twice = parts.withColumn("k", F.sum("k").over(W.partitionBy("w1", "w2"))).where("k > 1").select("w1", "w2", "salt")
+    return windows.where("n = 1").join(twice, ["w1", "w2", "salt"]).select("r", "start", (F.col("start") + length).alias("stop"))
 
 
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
