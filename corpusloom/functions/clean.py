@@ -94,6 +94,10 @@ def host(url: Column) -> Column:
     return F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://([^/?#]*)", 1)
 
 
+#: Domains that count as national (fixed values).
+NATIONAL_DOMAINS = ["br", "com.br", "gov.br", "edu.br", "org.br", "net.br"]
+
+
 def top_domain(url: Column) -> Column:
     """The last label, or the last two below a country with second-level domains; unknown without a host."""
     labels = F.split(host(url), r"\.")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import shingles, words
+from ..session import cut
 
 NGRAM = 13
 #: Benchmark runs up to this many are broadcast; beyond it the join is shuffled.
@@ -18,6 +19,7 @@ def runs(df: DataFrame, key: str, n: int = NGRAM) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """Each document with each item it shares a run with, and how many; only documents of n words or more."""
     theirs = benchmark.where("text is not null").select(item, F.explode(shingles(words(F.lower("text")), n)).alias("run")).distinct()
+    theirs = cut(theirs)  # counted, then joined
     long_enough = docs.where("text is not null").select(key, words(F.lower("text")).alias("w")).where(F.size("w") >= n)
     ours = long_enough.select(key, F.explode(shingles(F.col("w"), n)).alias("run"))
     small = theirs.count() <= BROADCAST_ROWS

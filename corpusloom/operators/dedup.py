@@ -107,11 +107,12 @@ def verified_pairs(bucketed: DataFrame, sets: DataFrame, key: str, threshold: fl
     bucket have as a link is linked by them, directly or over others.
 
     Each document is compared with its bucket's best one, then as further_links() says. A pair whose documents are
-    connected already is not listed. sets: key and `grams`, an array of distinct runs of words.
+    connected already is not listed. sets: key and `grams`, an array of distinct hashes of runs of words.
     """
     top = cut(best_of_bucket(bucketed, key, *order))
     shared = cut(bucketed.join(top, ["band", "key"]).select("band", "key", F.col(key).alias("node"), "best").distinct())
     first = shared.where("node <> best").select(F.col("node").alias(key), "best").distinct()
+    sets = cut(sets.join(shared.select(F.col("node").alias(key)).distinct(), key, "left_semi"))  # those in a bucket with others
     direct = cut(similar(first, sets, key, threshold))
     return direct.unionByName(further_links(shared, direct, sets, key, threshold))
 
@@ -131,7 +132,7 @@ def further_links(shared: DataFrame, direct: DataFrame, sets: DataFrame, key: st
     apart = open_.groupBy("band", "key").agg((F.min("label") < F.max("label")).alias("apart")).where("apart").select("band", "key")
     open_ = open_.join(apart, ["band", "key"], "left_semi")
     nodes = open_.groupBy("node").agg(F.min("label").alias("label"))
-    own = cut(sets.join(nodes.withColumnRenamed("node", key), key).select(key, "label", "grams", F.size("grams").alias("n"), F.sha2(F.array_join(F.array_sort("grams"), "\n"), 256).alias("same")))
+    own = cut(sets.join(nodes.withColumnRenamed("node", key), key).select(key, "label", "grams", F.size("grams").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort("grams"), lambda g: g.cast("string")), "\n"), 256).alias("same")))
     firsts = cut(own.groupBy("same").agg(F.min(key).alias("best"), F.min_by("label", key).alias("first_label")))
     own = own.join(firsts, "same")
     links = [direct.limit(0), own.where("label <> first_label").select(key, "best", F.lit(1.0).alias("jaccard"))]  # equal sets
@@ -169,20 +170,20 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return hashed.join(cut(first), "h").where(F.col(key) != F.col("first")).select(key, F.col("first").alias("duplicate_of"), "copies")
 
 
-def clusters(pairs: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataFrame:
-    """Connected components of pairs by label propagation with pointer jumping; each round is checkpointed."""
+def clusters(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Connected components of pairs by label propagation with pointer jumping until no label changes; each round is
+    checkpointed."""
     edges = pairs.select(F.col(a).alias("u"), F.col(b).alias("v"))
     edges = edges.union(edges.select("v", "u")).distinct()
     labels = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label"))
-    for _ in range(most_rounds):
+    while True:
         near = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("other"))
         stepped = labels.join(near, "u").select("u", F.least("label", "other").alias("label"), F.col("label").alias("was"))
         jumped = stepped.join(stepped.select(F.col("u").alias("label"), F.col("label").alias("far")), "label", "left").select("u", F.least("label", F.coalesce("far", "label")).alias("label"), "was")
         jumped = cut(jumped)
         labels = jumped.select("u", "label")
         if jumped.where("label <> was").isEmpty():
-            break
-    return labels.select(F.col("u").alias(a), F.col("label").alias("cluster"))
+            return labels.select(F.col("u").alias(a), F.col("label").alias("cluster"))
 
 
 def wide_signature(text: str, n: int = 13):

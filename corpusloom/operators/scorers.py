@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import words
+from ..session import cut
+from .statistics import linear_percentiles
 
 
 def score_with(df: DataFrame, make: Callable[[], Callable[[list], list]], column: str, kind: str = "double", text: str = "text", head: int | None = None) -> DataFrame:
@@ -32,13 +34,20 @@ def train_bigrams(docs: DataFrame) -> DataFrame:
 
 
 def perplexity(docs: DataFrame, model: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Add-one perplexity of each document under the bigram counts, by joins only."""
-    sizes = model.groupBy("first").agg(F.sum("n").alias("total"))
+    """Add-one perplexity of each document under the bigram counts, by joins only.
+
+    The model's rows carry their first word's total, so that a pair which the model has needs one join on both words.
+    Only pairs that it lacks look for that total by the first word; the others have a key of their own there, no word's,
+    so that common words gather no rows.
+    """
+    sizes = cut(model.groupBy("first").agg(F.sum("n").alias("total")))
     vocabulary = model.select("second").distinct().count()
+    full = model.join(sizes, "first")
     w = docs.select(key, words(F.lower(F.col("text"))).alias("w")).where(F.size("w") > 1)
     pairs = w.select(key, F.explode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.struct(a.alias("first"), b.alias("second")))).alias("p")).groupBy(key, "p.first", "p.second").agg(F.count("*").alias("k"))
-    scored = pairs.join(model, ["first", "second"], "left").join(sizes, "first", "left")
-    log_p = F.log((F.coalesce("n", F.lit(0)) + 1.0) / (F.coalesce("total", F.lit(0)) + float(vocabulary)))
+    known = pairs.join(full, ["first", "second"], "left").withColumn("look", F.when(F.col("n").isNull(), F.col("first")).otherwise(F.concat(F.lit(" "), F.col("second"))))
+    scored = known.join(sizes.select(F.col("first").alias("look"), F.col("total").alias("all")), "look", "left")
+    log_p = F.log((F.coalesce("n", F.lit(0)) + 1.0) / (F.coalesce("total", "all", F.lit(0)) + float(vocabulary)))
     return scored.groupBy(key).agg(F.round(F.exp(-F.sum(log_p * F.col("k")) / F.sum("k")), 4).alias("perplexity"))
 
 
@@ -93,7 +102,12 @@ def tokenizer_rates(docs: DataFrame, path: str, key: str = "doc_id", least: int
 def extrapolated(rates: DataFrame, docs: DataFrame) -> DataFrame:
     """One row: documents measured, mean tokens, tokens of all documents at that mean, bytes per token, means of the rates."""
     total = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("bigint")).alias("bytes"))
-    m = rates.agg(F.count("*").alias("sample_size"), F.avg("tokens").alias("mean_tokens"), F.round(F.avg("fertility"), 4).alias("fertility_mean"), F.round(F.percentile("fertility", F.lit(0.5)), 4).alias("fertility_p50"), F.round(F.percentile("fertility", F.lit(0.95)), 4).alias("fertility_p95"), F.round(F.avg("single_token_share"), 4).alias("strr_mean"))
-    both = m.join(F.broadcast(total))  # single rows
+    rates = cut(rates)
+    means = rates.agg(F.count("*").alias("sample_size"), F.avg("tokens").alias("mean_tokens"), F.round(F.avg("fertility"), 4).alias("fertility_mean"), F.round(F.avg("single_token_share"), 4).alias("strr_mean"))
+    spread = linear_percentiles(rates, [], "fertility", [0.5, 0.95]).select(F.col("p50").alias("fertility_p50"), F.col("p95").alias("fertility_p95"))
+    both = means.join(spread).join(total)  # single rows
     estimate = F.floor(F.col("mean_tokens") * F.col("n")).cast("bigint")
-    return both.select("sample_size", F.round("mean_tokens", 2).alias("mean_tokens_per_doc"), estimate.alias("total_tokens_est"), "fertility_mean", "fertility_p50", "fertility_p95", F.round(F.col("bytes") / F.greatest(estimate, F.lit(1)), 4).alias("bytes_per_token"), "strr_mean")
+    return both.select(
+        "sample_size", F.round("mean_tokens", 2).alias("mean_tokens_per_doc"), estimate.alias("total_tokens_est"), "fertility_mean", "fertility_p50", "fertility_p95",
+        F.round(F.col("bytes") / F.greatest(estimate, F.lit(1)), 4).alias("bytes_per_token"), "strr_mean",
+    )

@@ -49,29 +49,60 @@ def systematic_sample(df: DataFrame, every: int, *order: str) -> DataFrame:
     return df.join(keys, list(order), "left_semi")
 
 
-def budget_prefix(df: DataFrame, group: str, size: Column, budget: int, order: str, *ties: str) -> DataFrame:
+def budget_prefix(df: DataFrame, group: str, size: Column, budget: int, order: str, *ties: str, budgets: DataFrame | None = None) -> DataFrame:
     """Rows of each group, in the order of a hexadecimal hash, while the sizes before them are under the budget.
 
     Sizes are summed by the hash's first three digits; what lies wholly under the budget is kept as it is, and only the
-    one part of each group that crosses it is numbered row by row.
+    one part of each group that crosses it is numbered row by row. budgets: `group` and `budget`, where groups differ.
     """
     sized = df.withColumn("bucket", F.substring(order, 1, 3)).withColumn("_size", size)
     sums = sized.groupBy(group, "bucket").agg(F.sum("_size").alias("s"))
     upto = F.sum("s").over(W.partitionBy(group).orderBy("bucket"))  # 4096 rows for a group at most
-    parts = cut(sums.withColumn("upto", upto).withColumn("base", F.col("upto") - F.col("s")).where(F.col("base") < budget).select(group, "bucket", "base", "upto"))
+    parts = sums.withColumn("upto", upto).withColumn("base", F.col("upto") - F.col("s"))
+    parts = parts.join(budgets, group) if budgets is not None else parts.withColumn("budget", F.lit(budget))
+    parts = cut(parts.where("base < budget").select(group, "bucket", "base", "upto", "budget"))
     near = sized.join(parts, [group, "bucket"])
     w = W.partitionBy(group, "bucket").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, -1)
-    crossing = near.where(F.col("upto") >= budget).withColumn("before", F.col("base") + F.coalesce(F.sum("_size").over(w), F.lit(0))).where(F.col("before") < budget)
-    return near.where(F.col("upto") < budget).select(*df.columns).unionByName(crossing.select(*df.columns))
+    crossing = near.where("upto >= budget").withColumn("before", F.col("base") + F.coalesce(F.sum("_size").over(w), F.lit(0))).where("before < budget")
+    return near.where("upto < budget").select(*df.columns).unionByName(crossing.select(*df.columns))
+
+
+def seeded(key: Column, seed: int) -> Column:
+    """A hexadecimal hash of a key and a seed, whose order is a shuffle."""
+    return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary"))
 
 
 def proportional_sample(df: DataFrame, group: str, most: int, key: str, seed: int = 42) -> DataFrame:
-    """Of each group max(1, round(most n / total)) rows by seeded hash; everything if `most` covers it."""
-    n, total = F.count("*").over(W.partitionBy(group)), F.count("*").over(W.partitionBy())
-    rank = F.row_number().over(W.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    sized = df.withColumn("n", n).withColumn("total", total).withColumn("rank", rank)
-    wanted = F.greatest(F.lit(1), F.round(F.lit(most) * F.col("n") / F.col("total")))
-    return sized.where((F.col("total") <= most) | (F.col("rank") <= wanted)).drop("n", "total", "rank")
+    """Of each group max(1, round(most n / total)) rows in the order of a seeded hash; everything if `most` covers it.
+
+    Only counts by group and hash prefix are gathered; a group's rows are numbered in the part that crosses its share.
+    """
+    counts = cut(df.groupBy(group).agg(F.count("*").alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if total <= most:
+        return df
+    wanted = F.greatest(F.lit(1), F.round(F.lit(most) * F.col("n") / F.lit(total))).cast("long")
+    return budget_prefix(df.withColumn("_order", seeded(F.col(key), seed)), group, F.lit(1), 0, "_order", key, budgets=counts.select(group, wanted.alias("budget"))).drop("_order")
+
+
+def random_rows(df: DataFrame, k: int, key: str, seed: int = 42) -> DataFrame:
+    """k rows in the order of a seeded hash: each task sends its k least, no row is shuffled otherwise."""
+    return df.withColumn("_order", seeded(F.col(key), seed)).orderBy("_order", key).limit(k).drop("_order")
+
+
+def linear_percentiles(df: DataFrame, groups: list[str], value: str, ps: list[float], digits: int = 4) -> DataFrame:
+    """Percentiles between neighbouring ranks of values rounded to `digits`, counted before anything is ordered."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.round(value, digits).alias("v")).agg(F.count("*").alias("k"))
+    w = W.partitionBy(*groups)
+    placed = counts.withColumn("upto", F.sum("k").over(w.orderBy("v"))).withColumn("n", F.sum("k").over(w))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))
+    out = []
+    for p in ps:
+        rank = (F.col("n") - 1) * F.lit(p)
+        low = F.floor(rank)
+        out += [at(low).alias(f"lo{p}"), at(F.least(low + 1, F.col("n") - 1)).alias(f"hi{p}"), F.first(rank - low).alias(f"of{p}")]
+    found = placed.groupBy(*groups).agg(F.sum("k").alias("n"), *out)
+    return found.select(*groups, "n", *[F.round(F.col(f"`lo{p}`") + (F.col(f"`hi{p}`") - F.col(f"`lo{p}`")) * F.col(f"`of{p}`"), digits).alias(f"p{round(100 * p)}") for p in ps])
 
 
 def top(df: DataFrame, key: str, k: int) -> DataFrame:

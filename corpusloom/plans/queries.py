@@ -265,7 +265,7 @@ def gopher_top_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 from (select doc_id, text, {sql_words()} as w, {LINES} as l from documents where text is not null)"""
 )
 def gopher_quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stages.CrawlFilter().flags(docs_of(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.col("gopher_quality").alias("accepted"))
+    return stages.CrawlFilter().flags(docs_of(spark, sf_dir).select("doc_id", "text"), "gopher_quality").select("doc_id", F.col("gopher_quality").alias("accepted"))
 
 
 @query(
@@ -277,13 +277,13 @@ select doc_id, coalesce(lc.c, 0) / greatest(coalesce(lc.n, 0), 1)::double <= 0.3
 from d left join lc using (doc_id) left join {top_sql(2)} a using (doc_id) left join {top_sql(3)} b using (doc_id) left join {top_sql(4)} e using (doc_id)"""
 )
 def repetition_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stages.CrawlFilter().flags(docs_of(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.col("repetition").alias("accepted"))
+    return stages.CrawlFilter().flags(docs_of(spark, sf_dir).select("doc_id", "text"), "repetition").select("doc_id", F.col("repetition").alias("accepted"))
 
 
 @query()
 def gopher_repetition_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All thirteen repetition rules; repetition_filter has those of lines and the most frequent runs."""
-    return stages.CrawlFilter(strict=True).flags(docs_of(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.col("repetition").alias("accepted"))
+    return stages.CrawlFilter(strict=True).flags(docs_of(spark, sf_dir).select("doc_id", "text"), "repetition").select("doc_id", F.col("repetition").alias("accepted"))
 
 
 @query(
@@ -305,7 +305,7 @@ C4_SQL = r"array_to_string(list_filter(l, lambda x: regexp_matches(x, '[.!?\"'']
 where not contains(text, '{{') and not contains(lower(text), 'lorem ipsum') and len(regexp_extract_all(t, '[.!?]+(\s|$)')) >= 3"""
 )
 def c4_line_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs_of(spark, sf_dir).select("doc_id", filters.c4_lines(F.col("text")).alias("t")).where("t is not null")
+    d = docs_of(spark, sf_dir).select("doc_id", F.explode(filters.c4_kept(F.col("text"))).alias("t"))
     return d.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
@@ -314,7 +314,7 @@ ENGLISH = "[" + ", ".join(f"'{w}'" for w in lists.STOP_WORDS["en"]) + "]"
 
 @query(f"select doc_id, len(list_filter({sql_words()}, lambda x: list_contains({ENGLISH}, lower(x)))) >= 2 as accepted from documents where text is not null")
 def stop_word_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stages.CrawlFilter(stop_words=lists.STOP_WORDS["en"]).flags(docs_of(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.col("stop_words").alias("accepted"))
+    return stages.CrawlFilter(stop_words=lists.STOP_WORDS["en"]).flags(docs_of(spark, sf_dir).select("doc_id", "text"), "stop_words").select("doc_id", F.col("stop_words").alias("accepted"))
 
 
 @query("with e as (select min(n_chars)::double as lo, max(n_chars)::double as hi from documents) select least(floor((n_chars - lo) / ((hi - lo) / 20.0::double))::int, 19) as bin, count(*)::bigint as n from documents, e group by 1")
@@ -322,19 +322,29 @@ def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.histogram(read(spark, sf_dir, "documents"), "n_chars")
 
 
-PII = {"emails": personal.EMAIL, "ip_addresses": personal.IP_ADDRESS, "phones": personal.PHONE}
+PII = {"emails": personal.EMAIL, "ip_addresses": personal.IP_ADDRESS, "phones": personal.PHONE, "tax_numbers": personal.TAX_NUMBER}
+
+
+def sql_check_digit(n: int) -> str:
+    return f"list_sum(list_transform(range(0, {n}), lambda j: substr(x, j + 1, 1)::int * ({n + 1} - j))) * 10 % 11 % 10 = substr(x, {n + 1}, 1)::int"
+
+
+HEAD_SQL = "left(text, 5000)"
+TAX_SQL = rf"list_filter(list_transform(regexp_extract_all({HEAD_SQL}, '{personal.TAX_NUMBER}'), lambda y: regexp_replace(y, '\D', '', 'g')), lambda x: length(x) = 11 and x <> repeat(substr(x, 1, 1), 11) and {sql_check_digit(9)} and {sql_check_digit(10)})"
 
 
 @query(
-    f"""with d as (select source, len(regexp_extract_all(left(text, 5000), '{personal.EMAIL}'))::bigint as e, len(regexp_extract_all(left(text, 5000), '{personal.IP_ADDRESS}'))::bigint as i,
-  len(regexp_extract_all(left(text, 5000), '{personal.PHONE.replace("([1-9][1-9])", "[1-9][1-9]").replace("(9", "(?:9")}'))::bigint as p from documents where text <> '')
-select source, count(*)::bigint as docs, count(*) filter (e + i + p > 0)::bigint as docs_with_any, sum(e)::bigint as emails, sum(i)::bigint as ip_addresses, sum(p)::bigint as phones, round(sum(e + i + p) * 1000.0::double / count(*), 4) as per_1k from d group by source"""
+    f"""with d as (select source, len(regexp_extract_all({HEAD_SQL}, '{personal.EMAIL}'))::bigint as e, len(regexp_extract_all({HEAD_SQL}, '{personal.IP_ADDRESS}'))::bigint as i,
+  len(regexp_extract_all({HEAD_SQL}, '{personal.PHONE.replace("([1-9][1-9])", "[1-9][1-9]").replace("(9", "(?:9")}'))::bigint as p, len({TAX_SQL})::bigint as t from documents where text <> '')
+select source, count(*)::bigint as docs, count(*) filter (e + i + p + t > 0)::bigint as docs_with_any, round(count(*) filter (e + i + p + t > 0) * 100.0::double / count(*), 4) as pct_with_any,
+  sum(e)::bigint as emails, sum(i)::bigint as ip_addresses, sum(p)::bigint as phones, sum(t)::bigint as tax_numbers, round(sum(e + i + p + t) * 1000.0::double / count(*), 4) as per_1k from d group by source"""
 )
 def pii_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.personal_data(F.col("text"))
     d = docs_of(spark, sf_dir).where(filters.not_empty(F.col("text"))).select("source", *[found[k].alias(k) for k in PII])
-    every = F.col("emails") + F.col("ip_addresses") + F.col("phones")
-    return d.groupBy("source").agg(F.count("*").alias("docs"), F.count_if(every > 0).alias("docs_with_any"), *[F.sum(k).alias(k) for k in PII], F.round(F.sum(every) * 1000.0 / F.count("*"), 4).alias("per_1k"))
+    every = F.col("emails") + F.col("ip_addresses") + F.col("phones") + F.col("tax_numbers")
+    some = F.count_if(every > 0)
+    return d.groupBy("source").agg(F.count("*").alias("docs"), some.alias("docs_with_any"), F.round(some * 100.0 / F.count("*"), 4).alias("pct_with_any"), *[F.sum(k).alias(k) for k in PII], F.round(F.sum(every) * 1000.0 / F.count("*"), 4).alias("per_1k"))
 
 
 TOKENS_SQL = rf"list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_matches(x, '^[{lexical.LETTERS}]{{2,}}$'))"
@@ -438,10 +448,25 @@ where round(len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_inte
 )
 def verified_neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, bands = docs_of(spark, sf_dir), banded(spark, sf_dir)
-    sets = d.select("doc_id", clean.normalize_for_dedup(F.col("text")).alias("t")).select("doc_id", F.split("t", " ").alias("w")).select("doc_id", tx.shingles(F.col("w"), 5).alias("grams"))
+    sets = d.select("doc_id", clean.normalize_for_dedup(F.col("text")).alias("t")).select("doc_id", F.split("t", " ").alias("w")).select("doc_id", F.transform(tx.shingles(F.col("w"), 5), lambda g: F.xxhash64(g)).alias("grams"))
     return dedup.verified_pairs(bands, sets, "doc_id", 0.8, -F.col("score"))
 
 
+@query(
+    f"""{BUCKETS}, sets as (select doc_id, list(distinct s) as x from g group by doc_id),
+may as (select distinct a.doc_id as a, b.doc_id as b from bands a join bands b on a.band = b.band and a.key = b.key and a.doc_id < b.doc_id),
+links as materialized (select a, b from may join sets x on x.doc_id = a join sets y on y.doc_id = b where len(list_intersect(x.x, y.x)) / (len(x.x) + len(y.x) - len(list_intersect(x.x, y.x)))::double >= 0.8 - 5e-7),
+edges as materialized (select a, b from links union select b, a from links),
+reach(a, b) as (select a, b from edges union select r.a, e.b from reach r join edges e on r.b = e.a)
+select a as doc_id, min(b) as cluster, count(*)::bigint as documents from reach group by a""".replace("with n as", "with recursive n as")
+)
+def verified_neardup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked with others, the least id that each can reach, and how many there are in all."""
+    members = cut(dedup.clusters(verified_neardup_pairs(spark, sf_dir), "doc_id", "best").select("doc_id", "cluster"))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("documents"))
+    return members.join(sizes, "cluster").select("doc_id", "cluster", "documents")
+
+
 @query("with h as (select doc_id, md5(text) as h from documents where text is not null), f as (select h, min(doc_id) as first, count(*) as k from h group by h having count(*) > 1) select doc_id, first as duplicate_of, k::bigint as copies from h join f using (h) where doc_id <> first")
 def exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_duplicates(read(spark, sf_dir, "documents"))
@@ -477,16 +502,22 @@ def contamination_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- pages, samples, exports ----------------------------------------------------------------------------------------
 
+NATIONAL = "(" + ", ".join(f"'{d}'" for d in clean.NATIONAL_DOMAINS) + ")"
 HOST = r"regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://([^/?#]*)', 1)"
 
 
 @query(
-    f"""with h as (select {HOST} as host, string_split({HOST}, '.') as p from pages where url <> '')
-select case when host = '' then 'unknown' when len(p) >= 3 and p[-1] in ('br', 'uk', 'au', 'jp', 'de', 'fr', 'pt') then p[-2] || '.' || p[-1] else p[-1] end as tld, count(*)::bigint as n, count(distinct host)::bigint as hosts from h group by 1 order by n desc, tld limit 100"""
+    f"""with p as (select {HOST} as host, string_split({HOST}, '.') as p from pages where url <> ''),
+h as (select host, case when host = '' then 'unknown' when len(p) >= 3 and p[-1] in ('br', 'uk', 'au', 'jp', 'de', 'fr', 'pt') then p[-2] || '.' || p[-1] else p[-1] end as tld from p)
+select tld, count(*)::bigint as n, count(distinct host)::bigint as hosts,
+  round(coalesce(sum(count(*) filter (tld in {NATIONAL})) over (), 0) * 100.0::double / sum(count(*)) over (), 4) as national_pct from h group by 1 order by n desc, tld limit 100"""
 )
 def domain_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "pages").where("url <> ''").select(clean.top_domain(F.col("url")).alias("tld"), clean.host(F.col("url")).alias("host"))
-    return d.groupBy("tld").agg(F.count("*").alias("n"), F.count_distinct("host").alias("hosts")).orderBy(F.desc("n"), "tld").limit(100)
+    per = d.groupBy("tld").agg(F.count("*").alias("n"), F.count_distinct("host").alias("hosts"))
+    every = W.partitionBy()  # a row per domain
+    own = F.coalesce(F.sum(F.when(F.col("tld").isin(*clean.NATIONAL_DOMAINS), F.col("n"))).over(every), F.lit(0))
+    return per.withColumn("national_pct", F.round(own * 100.0 / F.sum("n").over(every), 4)).orderBy(F.desc("n"), "tld").limit(100)
 
 
 @query(f"select {HOST} as host, count(*)::bigint as n from pages where url <> '' group by 1 order by n desc, host limit 100")
@@ -494,10 +525,13 @@ def host_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.top(read(spark, sf_dir, "pages").where("url <> ''").select(clean.host(F.col("url")).alias("host")), "host", 100)
 
 
-@query("select year(ts)::int as year, count(*)::bigint as n from events where year(ts) between 1990 and 2030 group by 1")
+@query("select year(ts)::int as year, count(*)::bigint as n, round(sum(count(*)) over () * 100.0::double / (select count(*) from events), 4) as coverage_pct from events where year(ts) between 1990 and 2030 group by 1")
 def year_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "events").select(filters.valid_year(F.date_format("ts", "yyyy-MM-dd")).alias("year"))
-    return d.where("year is not null").groupBy("year").agg(F.count("*").alias("n"))
+    per = d.groupBy("year").agg(F.count("*").alias("n"))
+    every = W.partitionBy()  # a row per year
+    valid = F.sum(F.when(F.col("year").isNotNull(), F.col("n"))).over(every)
+    return per.withColumn("coverage_pct", F.round(valid * 100.0 / F.sum("n").over(every), 4)).where("year is not null").select("year", "n", "coverage_pct")
 
 
 @query("select doc_id from (select doc_id, coalesce(sum(strlen(text)) over (partition by source order by md5(doc_id::varchar), doc_id rows between unbounded preceding and 1 preceding), 0) as b from documents where text <> '') where b < 20000")
@@ -506,11 +540,19 @@ def byte_budget_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.budget_prefix(d, "source", F.col("size"), 20_000, "h", "doc_id").select("doc_id")
 
 
-@query()
+SEEDED = "md5(concat_ws(':', doc_id, 42))"
+
+
+@query(f"select doc_id, source from (select doc_id, source, row_number() over (partition by source order by {SEEDED}, doc_id) as r, count(*) over (partition by source) as n, count(*) over () as total from documents) where total <= 200 or r <= greatest(1, round(200 * n / total::double))")
 def proportional_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.proportional_sample(read(spark, sf_dir, "documents").select("doc_id", "source"), "source", 200, "doc_id")
 
 
+@query(f"select doc_id, lang from documents order by {SEEDED}, doc_id limit 50")
+def random_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.random_rows(read(spark, sf_dir, "documents").select("doc_id", "lang"), 50, "doc_id")
+
+
 @query("select count(*)::bigint as lines, sum(length(text))::bigint as chars, sum(length(json_object('text', text)::varchar))::bigint as json_chars from documents where text <> ''")
 def jsonl_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
@@ -537,18 +579,31 @@ def accuracy_se(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.accuracy(read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id"), ["lang"], "quality")
 
 
+def sql_erfc(x: str) -> str:
+    """The same series as evaluation.erfc, its terms from logarithms of factorials."""
+    term = f"exp(n * ln(4 * greatest({x}, 1e-300) ** 2) + lgamma(n + 1) - lgamma(2 * n + 2))"
+    return f"(case when {x} > 6.5 then 0 else greatest(0, 1 - 2 / sqrt(pi()) * exp(-(({x}) ** 2)) * ({x}) * list_sum(list_transform(range(0, 162), lambda n: {term}))) end)"
+
+
 RATES = "r as (select d.lang as model, m.task, avg(m.v) * 100 as value, sqrt(avg(m.v) * (1 - avg(m.v)) / count(*)) * 100 as se from (select doc_id, 'quality' as task, quality as v from labels union all select doc_id, 'toxic', toxic from labels) m join documents d using (doc_id) group by all)"
 
 
-@query(f"with {RATES} select a.task, a.model, round(a.value, 4) as value, round((b.value - a.value) / sqrt(a.se ** 2 + b.se ** 2), 4) as z from r a join r b on a.task = b.task and b.model = 'en' and a.model <> 'en'")
+@query(
+    f"""with {RATES}, z as (select a.task, a.model, a.value, (b.value - a.value) / sqrt(a.se ** 2 + b.se ** 2) as z from r a join r b on a.task = b.task and b.model = 'en' and a.model <> 'en')
+select task, model, round(value, 4) as value, round(z, 4) as z, round({sql_erfc("(abs(z) / sqrt(2))")}, 5) as p, {sql_erfc("(abs(z) / sqrt(2))")} < 0.05 as significant from z"""
+)
 def two_proportion_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = read(spark, sf_dir, "labels").unpivot("doc_id", ["quality", "toxic"], "task", "v").join(read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("model")), "doc_id")
     p = F.avg(F.col("v").cast("double"))
     r = both.groupBy("model", "task").agg((p * 100).alias("value"), (F.sqrt(p * (1 - p) / F.count("v")) * 100).alias("se"))
-    return evaluation.two_proportions(r, "en").select("task", "model", F.round("value", 4).alias("value"), F.round("z", 4).alias("z"))
+    return evaluation.two_proportions(r, "en").select("task", "model", F.round("value", 4).alias("value"), F.round("z", 4).alias("z"), F.round("p", 5).alias("p"), "significant")
 
 
-@query()
+@query(
+    f"""with t as (select lang, count(*) as n, count(*) filter (quality = 1 and toxic = 0) as b10, count(*) filter (toxic = 1 and quality = 0) as b01 from labels join documents using (doc_id) group by lang),
+c as (select lang, n::bigint as n, b10::bigint as b10, b01::bigint as b01, round(case when b10 + b01 > 0 then (abs(b10 - b01) - 1) ** 2 / (b10 + b01)::double else 0 end, 6) as chi2 from t)
+select *, round({sql_erfc("sqrt(chi2 / 2)")}, 6) as p from c"""
+)
 def mcnemar_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     return evaluation.with_p(evaluation.discordant(d, "quality", "toxic", ["lang"]))
@@ -560,6 +615,37 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.bootstrap(d, "quality", groups=["lang"])
 
 
+@query()
+def paired_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return evaluation.paired_bootstrap(d, "quality", "toxic", groups=["lang"])
+
+
+@query()
+def ratio_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("lang", (F.col("n_chars") * 0.7 / F.log(F.lit(2.0))).alias("bits"), F.octet_length("text").alias("bytes"))
+    return evaluation.ratio_bootstrap(d, "bits", "bytes", ["lang"])
+
+
+@query("with q as (select doc_id, max(quality) as x from labels group by 1), t as (select doc_id, max(toxic) as y from labels where doc_id in (select doc_id from documents where lang = 'en') group by 1) select count(*)::bigint as n, count(*) filter (x = 1 and y = 0)::bigint as b10, count(*) filter (y = 1 and x = 0)::bigint as b01, round(avg(x - y), 6) as difference from q join t using (doc_id)")
+def paired_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two vectors of results that share only some items."""
+    labels, english = read(spark, sf_dir, "labels"), read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
+    a = labels.groupBy("doc_id").agg(F.max("quality").alias("correct"))
+    b = labels.join(english, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("correct"))
+    both = evaluation.paired(a, b, ["doc_id"], "correct")
+    return both.agg(F.count("*").alias("n"), F.count_if((F.col("x") == 1) & (F.col("y") == 0)).alias("b10"), F.count_if((F.col("y") == 1) & (F.col("x") == 0)).alias("b01"), F.round(F.avg(F.col("x") - F.col("y")), 6).alias("difference"))
+
+
+@query("with t as (select conv_id, row_number() over (partition by conv_id order by turn, role, text) - 1 as place, (role = 'user')::int as x, (length(text) > 100)::int as y from conversations) select place::int as place, count(*)::bigint as n, count(*) filter (x = 1 and y = 0)::bigint as b10, count(*) filter (y = 1 and x = 0)::bigint as b01 from t group by 1")
+def positional_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two vectors for each conversation, compared place by place."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("t"))))
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("ts"))
+    c = c.select("conv_id", F.transform("ts", lambda t: (t["role"] == "user").cast("int")).alias("x"), F.transform("ts", lambda t: (F.length(t["t"]) > 100).cast("int")).alias("y"))
+    return evaluation.discordant(evaluation.by_position(c, "x", "y"), "x", "y", ["at"]).select(F.col("at").alias("place"), "n", "b10", "b01")
+
+
 @query("select user_id, event_type, event_id, round(value, 6) as value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as r from events) where r = 1")
 def latest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", "value")
@@ -596,6 +682,22 @@ def window_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("doc_id").agg(F.count("*").alias("windows"), F.sum(F.col("x.targets").cast("long")).alias("targets"))
 
 
+WINDOW_NLL = "1 + 1 / (1 + x.b // 1024)::double"
+
+
+@query(
+    f"""with x as (select doc_id, strlen(text) as bytes, n_chars as n, unnest(range(0, greatest(n_chars, 1), 1024)) as b from documents),
+t as (select doc_id, bytes, {WINDOW_NLL} as nll, least(b + 2048, n) - case when b = 0 then 0 else least(b + 1024, n) end as k from x),
+s as (select doc_id, max(bytes) as bytes, sum(k) as k, sum(nll * k) as nll from t where k > 0 group by doc_id)
+select doc_id, k::bigint as targets, round(nll / k, 6) as mean_nll, round(nll / k / ln(2), 6) as bits_per_token, round(nll / ln(2) / bytes, 6) as bits_per_byte, round(exp(nll / k), 6) as perplexity from s"""
+)
+def window_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in for a model's mean loss, falling from window to window, weighed by each window's new targets."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("bytes"), F.explode(evaluation.window_targets(F.col("n_chars").cast("int"))).alias("x"))
+    d = d.select("doc_id", "bytes", "x.*").withColumn("nll", 1 + 1.0 / (1 + F.floor(F.col("begin") / 1024)))
+    return evaluation.weighted_nll(d, ["doc_id"], "nll", "targets", F.col("bytes"))
+
+
 @query("select source, round(sum(n_chars) * 0.7::double / ln(2) / sum(strlen(text)), 6) as bits_per_byte, round(exp(sum(n_chars) * 0.7::double / sum(n_chars)), 6) as perplexity from documents group by source")
 def bits_per_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").groupBy("source").agg((F.sum("n_chars") * 0.7).alias("nll"), F.sum("n_chars").alias("tokens"), F.sum(F.octet_length("text").cast("long")).alias("size"))
@@ -625,10 +727,10 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("window.start", "event_type", "n", "total")
 
 
-@query("select source, row_number() over (order by source) - 1 as source_rank from (select distinct source from documents)")
+@query("select source, case split_part(source, '_', 1) when 'src3' then 0 when 'src1' then 1 else 99 end as source_rank, count(*)::bigint as docs from documents group by source")
 def source_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("source").distinct()
-    return d.select("source", (F.row_number().over(W.orderBy("source")) - 1).cast("long").alias("source_rank"))  # a row per source
+    g = read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("docs"))
+    return g.select("source", dedup.source_rank(F.col("source"), ["src3", "src1"]).alias("source_rank"), "docs")
 
 
 @query()
@@ -671,14 +773,13 @@ def manifest_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("source", "docs", *[(F.col("docs") * k).alias(f"{n}_estimate") for n, k in (("web", 4), ("encyclopedia", 500), ("legal", 250))])
 
 
-SCORES = "select lang as model, round(avg(n_chars), 4) as value from documents where {} group by lang"
-
-
-@query(f"select coalesce(b.model, a.model) as model, coalesce(b.value, a.value) as value from ({SCORES.format('doc_id % 2 = 0')}) a full join ({SCORES.format(chr(39) + 'en' + chr(39) + ' <> lang')}) b on a.model = b.model")
+@query("select coalesce(b.model, a.model) as model, coalesce(b.value, a.value) as value from (select lang as model, round(avg(n_chars), 4) as value from documents group by 1) a full join (select coalesce(d.lang, 'none') as model, round(avg(quality) * 100, 4) as value from labels l left join documents d using (doc_id) group by 1) b on a.model = b.model")
 def merged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
-    means = lambda own: own.groupBy(F.col("lang").alias("model")).agg(F.round(F.avg("n_chars"), 4).alias("value"))
-    return evaluation.merged_results(means(d.where("doc_id % 2 = 0")), means(d.where("lang <> 'en'")), "model")
+    """Mean lengths as old results and rates of good labels as new ones, which stand where both have a model."""
+    d, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    old = d.groupBy(F.col("lang").alias("model")).agg(F.round(F.avg("n_chars"), 4).alias("value"))
+    new = labels.join(d.select("doc_id", "lang"), "doc_id", "left").groupBy(F.coalesce("lang", F.lit("none")).alias("model")).agg(F.round(F.avg("quality") * 100, 4).alias("value"))
+    return evaluation.merged_results(old, new, "model")
 
 
 @query("select a.lang as model, a.value, b.published, round(a.value - b.published, 6) as delta from (select lang, round(avg(quality) * 100, 4) as value from labels join documents using (doc_id) group by lang) a join (values ('en', 80.0::double), ('fr', 75.5::double)) b(model, published) on a.lang = b.model")

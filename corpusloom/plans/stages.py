@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -27,6 +29,11 @@ class Acquisition:
     def accepts(self, text: Column) -> Column:
         return {"web": filters.passes_web, "encyclopedia": filters.passes_encyclopedia, "legal": filters.passes_legal}[self.kind](text)
 
+    def variant_counts(self, raw: DataFrame) -> DataFrame:
+        """Accepted documents by variant, before run() drops those of the other one."""
+        df = raw.withColumn("text", self.cleaned(F.col("text"))).where(self.accepts(F.col("text")))
+        return df.groupBy(filters.variant(F.col("text")).alias("variant")).agg(F.count("*").alias("n"))
+
     def run(self, raw: DataFrame) -> DataFrame:
         """Canonical documents from text, id and, if there is one, title. The score is of the text without its title."""
         df = raw.withColumn("text", self.cleaned(F.col("text"))).where(self.accepts(F.col("text")))
@@ -51,29 +58,42 @@ class CrawlFilter:
     least_stop_words: int = 2
     strict: bool = False
 
-    def flags(self, df: DataFrame) -> DataFrame:
-        own = with_top_ngrams(df.where("text is not null"), repeated=tuple(filters.REPEATED_NGRAM_SHARES) if self.strict else ()).withColumn("w", tx.words(F.col("text"))).withColumn("ls", F.array_sort(F.filter(F.transform(tx.lines(F.col("text")), tx.strip), lambda x: x != "")))
-        good = F.lit(True)
-        for rule in filters.gopher_quality(F.col("w"), F.col("text")).values():
-            good = good & rule
-        n = F.greatest(F.length("text"), F.lit(1))
-        calm = (tx.in_groups(F.col("ls")) / F.greatest(F.size("ls"), F.lit(1)) <= 0.3) & (tx.repeated_chars(F.col("ls")) / n <= 0.2)
-        for k, most in filters.TOP_NGRAM_SHARES.items():
-            calm = calm & (F.col(f"top_{k}gram_chars") / n <= most)
-        more = []
-        if self.strict:
-            own = own.withColumn("ps", F.array_sort(F.filter(F.transform(F.split("text", "\n\n"), tx.strip), lambda x: x != "")))
-            calm = calm & (tx.in_groups(F.col("ps")) / F.greatest(F.size("ps"), F.lit(1)) <= 0.3) & (tx.repeated_chars(F.col("ps")) / n <= 0.2)
-            for k, most in filters.REPEATED_NGRAM_SHARES.items():
-                calm = calm & (F.col(f"dup_{k}gram_chars") / n <= most)
-            more = [filters.fineweb_lines(F.col("ls"), F.col("text")).alias("fineweb")]
-        stops = F.array(*[F.lit(s) for s in self.stop_words])
-        enough = F.size(F.filter("w", lambda x: F.array_contains(stops, F.lower(x)))) >= self.least_stop_words
-        return own.select(*df.columns, good.alias("gopher_quality"), calm.alias("repetition"), filters.c4_lines(F.col("text")).isNotNull().alias("c4"), enough.alias("stop_words"), *more)
+    def flags(self, df: DataFrame, *only: str) -> DataFrame:
+        """df with a flag for each rule, or for those named. Counting runs of words takes a pass in Python, which only
+        the repetition rules ask for."""
+        wanted = set(only) or {"gopher_quality", "repetition", "c4", "stop_words", *["fineweb"] * self.strict}
+        own = df.where("text is not null")
+        if "repetition" in wanted:
+            own = with_top_ngrams(own, repeated=tuple(filters.REPEATED_NGRAM_SHARES) if self.strict else ())
+        stripped = lambda parts: F.array_sort(F.filter(F.transform(parts, tx.strip), lambda x: x != ""))
+        own = own.withColumn("w", tx.words(F.col("text"))).withColumn("ls", stripped(tx.lines(F.col("text"))))
+        n, out = F.greatest(F.length("text"), F.lit(1)), {}
+        if "gopher_quality" in wanted:
+            out["gopher_quality"] = reduce(and_, filters.gopher_quality(F.col("w"), F.col("text")).values())
+        if "repetition" in wanted:
+            calm = (tx.in_groups(F.col("ls")) / F.greatest(F.size("ls"), F.lit(1)) <= 0.3) & (tx.repeated_chars(F.col("ls")) / n <= 0.2)
+            for k, most in filters.TOP_NGRAM_SHARES.items():
+                calm = calm & (F.col(f"top_{k}gram_chars") / n <= most)
+            if self.strict:
+                own = own.withColumn("ps", stripped(F.split("text", "\n\n")))
+                calm = calm & (tx.in_groups(F.col("ps")) / F.greatest(F.size("ps"), F.lit(1)) <= 0.3) & (tx.repeated_chars(F.col("ps")) / n <= 0.2)
+                for k, most in filters.REPEATED_NGRAM_SHARES.items():
+                    calm = calm & (F.col(f"dup_{k}gram_chars") / n <= most)
+            out["repetition"] = calm
+        if "c4" in wanted:
+            out["c4"] = F.size(filters.c4_kept(F.col("text"))) > 0
+        if "stop_words" in wanted:
+            stops = F.array(*[F.lit(s) for s in self.stop_words])
+            out["stop_words"] = F.size(F.filter("w", lambda x: F.array_contains(stops, F.lower(x)))) >= self.least_stop_words
+        if "fineweb" in wanted:
+            out["fineweb"] = filters.fineweb_lines(F.col("ls"), F.col("text"))
+        return own.select(*df.columns, *[c.alias(name) for name, c in out.items()])
 
     def run(self, df: DataFrame) -> DataFrame:
         own = df.where(F.col("lang") == self.lang) if self.lang else df
-        return self.flags(own).where("gopher_quality and repetition and c4 and stop_words" + " and fineweb" * self.strict).withColumn("text", filters.c4_lines(F.col("text"))).select(*df.columns)
+        rules = ["gopher_quality", "repetition", "stop_words", *["fineweb"] * self.strict]
+        passed = self.flags(own, *rules).where(" and ".join(rules))
+        return passed.select(*df.columns, F.explode(filters.c4_kept(F.col("text"))).alias("_kept")).withColumn("text", F.col("_kept")).select(*df.columns)
 
 
 @dataclass

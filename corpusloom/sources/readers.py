@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.clean import first_match
+from ..operators.statistics import proportional_sample
 
 #: The canonical document: what every sink writes and every stage may rely on.
 DOCUMENT = "text string, source string, id string, lang string, score float"
@@ -95,13 +96,56 @@ def text_tree(spark: SparkSession, path: str) -> DataFrame:
     return df.where(ext.isin(".txt", ".json")).select("path", F.when(ext == ".json", json_text(text)).otherwise(text).alias("text"))
 
 
+def plain_path(uri: Column) -> Column:
+    """The path of a file's address, without scheme and host and with its characters unescaped."""
+    return F.url_decode(F.replace(F.regexp_replace(uri, "^[a-z][a-z0-9+.-]*:(//[^/]*)?/*", "/"), F.lit("+"), F.lit("%2B")))
+
+
+def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """file (relative to `path`), at (from 0) and line of all text files below a folder, compressed ones too.
+
+    Files are split where their format allows. A line's number is its place within its split, from the order in which the
+    split is read, and the lines of the file's splits before; only a row per split is aggregated.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true")
+    df = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    df = df.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("u"), F.col("value").alias("line"))
+    blocks = df.groupBy("uri", "block").agg(F.min("u").alias("first"), F.count("*").alias("k"))
+    before = F.sum("k").over(W.partitionBy("uri").orderBy("block")) - F.col("k")
+    placed = df.join(blocks.select("uri", "block", "first", before.alias("before")), ["uri", "block"])
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    top = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    full = plain_path(F.col("uri"))
+    file = F.when(F.startswith(full, F.lit(top)), F.substring(full, len(top) + 1, 1 << 20)).otherwise(F.regexp_extract(full, r"([^/]+)$", 1))
+    return placed.select(file.alias("file"), (F.col("before") + F.col("u") - F.col("first")).alias("at"), "line")
+
+
 def json_lines(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
-    """id (file:line) and text of each line that has one of the fields; other lines are skipped."""
-    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    rows = whole.select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    """id (relative path:line, from 0) and text of each line that has one of the fields; other lines are skipped."""
     parsed = F.try_parse_json("line")
     found = [F.nullif(F.try_variant_get(parsed, f"$.{f}", "string"), F.lit("")) for f in fields or LEGAL_LINE_FIELDS]
-    return rows.select(F.concat_ws(":", "file", (F.col("at") + 1).cast("string")).alias("id"), F.coalesce(*found).alias("text")).where("text is not null")
+    return numbered_lines(spark, path).select(F.concat_ws(":", "file", F.col("at").cast("string")).alias("id"), F.coalesce(*found).alias("text")).where("text is not null")
+
+
+def shard_files(spark: SparkSession, path: str, first: int | None = None, seed: int | None = None) -> list[str]:
+    """Parquet files below a folder: those named shard_* if there are any, else all; in the order of their names, or of a
+    seeded hash of them; the first ones if asked. A listing, which is the driver's."""
+    df = listing(spark, path, [".parquet"])
+    named = df.where(F.col("path").rlike(r"/shard_[^/]*$"))
+    df = df if named.isEmpty() else named
+    order = F.md5(F.concat_ws(":", F.regexp_extract("path", r"([^/]+)$", 1), F.lit(str(seed)))) if seed is not None else F.col("path")
+    df = df.orderBy(order, "path")
+    return [r.path for r in (df.limit(first) if first is not None else df).select("path").collect()]
+
+
+def sampled_texts(spark: SparkSession, path: str, columns: list[str], most: int | None = None, seed: int = 42) -> DataFrame:
+    """The columns that the shards of a folder have, all rows or, of each shard, its share of `most` rows by seeded hash."""
+    df = spark.read.option("mergeSchema", "true").parquet(*shard_files(spark, path))
+    own = df.select(*[c for c in columns if c in df.columns], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    if most is not None:
+        own = proportional_sample(own.withColumn("_key", F.concat_ws("#", "_file", "_row")), "_file", most, "_key", seed).drop("_key")
+    return own.drop("_file", "_row")
 
 
 def cloze_items(df: DataFrame) -> DataFrame:

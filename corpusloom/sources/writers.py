@@ -30,20 +30,57 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.select("value").write.text(path)
 
 
-def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
-    """A small JSON document, written beside its name and then renamed over it, in any store Spark knows."""
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written beside its name and then renamed over it in one step, in any store Spark knows: whoever reads
+    the name finds the old file or the new one."""
     jvm = spark.sparkContext._jvm
-    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hadoop = jvm.org.apache.hadoop.fs
+    target, beside = hadoop.Path(path), hadoop.Path(path + ".tmp")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = target.getFileSystem(conf)
     out = fs.create(beside, True)
-    out.write(bytearray(json.dumps(manifest, ensure_ascii=False, indent=2, sort_keys=True).encode()))
+    out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(beside, target)
+    renames = getattr(hadoop, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(renames, 1)
+    how[0] = renames.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(beside), fs.makeQualified(target), how)
+
+
+def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
+    """A small JSON document that replaces the one before as a whole."""
+    write_text(spark, path, json.dumps(manifest, ensure_ascii=False, indent=2, sort_keys=True, default=str))
+
+
+def small_rows(df: DataFrame, most: int = 1000) -> list[dict]:
+    """The rows of an aggregated table; an error if there are more than `most`, none is left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; aggregate them first")
+    return [r.asDict(recursive=True) for r in rows]
 
 
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
     """A small aggregated table as Markdown."""
-    rows = df.limit(most).collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n"
-    return head + "".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n" for r in rows)
+    return head + "".join("| " + " | ".join("" if v is None else str(v) for v in r.values()) + " |\n" for r in small_rows(df, most))
+
+
+def plain_table(df: DataFrame, most: int = 1000) -> str:
+    """A small aggregated table in columns of equal width."""
+    rows = [df.columns] + [["" if v is None else str(v) for v in r.values()] for r in small_rows(df, most)]
+    widths = [max(map(len, column)) for column in zip(*rows, strict=True)]
+    return "".join("  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() + "\n" for r in rows)
+
+
+def write_reports(spark: SparkSession, path: str, title: str, tables: dict[str, DataFrame], most: int = 1000) -> None:
+    """path.json, path.md and path.txt with the same aggregated tables under their names."""
+    write_manifest(spark, f"{path}.json", {"title": title, **{k: small_rows(t, most) for k, t in tables.items()}})
+    write_text(spark, f"{path}.md", f"# {title}\n\n" + "\n".join(f"## {k}\n\n{markdown_table(t, most)}" for k, t in tables.items()))
+    write_text(spark, f"{path}.txt", f"{title}\n\n" + "\n".join(f"{k}\n{plain_table(t, most)}" for k, t in tables.items()))
+
+
+def write_distribution(spark: SparkSession, path: str, counts: DataFrame, key: str, n: str = "n", most: int = 100_000) -> None:
+    """A side-file of counts by key: {"total": ..., "counts": {key: n}}, most frequent first; empty keys are left out."""
+    rows = [r for r in small_rows(counts.where(F.col(key).cast("string") != "").orderBy(F.desc(n), key), most)]
+    write_text(spark, path, json.dumps({"total": sum(r[n] for r in rows), "counts": {str(r[key]): r[n] for r in rows}}, ensure_ascii=False, indent=2))

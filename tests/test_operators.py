@@ -90,8 +90,27 @@ def test_bootstrap_interval(spark):
     df = spark.createDataFrame([(int(i % 4 == 0),) for i in range(400)], "v int")
     r = evaluation.bootstrap(df, "v").first()
     assert r.mean == 0.25 and r.low < 0.25 < r.high and 0.06 < r.high - r.low < 0.11
-    low, high = evaluation.paired_bootstrap([1, 1, 0, 1] * 30, [1, 0, 0, 1] * 30, 500)
-    assert low > 0 and high < 0.5
+    pairs = spark.createDataFrame([("a", 1, 1), ("a", 1, 0), ("a", 0, 0), ("a", 1, 1)] * 30 + [("b", 1, 1)] * 5, "g string, x int, y int")
+    got = {r.g: r for r in evaluation.paired_bootstrap(pairs, "x", "y", 500, groups=["g"]).collect()}
+    assert got["a"].value == 0.25 and 0 < got["a"].low < 0.25 < got["a"].high < 0.5 and (got["b"].low, got["b"].value, got["b"].high) == (0, 0, 0)
+    ratios = spark.createDataFrame([(float(i % 7), 2.0 + i % 3) for i in range(600)], "a double, b double").repartition(5)
+    r = evaluation.ratio_bootstrap(ratios, "a", "b", rounds=400).first()
+    assert r.n == 600 and r.value == pytest.approx(sum(i % 7 for i in range(600)) / sum(2 + i % 3 for i in range(600))) and r.low < r.value < r.high < r.low + 0.2
+
+
+def test_p_values_are_those_of_erfc(spark):
+    xs = [0.0, 1e-9, 0.01, 0.5, 1.0, 1.5, 2.2, 3.0, 4.0, 5.5, 6.4, 7.0, 40.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(evaluation.erfc(F.col("x"))).collect()]
+    assert got == pytest.approx([math.erfc(x) for x in xs], abs=1e-12)
+
+
+def test_pairs_by_item_and_by_place(spark):
+    a, b = spark.createDataFrame([(1, 1), (2, 0)], "k int, v int"), spark.createDataFrame([(2, 1), (3, 0)], "k int, v int")
+    assert [tuple(r) for r in evaluation.paired(a, b, ["k"], "v").collect()] == [(2, 0, 1)]
+    vectors = spark.createDataFrame([("m", [1, 0], [0, 0])], "m string, x array<int>, y array<int>")
+    assert [tuple(r) for r in evaluation.by_position(vectors, "x", "y", "m").orderBy("at").collect()] == [("m", 0, 1, 0), ("m", 1, 0, 0)]
+    with pytest.raises(Exception, match="different lengths"):
+        evaluation.by_position(spark.createDataFrame([([1], [0, 0])], "x array<int>, y array<int>"), "x", "y").collect()
 
 
 def test_windows_cover_all_targets(spark):
@@ -115,7 +134,25 @@ def test_lexical_measures(spark):
     counts = [text.split().count(w) for w in set(text.split())]
     r = lexical.diversity(df).first()
     assert r.yule_k == pytest.approx(1e4 * (sum(c * c for c in counts) - 150) / 150**2, abs=1e-4)
-    assert lexical.sequential(df).first().mtld > 0
+    assert lexical.sequential(df).first().mtld == pytest.approx(lexical.sequential_diversity(text.split()), abs=1e-5)
+
+
+def test_factors_against_all_slices():
+    """A factor ends where the share of different words of its slice first falls to the threshold."""
+    import random
+
+    random.seed(9)
+    for n, v in ((0, 5), (9, 3), (10, 1), (40, 6), (400, 50), (900, 400), (700, 5000)):
+        words = [str(random.randrange(v)) for _ in range(n)]
+        values = []
+        for ws in (words, words[::-1]):
+            begin, factors = 0, 0.0
+            while end := next((k for k in range(begin + 1, n + 1) if len(set(ws[begin:k])) <= 0.72 * (k - begin)), None):
+                begin, factors = end, factors + 1
+            values.append(n / max(1.0, factors + (n - begin) / n) if n >= 10 else 0.0)
+        assert lexical.sequential_diversity(words) == pytest.approx(sum(values) / 2)
+        before = lexical.previous_places(words)
+        assert lexical.factor_ends(before, 0.72, 7) == lexical.factor_ends(before, 0.72)
 
 
 def test_samples(spark):
@@ -123,6 +160,13 @@ def test_samples(spark):
     assert sorted(r.id for r in statistics.systematic_sample(df, 100, "id").collect()) == list(range(99, 1000, 100))
     got = statistics.proportional_sample(df, "g", 90, "id").groupBy("g").count().collect()
     assert {r["count"] for r in got} == {30}
+    uneven = df.withColumn("g", F.when(F.col("id") < 3, "few").otherwise("many"))
+    by = {g: sorted((r.h, r.id) for r in uneven.withColumn("h", statistics.seeded(F.col("id"), 42)).where(F.col("g") == g).collect()) for g in ("few", "many")}
+    want = {i for _, i in by["few"][:1]} | {i for _, i in by["many"][:40]}
+    assert {r.id for r in statistics.proportional_sample(uneven, "g", 40, "id").collect()} == want
+    assert statistics.proportional_sample(df, "g", 1000, "id").count() == 1000
+    some = sorted((r.h, r.id) for r in df.withColumn("h", statistics.seeded(F.col("id"), 1)).collect())[:7]
+    assert [r.id for r in statistics.random_rows(df, 7, "id", 1).collect()] == [i for _, i in some]
     hashed = df.withColumn("h", F.md5(F.col("id").cast("string").cast("binary")))
     rows = sorted((r.g, r.h, r.id) for r in hashed.collect())
     want = [i for g in range(3) for n, (_, _, i) in enumerate(x for x in rows if x[0] == g) if n * 10 < 1235]
@@ -135,6 +179,52 @@ def test_percentiles_by_rank(spark):
     assert got == {"a": (1.0, 5.0, 9.0), "b": (1.0, 1.0, 1.0)}
 
 
+def test_percentiles_between_ranks(spark):
+    import numpy as np
+
+    vs = [float(i * i % 101) for i in range(57)]
+    df = spark.createDataFrame([("a", v) for v in vs] + [("b", 2.0)], "g string, v double")
+    got = {r.g: r for r in statistics.linear_percentiles(df, ["g"], "v", [0.5, 0.95]).collect()}
+    assert (got["a"].p50, got["a"].p95) == pytest.approx(tuple(np.percentile(vs, [50, 95])), abs=1e-4) and got["b"].p95 == 2.0
+
+
+def test_surrogate_against_the_counts(spark):
+    from collections import Counter
+
+    from corpusloom.operators import scorers
+
+    texts = ["a b a c a b", "a b b z", "q", "the the x y"]
+    train, pairs, firsts = texts[:1] + texts[3:], Counter(), Counter()
+    for t in train:
+        ws = t.split()
+        pairs.update(zip(ws, ws[1:], strict=False))
+        firsts.update(ws[:-1])
+    v = len({b for _, b in pairs})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = scorers.train_bigrams(docs.where("doc_id in (0, 3)"))
+    for r in scorers.perplexity(docs, model).collect():
+        ws = texts[r.doc_id].split()
+        logs = [math.log((pairs[p] + 1) / (firsts[p[0]] + v)) for p in zip(ws, ws[1:], strict=False)]
+        assert r.perplexity == pytest.approx(math.exp(-sum(logs) / len(logs)), abs=1e-4)
+
+
+def test_checkpoint_folder_is_shared_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from corpusloom import session
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    there = []
+    sc = SimpleNamespace(master="spark://x:7077", setCheckpointDir=there.append, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    fake = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d))
+    for master in ("spark://x:7077", "yarn", "local-cluster[3,2,1000]"):
+        sc.master = master
+        with pytest.raises(ValueError):
+            session.ensure_checkpoint_dir(fake)
+    sc.master = "local[4]"
+    assert session.ensure_checkpoint_dir(fake) == there[0]
+
+
 def test_facts_of_sources(spark):
     from corpusloom.functions.lists import SOURCE_FACTS
 
@@ -168,6 +258,8 @@ def test_crawl_chain_is_one_stage(spark):
     out = stages.CrawlFilter("en", stop_words=["the", "of", "and"]).run(df)
     assert [r.doc_id for r in out.collect()] == [1]
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    plan = stages.CrawlFilter().flags(df, "gopher_quality", "stop_words")._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
 
 
 def test_strict_repetition_matches_brute_force(spark):
@@ -229,7 +321,35 @@ def test_shards_round_trip(spark, docs, tmp_path):
     assert readers.integrity(files, report.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/"))).first().unreadable == 1
     writers.write_manifest(spark, str(tmp_path / "manifest.json"), {"src": {"docs": 5}})
     assert json.loads((tmp_path / "manifest.json").read_text())["src"]["docs"] == 5
-    assert writers.markdown_table(docs.groupBy("source").count().orderBy("source")).count("\n") == 6
+    writers.write_manifest(spark, str(tmp_path / "manifest.json"), {"src": {"docs": 6}})
+    assert json.loads((tmp_path / "manifest.json").read_text())["src"]["docs"] == 6 and not (tmp_path / "manifest.json.tmp").exists()
+    counts = docs.groupBy("source").count().orderBy("source")
+    assert writers.markdown_table(counts).count("\n") == 6
+    with pytest.raises(ValueError):
+        writers.markdown_table(docs, 3)
+    writers.write_reports(spark, str(tmp_path / "report"), "Sources", {"counts": counts})
+    assert json.loads((tmp_path / "report.json").read_text())["counts"][0] == {"source": "a", "count": 2}
+    assert "| a_x | 1 |" in (tmp_path / "report.md").read_text() and "a_x     1\n" in (tmp_path / "report.txt").read_text()
+    writers.write_distribution(spark, str(tmp_path / "sources.json"), counts, "source", "count")
+    assert json.loads((tmp_path / "sources.json").read_text()) == {"total": 7, "counts": {"c": 3, "a": 2, "a_x": 1, "b": 1}}
+
+
+def test_order_and_number_of_shards(spark, tmp_path):
+    import hashlib
+
+    for k in range(4):
+        for name in (f"shard_{k:06d}", f"part-{k}"):
+            spark.range(10 * (k + 1)).selectExpr("cast(id as string) as text", "'x' as lang").coalesce(1).write.parquet(str(tmp_path / "w"), mode="overwrite")
+            next((tmp_path / "w").glob("part-*.parquet")).rename(tmp_path / f"{name}.parquet")
+    import shutil
+
+    shutil.rmtree(tmp_path / "w")
+    names = [f"shard_{k:06d}.parquet" for k in range(4)]
+    base = lambda ps: [p.rsplit("/", 1)[1] for p in ps]
+    assert base(readers.shard_files(spark, str(tmp_path))) == names and base(readers.shard_files(spark, str(tmp_path), 2)) == names[:2]
+    assert base(readers.shard_files(spark, str(tmp_path), 3, 42)) == sorted(names, key=lambda n: hashlib.md5(f"{n}:42".encode()).hexdigest())[:3]
+    got = readers.sampled_texts(spark, str(tmp_path), ["text", "date"], most=20)
+    assert got.columns == ["text"] and got.count() == 2 + 4 + 6 + 8 and readers.sampled_texts(spark, str(tmp_path), ["text"]).count() == 100
 
 
 def test_text_trees_and_lines(spark, tmp_path):
@@ -242,8 +362,19 @@ def test_text_trees_and_lines(spark, tmp_path):
     assert got == {"a.txt": "ação", "b.json": "lei", "c.json": "a" * 30, "d.txt": "olá"}
     assert {r.extension: r.files for r in readers.extension_survey(readers.listing(spark, str(tmp_path / "gov"))).collect()} == {".txt": 2, ".json": 2}
     (tmp_path / "l").mkdir()
-    (tmp_path / "l/x.jsonl").write_text('{"texto": "um"}\nbad\n{"corpo": "dois"}\n{"z": 1}\n')
-    assert {(r.id, r.text) for r in readers.json_lines(spark, str(tmp_path / "l")).collect()} == {("x.jsonl:1", "um"), ("x.jsonl:3", "dois")}
+    import gzip
+
+    (tmp_path / "l/x.jsonl").write_text('{"texto": "um"}\nbad\n\n{"corpo": "dois"}\n{"z": 1}\n')
+    for d in ("a", "b c+d"):
+        (tmp_path / "l" / d).mkdir()
+        (tmp_path / "l" / d / "x.jsonl").write_text("".join(json.dumps({"text": f"{d} {k}"}) + "\n" for k in range(3000)))
+    (tmp_path / "l/y.jsonl.gz").write_bytes(gzip.compress(b'{"text": "packed"}\n'))
+    want = {("x.jsonl:0", "um"), ("x.jsonl:3", "dois"), ("y.jsonl.gz:0", "packed")} | {(f"{d}/x.jsonl:{k}", f"{d} {k}") for d in ("a", "b c+d") for k in range(3000)}
+    for size in ("128m", "5k"):  # whole files, and many splits of each
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = readers.json_lines(spark, str(tmp_path / "l")).collect()
+        assert len(rows) == len(want) and {(r.id, r.text) for r in rows} == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
 
 
 def test_binding_by_name(spark):
