@@ -51,6 +51,21 @@ def perplexity(docs: DataFrame, model: DataFrame, key: str = "doc_id") -> DataFr
     return scored.groupBy(key).agg(F.round(F.exp(-F.sum(log_p * F.col("k")) / F.sum("k")), 4).alias("perplexity"))
 
 
+def language_gate(df: DataFrame, make: Callable[[], Callable[[list], list]], labels: list[str], least: float = 0.65, head: int = 1000) -> DataFrame:
+    """Rows whose first characters, on one line, the scorer gives one of the labels with at least this probability.
+
+    The scorer gives (label, probability) for each text, or None, which accepts nothing, as does an empty text.
+    """
+    fields = df.columns
+    own = df.withColumn("_line", F.replace(F.left("text", F.lit(head)), F.lit("\n"), F.lit(" ")))
+
+    def split() -> Callable[[list], list]:
+        score = make()
+        return lambda texts: [float(p[1]) if t and t.strip() and p is not None and p[0] in labels else 0.0 for t, p in zip(texts, score(texts), strict=True)]
+
+    return score_with(own, split, "_sure", text="_line").where(F.col("_sure") >= least).select(*fields)
+
+
 def stop_word_language(lists: dict[str, list[str]]) -> Callable[[], Callable[[list], list]]:
     """A small language guesser for the slot: the language with most stop words among a text's words."""
 

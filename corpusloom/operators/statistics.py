@@ -35,17 +35,21 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     return placed.select(at.cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
-def systematic_sample(df: DataFrame, every: int, *order: str) -> DataFrame:
-    """Each `every`-th row in a total order of distinct keys.
+def numbered(df: DataFrame, *order: str, name: str = "ordinal") -> DataFrame:
+    """df with gapless numbers from 0 in the order of the columns; rows equal in all of them are numbered in any order.
 
-    Only the keys are range-partitioned, numbered within their partitions and shifted by the counts of the partitions
-    before, so that no task numbers more than its own part; the sampled keys then select the rows.
+    Rows are range-partitioned, numbered within their partitions and shifted by the counts of the partitions before, so
+    that no task numbers more than its own part.
     """
-    ranged = cut(df.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
-    counts = ranged.groupBy("part").count()
-    firsts = counts.select("part", (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("first"))  # a row per partition
-    local = ranged.withColumn("own", F.row_number().over(W.partitionBy("part").orderBy(*order)))
-    keys = local.join(F.broadcast(firsts), "part").where((F.col("first") + F.col("own")) % every == 0).select(*order)
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts = ranged.groupBy("_part").count()
+    firsts = counts.select("_part", (F.sum("count").over(W.orderBy("_part")) - F.col("count")).alias("_first"))  # a row per partition
+    return ranged.join(F.broadcast(firsts), "_part").withColumn(name, F.col("_first") + F.col("_at")).drop("_part", "_first", "_at")
+
+
+def systematic_sample(df: DataFrame, every: int, *order: str) -> DataFrame:
+    """Each `every`-th row in a total order of distinct keys: only the keys are ordered and numbered, then they select."""
+    keys = numbered(df.select(*order), *order, name="_n").where((F.col("_n") + 1) % every == 0).select(*order)
     return df.join(keys, list(order), "left_semi")
 
 

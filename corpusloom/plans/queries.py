@@ -149,6 +149,12 @@ def source_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.described(g, "source", {"src0": ("CC0", "web"), "src1": ("CC BY-SA 4.0", "web")})
 
 
+@query("select doc_id, source || '_' || (row_number() over (order by source, doc_id) - 1) as id from documents")
+def numbered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = statistics.numbered(read(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
+    return d.select("doc_id", clean.row_id(F.lit(""), F.col("source"), F.col("ordinal")).alias("id"))
+
+
 def sql_hits(words: list[str]) -> str:
     return " + ".join(f"contains(h, '{w}')::int" for w in sorted(words))
 
@@ -767,6 +773,14 @@ def first_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("url").agg(F.min("page_id").alias("first_page"), F.count("*").alias("pages"))
 
 
+@query(f"select u as url, min(page_id) as first_page from (select distinct page_id, unnest({LINKS}) as u from pages) where u not in (select url from pages where url is not null) group by u")
+def unseen_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links whose address is no page's own."""
+    d = read(spark, sf_dir, "pages")
+    links = d.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1))).alias("url"))
+    return links.groupBy("url").agg(F.min("page_id").alias("first_page")).join(d.select("url").distinct(), "url", "left_anti")
+
+
 @query("select source, count(*)::bigint as docs, (count(*) * 4)::bigint as web_estimate, (count(*) * 500)::bigint as encyclopedia_estimate, (count(*) * 250)::bigint as legal_estimate from documents group by source")
 def manifest_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("docs"))

@@ -22,6 +22,8 @@ class Acquisition:
     lang: str
     kind: str = "web"  # web, encyclopedia or legal
     variants: bool = False
+    #: Columns in whose order ids are numbered without gaps; without them numbers are unique and rise within a task.
+    order: list[str] = field(default_factory=list)
 
     def cleaned(self, text: Column) -> Column:
         return {"web": tx.strip, "encyclopedia": clean.clean_encyclopedia, "legal": clean.clean_legal}[self.kind](text)
@@ -42,7 +44,8 @@ class Acquisition:
             df = df.withColumn("variant", filters.variant(F.col("text"))).where("variant = 'BR'")
         df = df.withColumn("w", tx.words(F.col("text"))).withColumn("score", tx.quality_score(F.col("text"), F.col("w")).cast("float"))
         out = clean.titled(F.col("title"), F.col("text")) if "title" in raw.columns else F.col("text")
-        ordinal = F.monotonically_increasing_id()
+        df = statistics.numbered(df, *self.order) if self.order else df.withColumn("ordinal", F.monotonically_increasing_id())
+        ordinal = F.col("ordinal")
         return df.select(out.alias("text"), F.lit(self.source).alias("source"), clean.row_id(F.col("id"), F.lit(self.source), ordinal).alias("id"), lang.alias("lang"), "score")
 
 

@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.statistics import numbered
+
 SHARD_ROWS = 50_000
 
 
@@ -15,14 +17,26 @@ def write_shards(df: DataFrame, path: str, rows: int = SHARD_ROWS) -> None:
     own.write.option("maxRecordsPerFile", rows).option("compression", "zstd").parquet(path)
 
 
+def write_exact_shards(df: DataFrame, path: str, order: list[str], rows: int = SHARD_ROWS) -> None:
+    """Canonical documents in the given order, exactly `rows` of them in each file but the last, in folders shard=0, 1, ...
+
+    One file is one task's work, as its rows follow one another in one sort.
+    """
+    own = numbered(df.select("text", "source", F.col("id").cast("string"), "lang", F.col("score").cast("float"), *[F.col(c).alias(f"_{c}") for c in order]), *[f"_{c}" for c in order])
+    own = own.withColumn("shard", F.floor(F.col("ordinal") / rows))
+    own = own.repartition("shard").sortWithinPartitions("shard", "ordinal").drop("ordinal", *[f"_{c}" for c in order])
+    own.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
 def shard_metadata(spark: SparkSession, path: str) -> DataFrame:
     """file, bytes and a digest of the first MiB of each shard."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
     return df.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2(F.substring("content", 1, 1 << 20), 256).alias("sha256_head"), "modificationTime")
 
 
-def json_text(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Non-empty texts, cut to `most` characters, as {"text": ...} lines in column value."""
+def json_text(df: DataFrame, most: int = 1_000_000, order: list[str] | None = None) -> DataFrame:
+    """Non-empty texts, cut to `most` characters, as {"text": ...} lines in column value, in an order where one is named."""
+    df = df.orderBy(*order) if order else df
     return df.where("text is not null and text <> ''").select(F.to_json(F.struct(F.left("text", F.lit(most)).alias("text"))).alias("value"))
 
 

@@ -334,6 +334,30 @@ def test_shards_round_trip(spark, docs, tmp_path):
     assert json.loads((tmp_path / "sources.json").read_text()) == {"total": 7, "counts": {"c": 3, "a": 2, "a_x": 1, "b": 1}}
 
 
+def test_numbers_gates_and_exact_shards(spark, tmp_path):
+    df = spark.range(250).selectExpr("cast(id as string) as text", "'s' as source", "250 - id as id", "'x' as lang", "0.5D as score").repartition(7)
+    got = sorted((r.ordinal, r.id) for r in statistics.numbered(df, "id").collect())
+    assert got == [(k, k + 1) for k in range(250)]
+    writers.write_exact_shards(df, str(tmp_path / "e"), ["id"], 60)
+    for k, n in enumerate([60, 60, 60, 60, 10]):
+        files = list((tmp_path / "e" / f"shard={k}").glob("*.parquet"))
+        rows = spark.read.parquet(str(files[0])).collect()
+        assert len(files) == 1 and [int(r.id) for r in rows] == list(range(60 * k + 1, 60 * k + n + 1))
+    lines = [r.value for r in writers.json_text(df, 2, ["id"]).collect()]
+    assert lines[0] == '{"text":"24"}' and len(lines) == 250
+    raw = spark.createDataFrame([(None, c * 60) for c in "cab"], "id string, text string")
+    assert [r.id for r in stages.Acquisition("web", "en", order=["text"]).run(raw).orderBy("text").collect()] == ["web_0", "web_1", "web_2"]
+
+    from corpusloom.operators import scorers
+
+    def make():
+        seen = {"um": ("pt", 0.7), "two": ("en", 0.9), "tr s": ("pt", 0.65), "low": ("pt", 0.6)}
+        return lambda texts: [seen.get(t) for t in texts]
+
+    texts = spark.createDataFrame([(t,) for t in ["um", "two", "tr\ns", "low", "", None, "else"]], "text string")
+    assert {r.text for r in scorers.language_gate(texts, make, ["pt", "por_Latn"]).collect()} == {"um", "tr\ns"}
+
+
 def test_order_and_number_of_shards(spark, tmp_path):
     import hashlib
 
