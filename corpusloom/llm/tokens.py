@@ -15,6 +15,8 @@ from functools import lru_cache
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 #: Chunks and pieces kept in a worker, about 220 MB.
 CACHE_CHUNKS, CACHE_PIECES = 800_000, 400_000
+#: Marks that often stand behind a word.
+MARKS = tuple(".,;:!?")
 #: Longer chunks and pieces are not kept.
 KEPT_CHARS = 48
 #: The pattern of the byte-level pre-tokenizer (fixed value).
@@ -47,6 +49,32 @@ def load(path: str):
     return own
 
 
+class Chunks(dict):
+    """Ids of chunks by the part after their space, made where they are missing."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.make(part)
+        if len(part) <= KEPT_CHARS:
+            self[part] = ids
+        return ids
+
+
+class Letters(dict):
+    """The printable stand-ins of each character's bytes."""
+
+    def __init__(self):
+        super().__init__()
+        self.of_byte = byte_letters()
+
+    def __missing__(self, char: str) -> str:
+        own = self[char] = "".join(self.of_byte[b] for b in char.encode())
+        return own
+
+
 class Encoder:
     """Gives each text's ids as bytes of little-endian unsigned 32-bit integers."""
 
@@ -57,16 +85,19 @@ class Encoder:
         self.model = self.lib.model
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.split = regex.compile(PIECES).findall
-        self.letters = {b: c for b, c in enumerate(byte_letters()) if chr(b) != c}
+        self.letters = Letters()
+        self.space = self.letters[" "]
         self.pieces: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}  # by the part after the space
+        self.inner = Chunks(self.after_space)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, text: str) -> bytes:
-        own = text.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
+        return self.word("".join(map(self.letters.__getitem__, text)))
+
+    def word(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def chunk(self, text: str) -> bytes:
         own = []
@@ -79,20 +110,19 @@ class Encoder:
             own.append(ids)
         return b"".join(own)
 
+    def after_space(self, part: str) -> bytes:
+        """The ids of a space and the part: letters alone are one piece, and a mark behind them is the next."""
+        if part.isalpha():
+            return self.word(self.space + (part if part.isascii() else "".join(map(self.letters.__getitem__, part))))
+        if part[-1:] in MARKS and part[:-1].isalpha():
+            return self.inner[part[:-1]] + self.chunk(part[-1])
+        return self.chunk(" " + part)
+
     def text(self, text: str) -> bytes:
         if UNSAFE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
-        inner = self.inner
         first, *rest = text.split(" ")
-        own = [self.chunk(first)]
-        for p in rest:
-            ids = inner.get(p)
-            if ids is None:
-                ids = self.chunk(" " + p)
-                if len(p) <= KEPT_CHARS:
-                    inner[p] = ids
-            own.append(ids)
-        return b"".join(own)
+        return b"".join([self.chunk(first), *map(self.inner.__getitem__, rest)])
 
     def texts(self, texts: list[str]) -> list[bytes]:
         if len(self.inner) > CACHE_CHUNKS:

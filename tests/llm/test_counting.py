@@ -15,6 +15,7 @@ from .conftest import ROWS, prose
 
 BPE = public_path("byte_bpe_50k.json")
 ODD = ["", " ", "  ", "a  b", "a   b", "x\n y", "x\n\n y ", "don't we'll  I've", "a<|endoftext|>b", "!<|endoftext|> <|endoftext|>", "é日本語 😀😀 ñ", "aaaaaaaa!!!!", "\t\ttab\x0bx", "trail  ", "a b　c", "\u0000 nul"]
+ODD += ["words, end. Stop! ñandú; x: y? 12, a1. .a ,b ;", "one one, one. one ,", "日本 語, é. ß; ǅ, ª. ʰ!", "e\u0301te, a\u0300. \u0301, Ⅷ, ②. ٣,", "x" * 60 + ", " + "y" * 49 + ". z"]
 ODD += ["".join(random.Random(k).choice([" ", "  ", "\n", "'", "ll", "re", "foo", "é", "!", "12", "<|endoftext|>", "日"]) for _ in range(10)) for k in range(60)]
 
 
