@@ -8,7 +8,7 @@ between each document and its bucket's best one, and between further hubs and th
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -102,17 +102,18 @@ def similar(pairs: DataFrame, sets: DataFrame, key: str, threshold: float) -> Da
     return pairs.join(a, key).join(b, "best").withColumn("jaccard", F.round(common / (F.size("x") + F.size("y") - common), 6)).where(F.col("jaccard") >= threshold).select(key, "best", "jaccard")
 
 
-def verified_pairs(bucketed: DataFrame, sets: DataFrame, key: str, threshold: float, *order: Column) -> DataFrame:
+def verified_pairs(bucketed: DataFrame, sets: Callable[[DataFrame], DataFrame], key: str, threshold: float, *order: Column) -> DataFrame:
     """Pairs of a common bucket with the true Jaccard similarity where it reaches `threshold`; what any two documents of a
     bucket have as a link is linked by them, directly or over others.
 
     Each document is compared with its bucket's best one, then as further_links() says. A pair whose documents are
-    connected already is not listed. sets: key and `grams`, an array of distinct hashes of runs of words.
+    connected already is not listed. sets: gives, for the keys of documents that share a bucket with others, key and
+    `grams`, an array of distinct runs of words or of their hashes; the others' are never made.
     """
     top = cut(best_of_bucket(bucketed, key, *order))
     shared = cut(bucketed.join(top, ["band", "key"]).select("band", "key", F.col(key).alias("node"), "best").distinct())
     first = shared.where("node <> best").select(F.col("node").alias(key), "best").distinct()
-    sets = cut(sets.join(shared.select(F.col("node").alias(key)).distinct(), key, "left_semi"))  # those in a bucket with others
+    sets = cut(sets(shared.select(F.col("node").alias(key)).distinct()))
     direct = cut(similar(first, sets, key, threshold))
     return direct.unionByName(further_links(shared, direct, sets, key, threshold))
 

@@ -454,7 +454,11 @@ where round(len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_inte
 )
 def verified_neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, bands = docs_of(spark, sf_dir), banded(spark, sf_dir)
-    sets = d.select("doc_id", clean.normalize_for_dedup(F.col("text")).alias("t")).select("doc_id", F.split("t", " ").alias("w")).select("doc_id", F.transform(tx.shingles(F.col("w"), 5), lambda g: F.xxhash64(g)).alias("grams"))
+
+    def sets(keys: DataFrame) -> DataFrame:
+        t = d.select("doc_id", "text").join(keys, "doc_id", "left_semi").select("doc_id", clean.normalize_for_dedup(F.col("text")).alias("t"))
+        return t.select("doc_id", F.split("t", " ").alias("w")).select("doc_id", F.transform(tx.shingles(F.col("w"), 5), lambda g: F.xxhash64(g)).alias("grams"))
+
     return dedup.verified_pairs(bands, sets, "doc_id", 0.8, -F.col("score"))
 
 

@@ -51,7 +51,7 @@ def test_verified_pairs_connect_what_any_two_of_a_bucket_link(spark):
     buckets = {"a": sorted(sets), "b": [1, 2, 9, 30, 40, 45], "c": [1, 31, 41], "d": random.sample(sorted(sets), 15)}
     bucketed = spark.createDataFrame([(0, k, d, 1.0 / d) for k, ds in buckets.items() for d in ds], "band int, key string, doc_id long, score double")
     grams = spark.createDataFrame([(d, [str(g) for g in s]) for d, s in sets.items()], "doc_id long, grams array<string>")
-    got = {(r.doc_id, r.best): r.jaccard for r in dedup.verified_pairs(bucketed, grams, "doc_id", 0.8, -F.col("score")).collect()}
+    got = {(r.doc_id, r.best): r.jaccard for r in dedup.verified_pairs(bucketed, lambda keys: grams.join(keys, "doc_id", "left_semi"), "doc_id", 0.8, -F.col("score")).collect()}
     jaccard = lambda a, b: round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)
     want = {(a, b) for ds in buckets.values() for a in ds for b in ds if a < b and jaccard(a, b) >= 0.8}
 
