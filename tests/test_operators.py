@@ -66,6 +66,69 @@ def test_verified_pairs_connect_what_any_two_of_a_bucket_link(spark):
     assert parts(got) == parts(want) and len(set(parts(want).values())) < len(sets)
 
 
+def drifting_documents(spark, folder):
+    """Copies, chains of texts that drift apart, and texts without a copy, as the table documents of the folder."""
+    import random
+
+    random.seed(11)
+    texts = {}
+    for c in range(12):
+        ws = [f"w{c}x{i}" for i in range(120)]
+        for k in range(14):
+            texts[100 * c + k] = " ".join(ws) + (" and a tail" if k % 5 == 4 else "")
+            ws[random.randrange(len(ws))] = f"new{c}x{k}"
+    texts |= {5000 + i: texts[100 * (i % 3)].upper() for i in range(9)} | {6000 + i: " ".join(f"alone{i}x{j}" for j in range(30)) for i in range(5)}
+    texts |= {7000: "four words are few", 7001: "four words are few", 7002: "", 7003: None, 7004: "only twice here it is", 7005: "only twice here it is"}
+    rows = [(d, t, "en", "web", len(t or "")) for d, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return texts
+
+
+def rows_of_sql(folder, name):
+    import duckdb
+
+    from corpusloom.plans.queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    found = con.execute(ORACLE_SQL[name])
+    return sorted(sorted(zip([c[0] for c in found.description], r, strict=True)) for r in found.fetchall())
+
+
+def test_clusters_of_drifting_documents_in_few_jobs(spark, tmp_path, monkeypatch):
+    from corpusloom.plans.queries import QUERIES
+
+    drifting_documents(spark, tmp_path)
+    want = rows_of_sql(tmp_path, "verified_neardup_clusters")
+    spark.sparkContext.setJobGroup("clusters", "clusters")
+    got = QUERIES["verified_neardup_clusters"](spark, str(tmp_path)).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("clusters"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert sorted(sorted(r.asDict().items()) for r in got) == want and len(want) > 150
+    assert jobs <= 75  # the driver keeps plans and code of all jobs; 63, and 89 with rounds of hubs for all
+    monkeypatch.setattr(dedup, "CLASS_WORK", 2000)  # classes too large for a task
+    again = QUERIES["verified_neardup_clusters"](spark, str(tmp_path)).collect()
+    assert sorted(sorted(r.asDict().items()) for r in again) == want
+
+
+def test_joined_sets_against_all_pairs():
+    import random
+
+    import numpy as np
+
+    random.seed(5)
+    sets = [set(range(s, s + 30)) - {random.randrange(s, s + 30)} for s in (random.randrange(0, 90) for _ in range(80))]
+    places = [random.sample(range(4), 2) for _ in sets]
+    label = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if set(places[i]) & set(places[j]) and round(len(a & b) / len(a | b), 6) >= 0.8:
+                    label[i] = label[j] = min(label[i], label[j])
+    grams = [np.array(sorted(x)) for x in sets]
+    assert dedup.joined_sets(grams, places, 0.8) == label and 1 < len(set(label)) < len(sets)
+
+
 def test_signature_similarity():
     a, b = dedup.signature(BASE), dedup.signature(" ".join(f"q{i}" for i in range(40)))
     assert (a == a).mean() == 1 and (a == b).mean() < 0.1 and dedup.signature("one two three four") is None
