@@ -66,8 +66,8 @@ def test_verified_pairs_connect_what_any_two_of_a_bucket_link(spark):
     assert parts(got) == parts(want) and len(set(parts(want).values())) < len(sets)
 
 
-def drifting_documents(spark, folder):
-    """Copies, chains of texts that drift apart, and texts without a copy, as the table documents of the folder."""
+def drifting_documents(spark, folder, loose=0):
+    """Copies, chains of texts that drift apart, loose groups, and texts without a copy, as the table documents of the folder."""
     import random
 
     random.seed(11)
@@ -79,6 +79,12 @@ def drifting_documents(spark, folder):
             ws[random.randrange(len(ws))] = f"new{c}x{k}"
     texts |= {5000 + i: texts[100 * (i % 3)].upper() for i in range(9)} | {6000 + i: " ".join(f"alone{i}x{j}" for j in range(30)) for i in range(5)}
     texts |= {7000: "four words are few", 7001: "four words are few", 7002: "", 7003: None, 7004: "only twice here it is", 7005: "only twice here it is"}
+    for c in range(loose):
+        for k, changes in enumerate((2, 2, 2, 1, 1)):  # only the last two are similar; the first, of equal score, are the best
+            ws = [f"l{c}x{i}" for i in range(120)]
+            for at in random.sample(range(10, 110), changes):
+                ws[at] = f"other{c}x{k}"
+            texts[10_000 + 5 * c + k] = " ".join(ws)
     rows = [(d, t, "en", "web", len(t or "")) for d, t in texts.items()]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     return texts
@@ -111,6 +117,15 @@ def test_clusters_of_drifting_documents_in_few_jobs(spark, tmp_path, monkeypatch
     assert sorted(sorted(r.asDict().items()) for r in again) == want
 
 
+def test_pairs_of_drifting_documents_as_in_sql(spark, tmp_path):
+    from corpusloom.plans.queries import QUERIES
+
+    drifting_documents(spark, tmp_path, loose=200)
+    want = rows_of_sql(tmp_path, "verified_neardup_pairs")
+    got = QUERIES["verified_neardup_pairs"](spark, str(tmp_path)).collect()
+    assert sorted(sorted(r.asDict().items()) for r in got) == want and len(want) > 50
+
+
 def test_joined_sets_against_all_pairs():
     import random
 
